@@ -1,4 +1,4 @@
 """Registered queries and the SQL that checks them."""
 
-from checks import saving_checks, spend_checks  # noqa: F401
+from checks import price_checks, saving_checks, spend_checks, trend_checks  # noqa: F401
 from checks.base import ORACLE, QUERIES  # noqa: F401

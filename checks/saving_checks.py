@@ -135,12 +135,12 @@ register(
     on_cur(optimize.zero_usage_waste, AS_OF),
     f"""
     SELECT resource AS line_item_resource_id, service AS product_servicecode,
-           operation AS line_item_operation, round(sum(cost), 4) AS wasted_cost, count(*) AS idle_periods,
-           round(avg(cost), 4) AS avg_idle_cost
+           operation AS line_item_operation, round(sum(cost), 6) AS wasted_cost, count(*) AS idle_periods,
+           round(avg(cost), 6) AS avg_idle_cost
     FROM cur WHERE ts >= {DAY} - INTERVAL 7 DAY AND cost > 0 AND (usage = 0 OR usage IS NULL)
     GROUP BY 1, 2, 3 HAVING sum(cost) > 5
     """,
-    digits=4,
+    digits=6,
 )
 register(
     "zero_usage_lines",
@@ -492,10 +492,10 @@ register(
     "usage_stability",
     _stability,
     STABILITY + """
-    SELECT service, itype AS instance_type, round(au, 4) AS avg_monthly_usage, round(sd, 4) AS usage_stddev,
-           round(ac, 4) AS avg_monthly_cost, n AS months_of_data, pattern AS usage_pattern FROM st
+    SELECT service, itype AS instance_type, round(au, 5) AS avg_monthly_usage, round(sd, 5) AS usage_stddev,
+           round(ac, 5) AS avg_monthly_cost, n AS months_of_data, pattern AS usage_pattern FROM st
     """,
-    digits=4,
+    digits=5,
 )
 FUTURE = STABILITY + """,
     f AS (SELECT service, itype, mo,
