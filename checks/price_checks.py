@@ -22,10 +22,10 @@ register(
     "ondemand_rates",
     lambda s, d: price_list.ondemand_rates(tables.documents(s, d)),
     f"""
-    SELECT region_code, instance_type, operating_system, tenancy, round(price, 4) AS price_per_hour_usd
+    SELECT region_code, instance_type, operating_system, tenancy, round(price, 6) AS price_per_hour_usd
     FROM prices {OD}
     """,
-    digits=4,
+    digits=6,
     prices=tables.AWS_PRICING,
 )
 register(
@@ -33,12 +33,12 @@ register(
     lambda s, d: price_list.reserved_rates(tables.documents(s, d)),
     """
     SELECT region_code, instance_type, operating_system, '1yr' AS term_length, 'No Upfront' AS payment_option,
-           0.0::DOUBLE AS upfront_cost, round(price * 0.6, 4) AS hourly_cost FROM prices WHERE tenancy = 'Shared'
+           0.0::DOUBLE AS upfront_cost, round(price * 0.6, 6) AS hourly_cost FROM prices WHERE tenancy = 'Shared'
     UNION ALL
-    SELECT region_code, instance_type, operating_system, '3yr', 'All Upfront', round(price * 10512, 4), 0.0
+    SELECT region_code, instance_type, operating_system, '3yr', 'All Upfront', round(price * 10512, 6), 0.0
     FROM prices WHERE tenancy = 'Shared'
     """,
-    digits=4,
+    digits=6,
     prices=tables.AWS_PRICING,
 )
 register(
@@ -142,17 +142,17 @@ register(
     _compared,
     """
     SELECT region_code, instance_type,
-           round(o, 4) AS ondemand_hourly, round(o * 720, 4) AS ondemand_monthly, round(o * 8760, 4) AS ondemand_annual,
-           round(s, 4) AS spot_hourly, round(s * 720, 4) AS spot_monthly, round(s * 8760, 4) AS spot_annual,
-           round((o - s) / o * 100, 4) AS spot_savings_pct,
-           round(r, 4) AS reserved_1yr_hourly, round(r * 720, 4) AS reserved_1yr_monthly,
-           round(r * 8760, 4) AS reserved_1yr_annual, CASE WHEN r IS NOT NULL THEN 0.0 END AS reserved_1yr_upfront,
-           round((o - r) / o * 100, 4) AS reserved_1yr_savings_pct,
-           round(p, 4) AS savings_plan_hourly, round(p * 720, 4) AS savings_plan_monthly,
-           round(p * 8760, 4) AS savings_plan_annual, round((o - p) / o * 100, 4) AS savings_plan_savings_pct
+           round(o, 6) AS ondemand_hourly, round(o * 720, 6) AS ondemand_monthly, round(o * 8760, 6) AS ondemand_annual,
+           round(s, 6) AS spot_hourly, round(s * 720, 6) AS spot_monthly, round(s * 8760, 6) AS spot_annual,
+           round((o - s) / o * 100, 6) AS spot_savings_pct,
+           round(r, 6) AS reserved_1yr_hourly, round(r * 720, 6) AS reserved_1yr_monthly,
+           round(r * 8760, 6) AS reserved_1yr_annual, CASE WHEN r IS NOT NULL THEN 0.0 END AS reserved_1yr_upfront,
+           round((o - r) / o * 100, 6) AS reserved_1yr_savings_pct,
+           round(p, 6) AS savings_plan_hourly, round(p * 720, 6) AS savings_plan_monthly,
+           round(p * 8760, 6) AS savings_plan_annual, round((o - p) / o * 100, 6) AS savings_plan_savings_pct
     FROM wide
     """,
-    digits=4,
+    digits=6,
     **PARTS,
 )
 register(
@@ -166,12 +166,12 @@ register(
         SELECT region_code, instance_type, 3, 'savings_plan', p, (o - p) / o * 100 FROM wide),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY region_code, instance_type ORDER BY price, n) AS k
                FROM options WHERE price IS NOT NULL)
-    SELECT region_code, instance_type, round(price, 4) AS hourly_price, opt AS cheapest_option,
-           round(price * 720, 4) AS monthly_price, round(price * 8760, 4) AS annual_price,
-           round(pct, 4) AS savings_vs_ondemand_pct
+    SELECT region_code, instance_type, round(price, 6) AS hourly_price, opt AS cheapest_option,
+           round(price * 720, 6) AS monthly_price, round(price * 8760, 6) AS annual_price,
+           round(pct, 6) AS savings_vs_ondemand_pct
     FROM ranked WHERE k = 1
     """,
-    digits=4,
+    digits=6,
     **PARTS,
 )
 
@@ -195,18 +195,18 @@ register(
            CASE ks.itype WHEN 'm5.large' THEN '2' WHEN 'm5.xlarge' THEN '1' ELSE 'Unknown' END AS vcpu,
            CASE ks.itype WHEN 'm5.large' THEN '8 GiB' ELSE 'Unknown' END AS memory,
            'EBS only' AS storage, 'Unknown' AS network_performance,
-           round(od.price, 4) AS ondemand_hourly, round(od.price * 720, 4) AS ondemand_monthly,
-           round(sp.price, 4) AS spot_hourly, round((od.price - sp.price) / od.price * 100, 4) AS spot_savings_pct,
-           round(ri.price, 4) AS reserved_1yr_hourly,
-           round((od.price - ri.price) / od.price * 100, 4) AS reserved_1yr_savings_pct,
-           round(pl.rate, 4) AS savings_plan_hourly,
-           round((od.price - pl.rate) / od.price * 100, 4) AS savings_plan_savings_pct
+           round(od.price, 6) AS ondemand_hourly, round(od.price * 720, 6) AS ondemand_monthly,
+           round(sp.price, 6) AS spot_hourly, round((od.price - sp.price) / od.price * 100, 6) AS spot_savings_pct,
+           round(ri.price, 6) AS reserved_1yr_hourly,
+           round((od.price - ri.price) / od.price * 100, 6) AS reserved_1yr_savings_pct,
+           round(pl.rate, 6) AS savings_plan_hourly,
+           round((od.price - pl.rate) / od.price * 100, 6) AS savings_plan_savings_pct
     FROM ks LEFT JOIN od ON od.region_code = ks.region AND od.instance_type = ks.itype
     LEFT JOIN sp ON sp.region_code = ks.region AND sp.instance_type = ks.itype
     LEFT JOIN ri ON ri.region_code = ks.region AND ri.instance_type = ks.itype
     LEFT JOIN pl ON pl.region_code = ks.region AND pl.instance_type = ks.itype
     """,
-    digits=4,
+    digits=6,
     **PARTS,
 )
 

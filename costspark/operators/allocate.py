@@ -60,20 +60,22 @@ def tagging_compliance(cur: DataFrame, as_of: date) -> DataFrame:
 
     A resource may appear under several statuses, so the overall count is taken
     over resources, not over these groups.  Facts shrink to one row per
-    resource, status and service first; both counts start from that roll-up.
+    resource, status and service first; groups and overall figures both read
+    that one shuffle.
     """
     rows = cur.filter(positive_cost() & F.col(RESOURCE).isNotNull() & in_month(as_of)).select(
         RESOURCE, SERVICE, COST, tagging_status().alias("tagging_status")
     )
     parts = rows.groupBy(RESOURCE, "tagging_status", SERVICE).agg(F.sum(COST).alias("cost"))
     overall = parts.groupBy(RESOURCE).agg(F.sum("cost").alias("cost"))
-    resources = overall.agg(F.count("*")).scalar()
-    cost = overall.agg(F.sum("cost")).scalar()
+    total = overall.agg(
+        F.struct(F.count("*").alias("resources"), F.sum("cost").alias("cost"))
+    ).scalar()
     return (
         parts.groupBy("tagging_status", SERVICE)
         .agg(F.count("*").alias("resource_count"), F.sum("cost").alias("total_cost"))
-        .withColumn("resource_percentage", percent("resource_count", resources))
-        .withColumn("cost_percentage", percent("total_cost", cost))
+        .withColumn("resource_percentage", percent("resource_count", total["resources"]))
+        .withColumn("cost_percentage", percent("total_cost", total["cost"]))
         .orderBy(F.desc("total_cost"), "tagging_status", SERVICE)
     )
 
