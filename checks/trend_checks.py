@@ -483,7 +483,8 @@ register(
            concat_ws('; ', 'Monthly cloud spend: $' || format('{{:,.2f}}', spend),
                      'Identified $' || format('{{:,.2f}}', pot) || ' in potential monthly savings',
                      CASE WHEN abs(mom) > 5 THEN 'Spend ' || CASE WHEN mom > 0 THEN 'increased' ELSE 'decreased' END
-                          || ' ' || printf('%.1f', abs(mom)) || '% from last month' END,
+                          || ' ' || CAST(CAST(round(CAST(abs(mom) AS DECIMAL(18,2)), 1) AS DECIMAL(18,1)) AS VARCHAR)
+                          || '% from last month' END,
                      'Found ' || CAST(idles AS VARCHAR) || ' idle resources for review') AS highlights,
            CASE WHEN mom > 20 THEN 'HIGH' WHEN mom > 10 OR ratio > 20 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
            concat_ws('; ', CASE WHEN mom > 20 THEN 'Rapid cost growth' WHEN mom > 10 THEN 'Moderate cost increase' END,
