@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks.base import register
 from costspark.plans.billing_view import TABLES, billing_view
-from costspark.runtime import scratch_path
+from costspark.runtime import materialise, scratch_path
 from costspark.streaming import alerts, updates
 
 RENAMED = """ts AS line_item_usage_start_date|event_type AS product_servicecode|
@@ -80,7 +80,8 @@ def _anomalies(s, d):
         .agg(F.sum("line_item_unblended_cost").alias("daily_cost"))
     )
     daily = alerts.daily_cost_stream(_lines(s, d, True), *keys)
-    return _finish(alerts.anomaly_alerts(daily, alerts.anomaly_baseline(history)), s, "anomaly")
+    baseline = materialise(alerts.anomaly_baseline(history), scratch_path(s, "baseline"))
+    return _finish(alerts.anomaly_alerts(daily, baseline), s, "anomaly")
 
 
 register(
@@ -107,7 +108,7 @@ LANDED = (
 )
 
 
-def _updated(update):
+def _updated(update, months=12):
     """Billing rows written as files, streamed, and ``update`` rerun on what landed."""
 
     def run(s, d):
@@ -115,7 +116,9 @@ def _updated(update):
         rows = billing_view(s, d, *LANDED)
         rows.write.parquet(source)
         stream = s.readStream.schema(rows.schema).parquet(source)
-        updates.start_updates(stream, update, path, "scheduled").awaitTermination()
+        updates.start_updates(
+            stream, update, path, "scheduled", months=months
+        ).awaitTermination()
         return s.read.parquet(f"{path}/result")
 
     return run
@@ -123,7 +126,7 @@ def _updated(update):
 
 register(
     "stream_optimization_opportunities",
-    _updated(updates.opportunities),
+    _updated(updates.opportunities, months=0),
     """
     WITH m AS (SELECT * FROM cur WHERE cost > 0 AND month = (SELECT max(month) FROM cur)),
     i AS (SELECT resource, service, sum(cost) AS c, avg(CASE WHEN usage > 0 THEN usage ELSE 0 END) AS u FROM m

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from costspark.functions.dates import (
     START,
+    day_of,
     in_month,
     in_range,
     month_of,
@@ -184,9 +185,20 @@ def spend_extract(
     end: date | datetime | None = None,
     limit: int = 10000,
 ) -> DataFrame:
-    """The newest ``limit`` priced line items, five columns, dates inclusive."""
+    """The newest ``limit`` priced line items, five columns, dates inclusive.
+
+    A sort with a large limit keeps ``limit`` rows per task and merges them in
+    one.  Counting rows per day first tells from which day on the newest
+    ``limit`` rows must lie; only those days are read and sorted.
+    """
+    kept = cur.filter(positive_cost() & date_filter(start, end))
+    newer = Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, 0)
+    days = kept.groupBy(day_of().alias("day")).agg(F.count("*").alias("n"))
+    totals = days.select("day", F.sum("n").over(newer).alias("total"))
+    enough = F.max(F.when(F.col("total") >= limit, F.col("day")))
+    first_day = totals.agg(F.coalesce(enough, F.min("day"))).scalar()
     return (
-        cur.filter(positive_cost() & date_filter(start, end))
+        kept.filter(F.col(START) >= first_day)
         .select(START, SERVICE, REGION, COST, RESOURCE)
         .orderBy(F.desc(START), F.desc(COST), SERVICE, REGION, RESOURCE)
         .limit(limit)

@@ -67,7 +67,11 @@ def budget_alerts(daily: DataFrame, budgets: DataFrame, reached: float = REACHED
 
 
 def anomaly_baseline(daily: DataFrame) -> DataFrame:
-    """Mean and spread of daily cost per service and region, a week at least."""
+    """Mean and spread of daily cost per service and region, a week at least.
+
+    Every micro-batch reads the static side again, so write the baseline (see
+    ``runtime.materialise``) before a long-running stream joins it.
+    """
     return (
         daily.groupBy(SERVICE, REGION)
         .agg(

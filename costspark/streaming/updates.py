@@ -7,6 +7,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from costspark.functions.dates import START, month_start, shift_months
@@ -55,30 +56,29 @@ def start_updates(
 ) -> StreamingQuery:
     """Land each micro-batch, then rerun ``update`` as of its newest day.
 
-    A batch lands in a folder of its own number, overwritten when Spark repeats
-    the batch, so a retry neither loses nor doubles rows.  ``update`` reads the
-    landed table of the last ``months`` months and its result replaces the
-    previous one.
+    A batch lands in a folder of its own number, by month, overwritten when
+    Spark repeats the batch, so a retry neither loses nor doubles rows.
+    ``update`` sees the month of the newest day and ``months`` before it; older
+    folders are pruned.  Its result replaces the previous one.
     """
     landing, result = f"{path}/landing", f"{path}/result"
-    schema = lines.schema
+    stored = T.StructType(
+        [*lines.schema.fields, T.StructField("batch", T.LongType()), T.StructField("month", T.StringType())]
+    )
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{landing}/batch={number}")
-        spark = batch.sparkSession
-        landed = spark.read.schema(schema).parquet(landing)
-        newest = (
-            spark.read.schema(schema)
-            .parquet(f"{landing}/batch={number}")
-            .agg(F.max(F.to_date(START)))
-            .first()[0]
-        )
+        spark, folder = batch.sparkSession, f"{landing}/batch={number}"
+        month = F.date_format(START, "yyyy-MM")
+        batch.withColumn("month", month).write.mode("overwrite").option(
+            "partitionOverwriteMode", "static"
+        ).partitionBy("month").parquet(folder)
+        landed = spark.read.schema(stored).parquet(landing)
+        newest = landed.filter(F.col("batch") == number).agg(F.max(F.to_date(START))).first()[0]
         if newest is None:
             return
-        oldest = shift_months(month_start(newest), -months)
-        update(landed.filter(F.col(START) >= F.lit(oldest)), newest).write.mode(
-            "overwrite"
-        ).parquet(result)
+        oldest = shift_months(month_start(newest), -months).strftime("%Y-%m")
+        recent = landed.filter(F.col("month") >= oldest).select(*lines.columns)
+        update(recent, newest).write.mode("overwrite").parquet(result)
 
     return (
         lines.writeStream.foreachBatch(step)

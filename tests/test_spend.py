@@ -148,3 +148,12 @@ def test_filters(bill):
     assert count(kpi_filter("2024-03", tags={"Team": "data"})) == 1
     with pytest.raises(ValueError):
         date_filter(last_n_months=2)
+
+
+def test_extract_reads_only_the_newest_days(bill):
+    df = bill(*[dict(start=f"2024-03-{d:02d}", cost=float(c), service="s") for d in range(1, 6) for c in (1, 2, 3)])
+    got = rows(spend.spend_extract(df, limit=5), "line_item_usage_start_date", "line_item_unblended_cost")
+    assert [(t.day, c) for t, c in got] == [(5, 3.0), (5, 2.0), (5, 1.0), (4, 3.0), (4, 2.0)]
+    assert spend.spend_extract(df, limit=100).count() == 15
+    assert spend.spend_extract(bill(), limit=3).count() == 0
+    assert spend.spend_extract(df, start=date(2024, 3, 2), end=date(2024, 3, 3), limit=100).count() == 6
