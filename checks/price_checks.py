@@ -146,7 +146,7 @@ register(
            round(s, 6) AS spot_hourly, round(s * 720, 6) AS spot_monthly, round(s * 8760, 6) AS spot_annual,
            round((o - s) / o * 100, 6) AS spot_savings_pct,
            round(r, 6) AS reserved_1yr_hourly, round(r * 720, 6) AS reserved_1yr_monthly,
-           round(r * 8760, 6) AS reserved_1yr_annual, CASE WHEN r IS NOT NULL THEN 0.0 END AS reserved_1yr_upfront,
+           round(r * 8760, 6) AS reserved_1yr_annual, CASE WHEN r IS NOT NULL THEN 0.0::DOUBLE END AS reserved_1yr_upfront,
            round((o - r) / o * 100, 6) AS reserved_1yr_savings_pct,
            round(p, 6) AS savings_plan_hourly, round(p * 720, 6) AS savings_plan_monthly,
            round(p * 8760, 6) AS savings_plan_annual, round((o - p) / o * 100, 6) AS savings_plan_savings_pct
@@ -330,7 +330,7 @@ register(
     "enrich_invoices",
     _enriched_invoices,
     """
-    SELECT year(o_orderdate) AS year, CASE o_orderstatus WHEN 'P' THEN 'CREDIT_MEMO' ELSE 'INVOICE' END AS invoice_type,
+    SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CASE o_orderstatus WHEN 'P' THEN 'CREDIT_MEMO' ELSE 'INVOICE' END AS invoice_type,
            count(*) AS lines, round(sum(cost), 2) AS cost, max(o_orderdate + INTERVAL 30 DAY) AS last_due
     FROM cur LEFT JOIN orders o ON o.o_orderkey = cur.l_orderkey AND o.o_custkey = cur.o_custkey GROUP BY 1, 2
     """,

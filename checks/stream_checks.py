@@ -7,7 +7,8 @@ value.  ``scheduled`` mode reads what is there and stops.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.base import register
+from checks.base import DAY, register
+from checks.trend_checks import FORECAST
 from costspark.plans.billing_view import TABLES, billing_view
 from costspark.runtime import materialise, scratch_path
 from costspark.streaming import alerts, updates
@@ -150,4 +151,12 @@ register(
     SELECT round(m0 * (1 + (m0 - m1) / m1), 2) AS next_month, 75 AS confidence FROM v
     """,
 )
-register("stream_service_forecasts", _updated(updates.service_forecasts))
+register(
+    "stream_service_forecasts",
+    _updated(updates.service_forecasts),
+    FORECAST.replace(f"{DAY} -", "(SELECT CAST(max(ts) AS DATE) FROM cur) -") + """
+    SELECT service, mo AS month, round(greatest(0, v), 6) AS forecasted_cost,
+           round(greatest(0, v * 0.85), 6) AS lower, round(v * 1.15, 6) AS upper, conf AS confidence, trend FROM f
+    """,
+    digits=6,
+)

@@ -216,27 +216,27 @@ register(
     "service_trend",
     _trend,
     FORECAST + """
-    SELECT service, round(base, 4) AS base_cost, round(chg, 4) AS avg_change, conf AS confidence, trend FROM u
+    SELECT service, round(base, 6) AS base_cost, round(chg, 6) AS avg_change, conf AS confidence, trend FROM u
     """,
-    digits=4,
+    digits=6,
 )
 register(
     "service_forecast",
     lambda s, d: forecast.service_forecast(_trend(s, d)),
     FORECAST + """
-    SELECT service, mo AS month, round(greatest(0, v), 4) AS forecasted_cost,
-           round(greatest(0, v * 0.85), 4) AS lower, round(v * 1.15, 4) AS upper, conf AS confidence, trend FROM f
+    SELECT service, mo AS month, round(greatest(0, v), 6) AS forecasted_cost,
+           round(greatest(0, v * 0.85), 6) AS lower, round(v * 1.15, 6) AS upper, conf AS confidence, trend FROM f
     """,
-    digits=4,
+    digits=6,
 )
 register(
     "service_forecast_totals",
     _totals,
     FORECAST + """
-    SELECT service, conf AS confidence, trend, round(sum(greatest(0, v)), 4) AS total_forecasted
+    SELECT service, conf AS confidence, trend, round(sum(greatest(0, v)), 6) AS total_forecasted
     FROM f GROUP BY 1, 2, 3
     """,
-    digits=4,
+    digits=6,
 )
 register(
     "forecast_summary",
@@ -368,7 +368,7 @@ def _kpi_sql(where: str, metrics: dict, period: str) -> str:
         f"round(coalesce(sum(CASE WHEN {c} THEN cost * {r} ELSE 0 END), 0), 2) AS {m}"
         for m, (c, r) in metrics.items()
     )
-    zeros = ", ".join(f"0.0 AS {m}" for m in kpi.METRICS if m not in metrics)
+    zeros = ", ".join(f"0.0::DOUBLE AS {m}" for m in kpi.METRICS if m not in metrics)
     return f"""
     SELECT '{period}' AS billing_period, 'default' AS payer_account_id, 'default' AS linked_account_id,
            round(sum(cost), 2) AS spend_all_cost, round(sum(cost), 2) AS unblended_cost, '{{}}' AS tags_json,
@@ -423,8 +423,8 @@ register(
     SELECT round(spend, 2) AS spend_all_cost, pot AS total_potential_savings,
            round(ec2g + rdsg, 2) AS graviton_savings_potential,
            round(rdsg + compute, 2) AS commitment_savings_potential,
-           round(storage, 2) AS storage_optimization_potential, 0.0 AS spot_instance_potential,
-           0.0 AS current_monthly_savings, round(pot_raw * 12, 2) AS annualized_savings_opportunity
+           round(storage, 2) AS storage_optimization_potential, 0.0::DOUBLE AS spot_instance_potential,
+           0.0::DOUBLE AS current_monthly_savings, round(pot_raw * 12, 2) AS annualized_savings_opportunity
     FROM sv
     """,
 )
