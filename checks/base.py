@@ -10,7 +10,6 @@ from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from costspark.plans.billing_view import billing_view
@@ -91,15 +90,16 @@ def tidy(df: DataFrame, digits: int) -> DataFrame:
     """Round doubles and join text arrays, so that results compare as values."""
     out = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = f"`{f.name}`"
         if isinstance(f.dataType, T.DoubleType):
-            c = F.round(c, digits)
+            out.append(f"round({c}, {digits}) AS {c}")
         elif isinstance(f.dataType, T.DecimalType) and f.dataType.scale > 4:
-            c = F.round(c.cast("double"), digits)
+            out.append(f"round(CAST({c} AS double), {digits}) AS {c}")
         elif isinstance(f.dataType, T.ArrayType):
-            c = F.array_join(c, "; ")
-        out.append(c.alias(f.name))
-    return df.select(out)
+            out.append(f"array_join({c}, '; ') AS {c}")
+        else:
+            out.append(c)
+    return df.selectExpr(*out)
 
 
 def register(

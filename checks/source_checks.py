@@ -61,7 +61,7 @@ def _read_gzip(s, d):
         path, header=True, compression="gzip"
     )
     schema = T.StructType([f for f in _periods(s, d).schema.fields if f.name != "BILLING_PERIOD"])
-    return _by_period(exports.read_export(s, path, schema=schema, file_format="csv", date_start="2001-01"))
+    return _by_period(exports.read_export(s, path, schema=schema, file_format="auto", date_start="2001-01"))
 
 
 register("read_gzip_export", _read_gzip, BY_PERIOD.format(where="WHERE month >= DATE '2001-01-01'"))

@@ -63,9 +63,12 @@ def read_export(
 
     The partition column stays text: inference would turn ``2024-01`` into a
     date.  Without ``schema`` the footers of all months are merged, which reads
-    every file's footer; give a schema for large exports.
+    every file's footer; give a schema for large exports.  ``file_format`` is
+    parquet, csv (gzip) or auto.
     """
     kind = EXPORTS[export_type]
+    if file_format == "auto":
+        file_format = detect_format(spark, path)
     if file_format == "csv":
         if schema is None:
             raise ValueError("gzip CSV exports need a schema")
@@ -79,6 +82,27 @@ def read_export(
     return df.filter(period_filter(export_type, date_start, date_end))
 
 
+def detect_format(spark: SparkSession, path: str) -> str | None:
+    """The format most files under ``path`` have: parquet, or csv for gzip files.
+
+    Paths are listed and counted as a table; no file content is read.
+    """
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .load(path)
+        .filter("length > 0")
+        .select("path")
+    )
+    one = files.agg(
+        F.count_if(F.col("path").endswith(".parquet")).alias("parquet"),
+        F.count_if(F.col("path").endswith(".gz")).alias("gzip"),
+    ).first()
+    if one["parquet"] > one["gzip"]:
+        return "parquet"
+    return "csv" if one["gzip"] else None
+
+
 def list_partitions(df: DataFrame, export_type: str = "CUR2.0") -> DataFrame:
     """Partition names in order; only partition values are read."""
     key = EXPORTS[export_type].partition

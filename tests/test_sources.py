@@ -205,3 +205,11 @@ def test_date_range_check():
 def test_partition_check(spark):
     df = spark.createDataFrame([("2024-01",), ("2024-1",), (None,)], "p string")
     assert {r[0]: r[2] for r in rows(quality.check_periods(df, "p"))} == {"2024-01": True, "2024-1": False, None: False}
+
+
+def test_majority_format(spark, tmp_path):
+    df = spark.range(10).repartition(3)
+    df.write.parquet(str(tmp_path / "mix" / "p"))
+    assert exports.detect_format(spark, str(tmp_path / "mix")) == "parquet"
+    df.repartition(5).write.csv(str(tmp_path / "mix" / "c"), compression="gzip")
+    assert exports.detect_format(spark, str(tmp_path / "mix")) == "csv"
