@@ -5,7 +5,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from checks import price_tables as tables
-from checks.base import cur, on_cur, register
+from checks.base import cur, register
 from costspark.operators import enrich, pricing
 from costspark.plans.billing_view import table
 from costspark.sources import price_list

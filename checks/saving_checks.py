@@ -1,5 +1,7 @@
 """Optimisation, allocation and discounts."""
 
+from pyspark.sql import functions as F
+
 from checks.base import AS_OF, DAY, MONTH, cur, on_cur, register
 from costspark.operators import allocate, commit, optimize
 
@@ -245,7 +247,7 @@ register(
     lambda s, d: (
         cur(s, d, "resource_tags", "line_item_unblended_cost")
         .groupBy(allocate.tagging_status().alias("tagging_status"))
-        .agg(allocate.F.count("*").alias("lines"), allocate.F.sum("line_item_unblended_cost").alias("cost"))
+        .agg(F.count("*").alias("lines"), F.sum("line_item_unblended_cost").alias("cost"))
     ),
     f"""
     SELECT {STATUS} AS tagging_status, count(*) AS lines, round(sum(cost), 2) AS cost FROM cur GROUP BY 1
@@ -379,7 +381,7 @@ register(
         .groupBy(
             commit.pricing_model().alias("default_model"), commit.pricing_model(PATTERNS).alias("model")
         )
-        .agg(commit.F.count("*").alias("lines"))
+        .agg(F.count("*").alias("lines"))
     ),
     f"""
     SELECT CASE WHEN kind LIKE '%Reserved%' THEN 'Reserved Instance' WHEN kind LIKE '%SavingsPlans%'

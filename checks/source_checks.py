@@ -7,7 +7,7 @@ from checks.base import AS_OF, cur, register
 from costspark import schemas
 from costspark.functions.ratios import clean_floats
 from costspark.normalize import normalize_cur
-from costspark.operators import allocate, commit, enrich, quality, spend
+from costspark.operators import allocate, enrich, quality, spend
 from costspark.plans import dashboard, views
 from costspark.plans.billing_view import COLUMNS, billing_view, table
 from costspark.runtime import scratch_path

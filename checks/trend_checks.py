@@ -1,7 +1,5 @@
 """Anomalies, growth patterns, forecasts and KPIs."""
 
-from pyspark.sql import functions as F
-
 from checks.base import AS_OF, DAY, MONTH, cur, on_cur, register
 from checks.saving_checks import IDLE, TAGGING
 from costspark.operators import allocate, anomaly, forecast, kpi, optimize, spend

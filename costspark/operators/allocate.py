@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from costspark.functions.cases import first_match
 from costspark.functions.dates import START, in_month, parse_period
 from costspark.functions.filters import COST, positive_cost
 from costspark.functions.needs import needs
@@ -118,10 +119,7 @@ def untagged_services(compliance: DataFrame) -> DataFrame:
 
 
 def _label(key: str, labels, default: str) -> Column:
-    out = F
-    for text, label in labels:
-        out = out.when(tag_value(key).contains(text), label)
-    return out.otherwise(default)
+    return first_match(((tag_value(key).contains(text), label) for text, label in labels), default)
 
 
 @needs(RESOURCE, SERVICE, COST, TAGS, START)

@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from costspark.functions.cases import first_match
 from costspark.functions.dates import START, day_of, since_days, since_months
 from costspark.functions.filters import COST, positive_cost
 from costspark.functions.needs import needs
@@ -142,9 +143,7 @@ def growth_patterns(
     stays in the list as in the original.
     """
     lowest, highest = F.min("monthly_cost"), F.max("monthly_cost")
-    pattern = F
-    for above, label in GROWTH_STEPS:
-        pattern = pattern.when(F.col("growth_rate") > above, label)
+    steps = ((F.col("growth_rate") > above, label) for above, label in GROWTH_STEPS)
     return (
         monthly_cost(cur.filter(positive_cost() & since_months(as_of, months)), SERVICE)
         .groupBy(F.col(SERVICE).alias("service"))
@@ -155,7 +154,7 @@ def growth_patterns(
             F.count("*").alias("months_data"),
         )
         .filter((F.col("months_data") >= 3) & (F.col("avg_monthly_spend") > min_avg))
-        .withColumn("pattern_type", pattern.otherwise("declining"))
+        .withColumn("pattern_type", first_match(steps, "declining"))
         .orderBy(F.desc("avg_monthly_spend"), "service")
     )
 

@@ -9,6 +9,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from costspark.functions.cases import first_match
 from costspark.functions.dates import START, in_month, month_of, since_months
 from costspark.functions.filters import COST, positive_cost
 from costspark.functions.needs import needs
@@ -38,10 +39,8 @@ def pricing_model(patterns: Sequence[tuple[str, str]] = PRICING_MODELS) -> Colum
     The default patterns do not match the usual types ``DiscountedUsage`` and
     ``SavingsPlanCoveredUsage``; pass patterns that do where those are meant.
     """
-    out = F
-    for text, model in patterns:
-        out = out.when(F.col(LINE_TYPE).contains(text), model)
-    return out.otherwise("On-Demand")
+    found = ((F.col(LINE_TYPE).contains(text), model) for text, model in patterns)
+    return first_match(found, "On-Demand")
 
 
 @needs(SERVICE, LINE_TYPE, RESOURCE, COST, USAGE, START, "pricing_term", "reservation_reservation_a_r_n")
@@ -89,10 +88,8 @@ def agreement_totals(agreements: DataFrame) -> DataFrame:
 
 
 def _tier(position: int, default) -> Column:
-    out = F
-    for tier in DISCOUNT_TIERS:
-        out = out.when(F.col("current_spend") > tier[0], tier[position])
-    return out.otherwise(default)
+    reached = ((F.col("current_spend") > tier[0], tier[position]) for tier in DISCOUNT_TIERS)
+    return first_match(reached, default)
 
 
 @needs(SERVICE, COST, START, ACCOUNT, RESOURCE)

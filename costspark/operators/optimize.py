@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from costspark.functions.cases import first_match
 from costspark.functions.dates import START, day_of, in_month, since_days
 from costspark.functions.filters import COST, positive_cost
 from costspark.functions.needs import needs
@@ -99,11 +100,15 @@ def rightsizing(
     drop out, and the size is replaced inside the name (``2xlarge`` becomes
     ``2large``); both follow the original.
     """
-    size, new_type, new_cost = F.col(TYPE), F, F
-    for name, below, smaller in SIZE_STEPS:
-        hit = size.contains(name) & (F.col("avg_usage") < below)
-        new_type = new_type.when(hit, F.replace(size, F.lit(name), F.lit(smaller)))
-        new_cost = new_cost.when(hit, F.col("monthly_cost") * 0.5)
+    size, cost = F.col(TYPE), F.col("monthly_cost")
+    fits = {
+        (name, smaller): size.contains(name) & (F.col("avg_usage") < below)
+        for name, below, smaller in SIZE_STEPS
+    }
+    new_type = first_match(
+        ((hit, F.replace(size, F.lit(old), F.lit(new))) for (old, new), hit in fits.items()), size
+    )
+    new_cost = first_match(((hit, cost * 0.5) for hit in fits.values()), cost)
     groups = (
         cur.filter(
             positive_cost() & (F.col(SERVICE) == service) & size.isNotNull() & in_month(as_of)
@@ -118,8 +123,8 @@ def rightsizing(
             size.alias("current_instance_type"),
             "monthly_cost",
             "avg_usage",
-            new_type.otherwise(size).alias("recommended_instance_type"),
-            new_cost.otherwise(F.col("monthly_cost")).alias("estimated_new_cost"),
+            new_type.alias("recommended_instance_type"),
+            new_cost.alias("estimated_new_cost"),
         )
         .withColumn("savings", F.col("monthly_cost") - F.col("estimated_new_cost"))
         .orderBy(F.desc("savings"), "resource_id", "current_instance_type")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from costspark.functions.cases import first_match
 from costspark.functions.dates import START, day_of, month_of, since_days, since_months
 from costspark.functions.filters import COST, positive_cost
 from costspark.functions.needs import needs
@@ -38,11 +39,9 @@ USAGE_CATEGORIES = (
 )
 
 
-def usage_category():
-    out = F
-    for text, label in USAGE_CATEGORIES:
-        out = out.when(F.col(USAGE_TYPE).contains(text), label)
-    return out.otherwise("Other")
+def usage_category() -> Column:
+    found = ((F.col(USAGE_TYPE).contains(text), label) for text, label in USAGE_CATEGORIES)
+    return first_match(found, "Other")
 
 
 @needs(COST, START, SERVICE, USAGE, RESOURCE)

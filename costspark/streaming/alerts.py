@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from costspark.functions.cases import first_match
 from costspark.functions.dates import START
 from costspark.functions.filters import COST
 from costspark.functions.ratios import ratio
@@ -38,10 +39,7 @@ def daily_cost_stream(
 
 
 def _severity(share: Column) -> Column:
-    out = F
-    for above, name in SEVERITY:
-        out = out.when(share > above, name)
-    return out.otherwise("low")
+    return first_match(((share > above, name) for above, name in SEVERITY), "low")
 
 
 def budget_alerts(daily: DataFrame, budgets: DataFrame, reached: float = REACHED) -> DataFrame:

@@ -55,3 +55,18 @@ def test_tagging_compliance_reads_the_facts_once(spark):
     df = allocate.tagging_compliance(billing_view(spark, SF, *allocate.tagging_compliance.columns), AS_OF)
     df.collect()
     assert "ReusedExchange" in plan(df)
+
+
+def test_hot_keys_spread_by_id(spark):
+    """Distinct counts shuffle by the counted id before they group by the key."""
+    for df in (
+        spend.top_services(billing_view(spark, SF, *spend.top_services.columns), AS_OF),
+        allocate.tagging_compliance(billing_view(spark, SF, *allocate.tagging_compliance.columns), AS_OF),
+    ):
+        first = [x for x in formatted(df).splitlines() if "Arguments: hashpartitioning" in x][0]
+        assert "line_item_resource_id" in first
+
+
+def test_top_services_of_a_range_scan_the_facts_once(spark):
+    text = plan(QUERIES["top_service_weeks"](spark, SF))
+    assert text.count("lineitem.parquet") == 1

@@ -3,8 +3,6 @@ from __future__ import annotations
 import math
 from datetime import date
 
-from pyspark.sql import functions as F
-
 from costspark.operators import allocate, anomaly, commit, forecast, kpi, optimize
 from tests.conftest import AS_OF, rows
 

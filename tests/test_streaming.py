@@ -3,8 +3,6 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
-
 from costspark.operators import optimize
 from costspark.streaming import alerts, updates
 from tests.conftest import rows
