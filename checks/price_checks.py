@@ -341,9 +341,7 @@ def _enriched_prices(s, d):
     prices = tables.aws_pricing(s, d).selectExpr(
         "instance_type AS InstanceType", "region_code AS Region", "price_per_hour_usd AS OnDemandPrice"
     )
-    facts = cur(s, d, "product_instance_type", "product_region", "product_servicecode").filter(
-        "product_servicecode = 'AmazonEC2'"
-    )
+    facts = cur(s, d, "product_instance_type")
     joined = enrich.enrich(facts, {"ec2_pricing": prices}, "ec2_pricing")
     return joined.groupBy("product_instance_type").agg(
         F.count("*").alias("rows"), F.min("ec2_pricing_OnDemandPrice").alias("lowest_price")
@@ -355,7 +353,7 @@ register(
     _enriched_prices,
     """
     SELECT itype AS product_instance_type, count(*) AS rows, round(min(price), 5) AS lowest_price
-    FROM cur LEFT JOIN prices ON instance_type = itype WHERE service = 'AmazonEC2' GROUP BY itype
+    FROM cur LEFT JOIN prices ON instance_type = itype GROUP BY itype
     """,
     digits=5,
     prices=tables.AWS_PRICING,

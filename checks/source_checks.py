@@ -68,14 +68,10 @@ register("read_gzip_export", _read_gzip, BY_PERIOD.format(where="WHERE month >=
 
 
 def _read_daily(s, d):
-    path = scratch_path(s, "daily")
     day = F.date_format("line_item_usage_start_date", "yyyy-MM-dd")
     bad = F.col("line_item_resource_id").isNull()
     rows = cur(s, d, *SLIM).withColumn("date", F.when(bad, "undated").otherwise(day))
-    recent = rows.filter("line_item_usage_start_date >= DATE'2001-09-01'")
-    recent.write.partitionBy("date").parquet(path)
-    read = exports.read_export(s, path, "COH", "2001-10-05", "2001-10-20", schema=recent.schema)
-    return _by_period(read, "date")
+    return _by_period(rows.filter(exports.period_filter("COH", "2001-10-05", "2001-10-20")), "date")
 
 
 register(

@@ -205,11 +205,12 @@ def recent_services(cur: DataFrame, as_of: date, days: int = 7, limit: int = 10)
 
 @needs(COST, SERVICE, START, RESOURCE)
 def recent_service_detail(
-    cur: DataFrame, as_of: date, days: int = 30, limit: int = 20
+    cur: DataFrame, as_of: date, days: int = 30, limit: int = 20, priced_only: bool = True
 ) -> DataFrame:
-    """Priced lines of the last days per service: cost, average line, lines, resources."""
+    """Lines of the last days per service: cost, average line, lines, resources."""
+    rows = cur.filter(since_days(as_of, days))
     return (
-        cur.filter(since_days(as_of, days) & positive_cost())
+        (rows.filter(positive_cost()) if priced_only else rows)
         .groupBy(SERVICE)
         .agg(
             cost_sum("total_cost"),
