@@ -86,15 +86,22 @@ def with_cur(body: str, **ctes: str) -> str:
     return f"WITH {head} {body}"
 
 
-def tidy(df: DataFrame, digits: int) -> DataFrame:
-    """Round doubles and join text arrays, so that results compare as values."""
+def tidy(df: DataFrame, digits: int | dict[str, int]) -> DataFrame:
+    """Round doubles and join text arrays, so that results compare as values.
+
+    ``digits`` may differ by column ("" is the rest): an average of prices needs
+    more places than a large sum holds, or it sits exactly between two values
+    and rounds by the order in which rows were added.
+    """
+    places = digits if isinstance(digits, dict) else {"": digits}
     out = []
     for f in df.schema.fields:
         c = f"`{f.name}`"
+        n = places.get(f.name, places[""])
         if isinstance(f.dataType, T.DoubleType):
-            out.append(f"round({c}, {digits}) AS {c}")
+            out.append(f"round({c}, {n}) AS {c}")
         elif isinstance(f.dataType, T.DecimalType) and f.dataType.scale > 4:
-            out.append(f"round(CAST({c} AS double), {digits}) AS {c}")
+            out.append(f"round(CAST({c} AS double), {n}) AS {c}")
         elif isinstance(f.dataType, T.ArrayType):
             out.append(f"array_join({c}, '; ') AS {c}")
         else:
@@ -106,7 +113,7 @@ def register(
     name: str,
     query: Callable[[SparkSession, str], DataFrame],
     sql: str | None = None,
-    digits: int = 2,
+    digits: int | dict[str, int] = 2,
     **ctes: str,
 ) -> None:
     """Add a query; ``sql`` is written over ``cur`` unless it starts with '--plain'."""

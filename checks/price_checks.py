@@ -219,15 +219,15 @@ register(
                  AND p.region_code = c.region AND p.operating_system = c.os AND p.tenancy = c.tenancy
                WHERE c.service = 'AmazonEC2' AND c.kind = 'Usage' AND p.price IS NOT NULL)
     SELECT service AS line_item_product_code, itype AS product_instance_type, region AS product_region,
-           operation AS line_item_operation, round(sum(cost), 7) AS actual_cost,
-           round(avg(price), 7) AS current_on_demand_rate, round(sum(usage), 7) AS usage_hours,
-           round(sum(usage * price), 7) AS theoretical_on_demand_cost,
-           round(sum(cost) - sum(usage * price), 7) AS savings_amount,
-           CASE WHEN sum(usage * price) > 0 THEN round((1 - sum(cost) / sum(usage * price)) * 100, 7) ELSE 0 END
+           operation AS line_item_operation, round(sum(cost), 5) AS actual_cost,
+           round(avg(price), 9) AS current_on_demand_rate, round(sum(usage), 5) AS usage_hours,
+           round(sum(usage * price), 5) AS theoretical_on_demand_cost,
+           round(sum(cost) - sum(usage * price), 5) AS savings_amount,
+           CASE WHEN sum(usage * price) > 0 THEN round((1 - sum(cost) / sum(usage * price)) * 100, 5) ELSE 0 END
                AS savings_percentage
     FROM j GROUP BY 1, 2, 3, 4
     """,
-    digits=7,
+    digits={"": 5, "current_on_demand_rate": 9},
     prices=tables.AWS_PRICING,
 )
 register(
@@ -294,15 +294,15 @@ register(
     lambda s, d: pricing.rds_cost(cur(s, d, pricing.rds_cost), tables.aws_rds_pricing(s, d)),
     """
     SELECT iclass AS product_instance_class, c.region AS product_region, c.engine AS product_database_engine,
-           c.deployment AS product_deployment_option, round(sum(cost), 7) AS actual_cost,
-           round(sum(usage), 7) AS usage_hours, round(avg(price), 7) AS current_on_demand_rate,
-           round(sum(usage * price), 7) AS theoretical_cost,
-           round(sum(cost) - sum(usage * price), 7) AS cost_difference
+           c.deployment AS product_deployment_option, round(sum(cost), 5) AS actual_cost,
+           round(sum(usage), 5) AS usage_hours, round(avg(price), 9) AS current_on_demand_rate,
+           round(sum(usage * price), 5) AS theoretical_cost,
+           round(sum(cost) - sum(usage * price), 5) AS cost_difference
     FROM cur c JOIN rds ON iclass = 'db.' || c.itype AND rds.region = c.region AND rds.engine = c.engine
          AND rds.deployment = c.deployment
     WHERE service = 'AmazonRDS' AND kind = 'Usage' GROUP BY 1, 2, 3, 4
     """,
-    digits=7,
+    digits={"": 5, "current_on_demand_rate": 9},
     rds=tables.RDS_PRICING,
 )
 

@@ -274,7 +274,7 @@ register(
          e AS (SELECT *, CASE WHEN u > 0 THEN c / u ELSE 0 END AS pu,
                       CASE WHEN r > 0 THEN c / r ELSE 0 END AS pr FROM d)
     SELECT usage_date, round(c, 4) AS daily_cost, round(u, 4) AS daily_usage, r AS active_resources,
-           round(pu, 4) AS cost_per_unit, round(pr, 2) AS cost_per_resource,
+           round(pu, 4) AS cost_per_unit, round(round(pr, 6), 2) AS cost_per_resource,
            round(avg(pu) OVER (ORDER BY usage_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4)
                AS avg_cost_per_unit_7day
     FROM e

@@ -11,7 +11,7 @@ from costspark.functions.cases import first_match
 from costspark.functions.dates import START, day_of, month_of, since_days, since_months
 from costspark.functions.filters import COST, positive_cost
 from costspark.functions.needs import needs
-from costspark.functions.ratios import ratio
+from costspark.functions.ratios import cents, ratio
 from costspark.operators.spend import (
     ACCOUNT,
     PAYER,
@@ -72,7 +72,7 @@ def service_efficiency(cur: DataFrame, service: str, as_of: date, days: int = 30
             "daily_usage",
             "active_resources",
             F.round("unit", 4).alias("cost_per_unit"),
-            F.round(per_resource, 2).alias("cost_per_resource"),
+            cents(per_resource).alias("cost_per_resource"),
             F.round(F.avg("unit").over(week), 4).alias("avg_cost_per_unit_7day"),
         )
         .orderBy("usage_date")
