@@ -3,24 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from costspark.llm.exact_dedup import exact_dedup
+from costspark.llm.near_join import near_join
+from costspark.llm.packing import pack
 from costspark.llm.secret_scan import redact, secret_spans
+from costspark.llm.toxicity import toxicity
 from costspark.runtime import materialise, scratch_path
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifiers call toxic go."""
+    scored = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays: the one with the largest doc_id."""
-    kept = exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One document of each group of equal texts stays: the one with the largest doc_id."""
+    gone = exact_dedup(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays: the one with the smallest doc_id."""
+    gone = near_join(docs).where("doc_id <> class_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span of the secret scan is replaced by a mark; the documents stay."""
-    return redact(docs, secret_spans(docs))
+    return redact(docs, secret_spans(docs)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents that are left, each with its sequence and place there."""
+    return pack(docs)
 
 
-STAGES = [("exact dedup", drop_copies), ("secret scans", hide_secrets)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("secret scans", hide_secrets),
+    ("best-fit packing", pack_sequences),
+]
 
 # Toxicity, near duplicates and packing have no SQL form.
 ORACLE_SQL = None

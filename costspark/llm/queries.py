@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from costspark.llm.exact_dedup import exact_dedup
 from costspark.llm.line_dedup import line_dedup
+from costspark.llm.near_join import near_join
+from costspark.llm.packing import pack
 from costspark.llm.secret_scan import secret_spans, span_text, with_spans
+from costspark.llm.toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,5 +63,25 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op3_exact_dedup": op3_exact_dedup, "op9_secret_scan": op9_secret_scan}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join(table(spark, sf_dir, "documents"), words=5, threshold=0.8)
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), capacity=2048, end_id=0)
+
+
+QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_toxicity": op2_toxicity,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op6_ngram_join": op6_ngram_join,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_secret_scan": op9_secret_scan,
+}
 ORACLE = {"op1_line_dedup": OP1, "op3_exact_dedup": OP3}

@@ -141,10 +141,12 @@ def with_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_c
     The columns ``spans`` and ``version``, if ``docs`` has them, are replaced.
     """
     right = spans.select(F.col(id_col).alias("_id"), F.col("version").alias("_version"), F.col("spans").alias("_spans"))
-    version = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.join(right, F.col(id_col).eqNullSafe(F.col("_id")) & (version == F.col("_version")), "left")
+    # The hash is a column before the join, so that a caller who needs no text moves none.
+    left = docs.withColumn("_text_version", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    same = left[id_col].eqNullSafe(F.col("_id")) & (F.col("_text_version") == F.col("_version"))
+    joined = left.join(right, same, "left")
     none = F.array().cast(spans.schema["spans"].dataType)
-    return joined.withColumn("spans", F.coalesce("_spans", none)).drop("_id", "_version", "_spans")
+    return joined.withColumn("spans", F.coalesce("_spans", none)).drop("_id", "_version", "_spans", "_text_version")
 
 
 def span_text(spans: Column) -> Column:
