@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from costspark.llm.chat import format_chats, read_back, unescape
 from costspark.llm.exact_dedup import exact_dedup
 from costspark.llm.line_dedup import line_dedup
+from costspark.llm.main_text import extract_main_text
+from costspark.llm.mtree import top_products
 from costspark.llm.near_join import near_join
 from costspark.llm.packing import pack
 from costspark.llm.secret_scan import secret_spans, span_text, with_spans
+from costspark.llm.sp_codec import sp_decode, sp_encode
 from costspark.llm.toxicity import toxicity
 
 
@@ -76,12 +86,91 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), capacity=2048, end_id=0)
 
 
+def op4_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_products(vectors, F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
+OP4 = """
+    WITH plain AS (
+        SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+        FROM plain q JOIN plain c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text and the text that they give back, as digests."""
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("ids")
+            own = [hashlib.sha256(np.asarray(x.values, "<i4").tobytes()).hexdigest() for x in ids]
+            lengths = pa.array([len(x.values) for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), lengths, pa.array(own), b.column("text")], names=["doc_id", "n_ids", "ids_sha256", "text"])
+
+    decoded = sp_decode(sp_encode(table(spark, sf_dir, "documents")))
+    found = decoded.mapInArrow(digests, "doc_id long, n_ids long, ids_sha256 string, text string")
+    return found.select("doc_id", "n_ids", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests read back from the formatted conversations and their loss masks."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+        for b in batches:
+            rows = []
+            for conv, text, spans in zip(b["conv_id"].tolist(), b["formatted"].tolist(), b["loss_spans"]):
+                turns = read_back(text)
+                learnt = "".join(unescape(text[s:e]) for s, e in spans)
+                whole = "".join(f"{role}\n{said}\n" for role, said in turns)
+                rows.append((conv, len(turns), sha(whole), len(learnt), sha(learnt), len(text)))
+            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+    said = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    return format_chats(turns).select("conv_id", "formatted", "loss_spans").mapInPandas(read, schema)
+
+
+OP10 = r"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+        UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(4 + 2 + 9
+               + length(regexp_replace(role, '\\|###|</turn>|: ', 'x\0', 'g'))
+               + length(regexp_replace(text, '\\|###|</turn>|: ', 'x\0', 'g'))) AS BIGINT) AS formatted_chars
+    FROM turns GROUP BY conv_id
+"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_mtree_topk": op4_mtree_topk,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_ngram_join": op6_ngram_join,
+    "op7_main_text": op7_main_text,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_secret_scan": op9_secret_scan,
+    "op10_chat_format": op10_chat_format,
 }
-ORACLE = {"op1_line_dedup": OP1, "op3_exact_dedup": OP3}
+ORACLE = {"op1_line_dedup": OP1, "op3_exact_dedup": OP3, "op4_mtree_topk": OP4, "op10_chat_format": OP10}
