@@ -177,7 +177,7 @@ register(
 
 
 def _matrix(s, d):
-    keys = pricing.matrix_keys(s)
+    keys = pricing.matrix_keys(tables.aws_pricing(s, d))
     metadata = price_list.instance_metadata(tables.documents(s, d))
     return pricing.pricing_matrix(keys, _compared(s, d, keys), metadata)
 
@@ -187,12 +187,10 @@ register(
     _matrix,
     """
     WITH k AS (SELECT unnest(['us-east-1', 'us-west-2', 'eu-west-1', 'ap-southeast-1']) AS region),
-    f AS (SELECT unnest(['nano', 'micro', 'small', 'medium', 'large', 'xlarge', '2xlarge']) AS size),
-    t AS (SELECT 't3.' || size AS itype FROM f UNION ALL SELECT 't3a.' || size FROM f UNION ALL
-          SELECT 'm5.' || unnest(['large', 'xlarge', '2xlarge', '4xlarge', '8xlarge', '12xlarge'])),
+    t AS (SELECT DISTINCT itype FROM cur WHERE usage > 0 AND region IS NOT NULL),
     ks AS (SELECT region, itype FROM k, t)
     SELECT ks.region, ks.itype AS instance_type,
-           CASE ks.itype WHEN 'm5.large' THEN '2' WHEN 'm5.xlarge' THEN '1' ELSE 'Unknown' END AS vcpu,
+           CASE ks.itype WHEN 'm5.large' THEN '2' ELSE '1' END AS vcpu,
            CASE ks.itype WHEN 'm5.large' THEN '8 GiB' ELSE 'Unknown' END AS memory,
            'EBS only' AS storage, 'Unknown' AS network_performance,
            round(od.price, 6) AS ondemand_hourly, round(od.price * 720, 6) AS ondemand_monthly,
@@ -337,12 +335,38 @@ register(
 )
 
 
+def _prices(s, d):
+    return tables.aws_pricing(s, d).selectExpr(
+        "instance_type AS InstanceType", "region_code AS Region", "operating_system AS OperatingSystem",
+        "tenancy AS Tenancy", "price_per_hour_usd AS OnDemandPrice",
+    )
+
+
 def _enriched_prices(s, d):
-    prices = tables.aws_pricing(s, d).selectExpr(
-        "instance_type AS InstanceType", "region_code AS Region", "price_per_hour_usd AS OnDemandPrice"
+    columns = ("product_instance_type", "product_region", "product_operating_system", "product_tenancy")
+    joined = enrich.enrich(cur(s, d, *columns), {"ec2_pricing": _prices(s, d)}, "ec2_pricing")
+    return joined.groupBy("product_instance_type").agg(
+        F.count("*").alias("rows"), F.sum("ec2_pricing_OnDemandPrice").alias("price_sum")
+    )
+
+
+register(
+    "enrich_prices",
+    _enriched_prices,
+    """
+    SELECT itype AS product_instance_type, count(*) AS rows, round(sum(price), 4) AS price_sum
+    FROM cur c LEFT JOIN prices p ON p.instance_type = c.itype AND p.region_code = c.region AND p.operating_system = c.os
+         AND p.tenancy = c.tenancy GROUP BY itype
+    """,
+    digits=4,
+    prices=tables.AWS_PRICING,
+)
+
+
+def _enriched_prices_first_key(s, d):
+    joined = enrich.enrich(
+        cur(s, d, "product_instance_type"), {"ec2_pricing": _prices(s, d)}, "ec2_pricing", full_key=False
     )
-    facts = cur(s, d, "product_instance_type")
-    joined = enrich.enrich(facts, {"ec2_pricing": prices}, "ec2_pricing")
     return joined.groupBy("product_instance_type").agg(
         F.count("*").alias("rows"), F.min("ec2_pricing_OnDemandPrice").alias("lowest_price")
     )
@@ -350,7 +374,7 @@ def _enriched_prices(s, d):
 
 register(
     "enrich_prices_first_key",
-    _enriched_prices,
+    _enriched_prices_first_key,
     """
     SELECT itype AS product_instance_type, count(*) AS rows, round(min(price), 5) AS lowest_price
     FROM cur LEFT JOIN prices ON instance_type = itype GROUP BY itype
@@ -360,12 +384,44 @@ register(
 )
 
 
+def _enriched_plans(s, d):
+    """One plan per account and region of the customers; rate and coverage from their numbers."""
+    columns = ("line_item_usage_account_id", "product_region", "line_item_usage_amount")
+    facts = cur(s, d, *columns)
+    plans = facts.select(
+        F.col("line_item_usage_account_id").alias("AccountId"), F.col("product_region").alias("Region")
+    ).distinct().withColumns(
+        {
+            "SavingsPlanId": F.concat_ws("-", F.lit("sp"), "AccountId", "Region"),
+            "HourlyRate": F.pmod(F.col("AccountId").cast("long"), F.lit(7)).cast("double") / 10,
+        }
+    ).filter(F.pmod(F.col("AccountId").cast("long"), F.lit(3)) > 0)
+    joined = enrich.enrich(facts, {"savings_plans": plans}, "savings_plans")
+    usage = F.col("line_item_usage_amount") * F.col("savings_plans_HourlyRate")
+    return joined.groupBy("product_region").agg(
+        F.count("*").alias("rows"), F.count("savings_plans_SavingsPlanId").alias("covered"), F.sum(usage).alias("plan_cost")
+    )
+
+
+register(
+    "enrich_savings_plans",
+    _enriched_plans,
+    """
+    SELECT region AS product_region, count(*) AS rows,
+           count(CASE WHEN region IS NOT NULL AND CAST(account AS BIGINT) % 3 > 0 THEN 1 END) AS covered,
+           round(sum(CASE WHEN region IS NOT NULL AND CAST(account AS BIGINT) % 3 > 0
+                     THEN usage * (CAST(account AS BIGINT) % 7) / 10.0 END), 2) AS plan_cost
+    FROM cur GROUP BY region
+    """,
+)
+
+
 def _enriched_focus(s, d):
     from costspark.plans.billing_view import focus_view
 
     invoices = tables.invoices(s, d).withColumn("BillingAccountId", F.col("AccountId"))
     joined = enrich.enrich(
-        focus_view(s, d), {"invoice_summaries": invoices}, "invoice_summaries", base="FOCUS"
+        focus_view(s, d), {"invoice_summaries": invoices}, "invoice_summaries", base="FOCUS", full_key=False
     )
     return joined.groupBy("ServiceName").agg(
         F.count("invoice_summaries_InvoiceId").alias("matched"), F.sum("ListCost").alias("list_cost")
@@ -386,9 +442,8 @@ def _rollup(s, d):
     accounts = table(s, d, "customer").selectExpr(
         "lpad(CAST(c_custkey AS string), 12, '0') AS account_id", "c_name AS account_name"
     )
-    columns = ("line_item_usage_account_id", "line_item_unblended_cost", "line_item_usage_amount",
-               "line_item_usage_start_date")
-    summary = cur(s, d, *columns).filter("line_item_usage_start_date >= DATE'2001-10-01'").selectExpr(
+    columns = ("line_item_usage_account_id", "line_item_unblended_cost", "line_item_usage_amount")
+    summary = cur(s, d, *columns).selectExpr(
         "line_item_usage_account_id AS linked_account_id",
         "line_item_unblended_cost AS unblended_cost",
         "line_item_usage_amount AS usage_quantity",
@@ -402,8 +457,7 @@ register(
     """
     SELECT lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS account_id, c_name AS account_name,
            round(sum(cost), 2) AS total_cost, count(*) AS total_line_items, sum(usage) AS total_usage
-    FROM customer LEFT JOIN (SELECT * FROM cur WHERE ts >= DATE '2001-10-01') v
-         ON v.account = lpad(CAST(c_custkey AS VARCHAR), 12, '0')
+    FROM customer LEFT JOIN cur v ON v.account = lpad(CAST(c_custkey AS VARCHAR), 12, '0')
     GROUP BY 1, 2
     """,
 )

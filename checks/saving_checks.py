@@ -13,7 +13,7 @@ IDLE = f"""
                GROUP BY resource, service, itype),
          idle AS (SELECT *, CASE WHEN u < 5 THEN 'idle' ELSE 'underutilized' END AS status,
                          CASE WHEN u < 5 THEN c * 0.9 ELSE c * 0.3 END AS saved
-                  FROM g WHERE u < 10 ORDER BY saved DESC, resource, service LIMIT 50),
+                  FROM g WHERE u < 10),
          risk AS (SELECT *, CASE WHEN service = 'ElasticLoadBalancing' THEN 'high'
                                  WHEN service = 'AmazonRDS' AND status = 'idle' THEN 'medium'
                                  WHEN status = 'idle' THEN 'low' ELSE 'medium' END AS risk_level FROM idle)
@@ -24,14 +24,14 @@ register(
     IDLE + """
     SELECT resource AS resource_id, service, itype AS instance_type, round(c, 4) AS monthly_cost,
            round(u, 4) AS utilization, status, round(saved, 4) AS potential_savings, risk_level
-    FROM risk
+    FROM risk ORDER BY saved DESC, resource, service LIMIT 50
     """,
     digits=4,
 )
 register(
     "termination_risk_levels",
     lambda s, d: optimize.risk_levels(
-        optimize.idle_resources(cur(s, d, optimize.idle_resources), AS_OF)
+        optimize.idle_resources(cur(s, d, optimize.idle_resources), AS_OF, limit=None)
     ),
     IDLE + """
     SELECT risk_level, count(*) AS resources, round(sum(saved), 2) AS potential_savings
@@ -49,7 +49,7 @@ SIZES = f"""
                       CASE WHEN (itype LIKE '%xlarge%' AND u < 50) OR (itype LIKE '%large%' AND u < 30)
                              OR (itype LIKE '%medium%' AND u < 20) THEN c * 0.5 ELSE c END AS nc
                FROM g WHERE u < 60),
-         t AS (SELECT * FROM r ORDER BY c - nc DESC, resource, itype LIMIT 20)
+         t AS (SELECT *, row_number() OVER (ORDER BY c - nc DESC, resource, itype) AS place FROM r)
 """
 register(
     "rightsizing",
@@ -61,14 +61,14 @@ register(
            CAST(round(CAST((c - nc) * 12 AS DECIMAL(28,6)), 2) AS DOUBLE) AS annual_savings,
            CASE WHEN u < 20 THEN 95 WHEN u < 40 THEN 85 WHEN u < 60 THEN 70 ELSE 50 END AS confidence_score,
            'low' AS risk_level
-    FROM t WHERE c - nc > 0
+    FROM t WHERE c - nc > 0 AND place <= 20
     """,
     digits=4,
 )
 register(
     "rightsizing_summary",
     lambda s, d: optimize.rightsizing_summary(
-        optimize.rightsizing(cur(s, d, optimize.rightsizing), AS_OF, min_records=1)
+        optimize.rightsizing(cur(s, d, optimize.rightsizing), AS_OF, min_records=1, limit=None)
     ),
     SIZES + """
     SELECT count(*) AS recommendations, round(coalesce(sum(c - nc), 0), 2) AS savings_potential,
@@ -237,11 +237,12 @@ register(
 STATUS = """CASE WHEN coalesce(env, team, project, owner) IS NULL THEN 'untagged'
     WHEN env IS NOT NULL AND team IS NOT NULL THEN 'fully_tagged'
     WHEN env IS NOT NULL OR team IS NOT NULL THEN 'partially_tagged' ELSE 'custom_tagged' END"""
-TAGGING = f"""
-    WITH t AS (SELECT resource, service, cost, {STATUS} AS status FROM cur
+TAGS = f"""
+         t AS (SELECT resource, service, cost, {STATUS} AS status FROM cur
                WHERE cost > 0 AND resource IS NOT NULL AND {MONTH}),
-         g AS (SELECT status, service, count(DISTINCT resource) AS n, sum(cost) AS c FROM t GROUP BY 1, 2)
+         gt AS (SELECT status, service, count(DISTINCT resource) AS n, sum(cost) AS c FROM t GROUP BY 1, 2)
 """
+TAGGING = "WITH " + TAGS
 register(
     "tagging_status",
     lambda s, d: (
@@ -261,7 +262,7 @@ register(
            round(c, 2) AS total_cost,
            round(n / CAST((SELECT count(DISTINCT resource) FROM t) AS DOUBLE) * 100, 2) AS resource_percentage,
            round(c / (SELECT sum(cost) FROM t) * 100, 2) AS cost_percentage
-    FROM g
+    FROM gt
     """,
 )
 
@@ -278,7 +279,7 @@ register(
            CAST(sum(CASE WHEN status <> 'untagged' THEN n ELSE 0 END) AS BIGINT) AS tagged_resources,
            round(sum(CASE WHEN status <> 'untagged' THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE) * 100, 1)
                AS compliance_score
-    FROM g
+    FROM gt
     """,
 )
 register(
@@ -290,7 +291,7 @@ register(
            CAST(sum(n) AS BIGINT) AS total_resources,
            round(sum(CASE WHEN status <> 'untagged' THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE) * 100, 1)
                AS coverage_percentage
-    FROM g GROUP BY service
+    FROM gt GROUP BY service
     """,
 )
 register(
@@ -299,7 +300,7 @@ register(
     TAGGING + """
     SELECT service, n AS resource_count, round(c, 2) AS cost_impact,
            round(c / (SELECT sum(cost) FROM t) * 100, 2) AS cost_percentage
-    FROM g WHERE status = 'untagged'
+    FROM gt WHERE status = 'untagged'
     """,
 )
 CENTERS = f"""
@@ -480,22 +481,23 @@ STABILITY = f"""
                FROM m GROUP BY 1, 2 HAVING count(*) >= 3),
          st AS (SELECT *, CASE WHEN sd / au < 0.2 THEN 'stable' WHEN sd / au < 0.5 THEN 'moderate'
                                ELSE 'volatile' END AS pattern
-                FROM t WHERE au > 0 ORDER BY ac DESC, service, itype LIMIT 20),
+                FROM t WHERE au > 0),
          rk AS (SELECT *, CASE WHEN pattern = 'volatile' OR sd / au > 0.5 THEN 'high'
                                WHEN pattern = 'moderate' THEN 'medium' ELSE 'low' END AS risk FROM st)
 """
 
 
 def _stability(s, d):
-    return commit.usage_stability(cur(s, d, commit.usage_stability), AS_OF)
+    return commit.usage_stability(cur(s, d, commit.usage_stability), AS_OF, limit=None)
 
 
 register(
     "usage_stability",
-    _stability,
+    on_cur(commit.usage_stability, AS_OF),
     STABILITY + """
     SELECT service, itype AS instance_type, round(au, 5) AS avg_monthly_usage, round(sd, 5) AS usage_stddev,
            round(ac, 5) AS avg_monthly_cost, n AS months_of_data, pattern AS usage_pattern FROM st
+    ORDER BY ac DESC, service, itype LIMIT 20
     """,
     digits=5,
 )

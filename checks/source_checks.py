@@ -27,7 +27,7 @@ def _periods(s, d, *columns):
 def _export(s, d):
     """The billing view written once as a partitioned export."""
     path = scratch_path(s, "export")
-    df = exports.materialise_export(_periods(s, d), path, overwrite=True)
+    df = exports.write_export(_periods(s, d), path)
     return path, df.schema
 
 
@@ -85,8 +85,8 @@ register(
 
 
 def _partitions(s, d):
-    path, schema = _export(s, d)
-    return exports.list_partitions(exports.read_export(s, path, schema=schema))
+    path, _ = _export(s, d)
+    return exports.list_partitions(exports.export_files(s, path))
 
 
 register(
@@ -97,33 +97,64 @@ register(
 
 
 def _inventory(s, d):
-    path, schema = _export(s, d)
-    return exports.partition_inventory(exports.read_export(s, path, schema=schema))
+    """Each period written as one file for each invoice number modulo 3."""
+    path = scratch_path(s, "inventory")
+    third = F.pmod(F.col("bill_invoice_id").cast("long"), F.lit(3))
+    for k in range(3):
+        rows = _periods(s, d).filter(third == k).repartition(4, "BILLING_PERIOD")
+        rows.write.mode("append").partitionBy("BILLING_PERIOD").parquet(path)
+    return exports.partition_inventory(exports.export_files(s, path)).select("partition", "files")
 
 
-register("partition_inventory", _inventory)
+register(
+    "partition_inventory",
+    _inventory,
+    """
+    SELECT strftime(month, '%Y-%m') AS partition, count(DISTINCT CAST(invoice AS BIGINT) % 3) AS files
+    FROM cur GROUP BY 1
+    """,
+)
 
 
 def _copied(s, d):
-    """A first copy of one month, then of everything twice: the month is skipped."""
-    path, schema = _export(s, d)
-    target = scratch_path(s, "copy")
-    source = exports.read_export(s, path, schema=schema)
-    exports.materialise_export(source.filter("BILLING_PERIOD = '1996-05'"), target)
-    doubled = source.unionByName(source)
-    return _by_period(exports.materialise_export(doubled, target))
+    """Copy, add a file to every period and a NULL period, copy twice: every row is there once."""
+    path, target = scratch_path(s, "grown"), scratch_path(s, "copy")
+    service = F.col("product_servicecode")
+    athena, lambda_ = service == "AmazonAthena", service == "AWSLambda"
+    every = _periods(s, d)
+    every.filter(~athena & ~lambda_).write.partitionBy("BILLING_PERIOD").parquet(path)
+    exports.materialise_export(s, path, target, every.schema)
+    late = every.filter(athena | lambda_).withColumn(
+        "BILLING_PERIOD", F.when(~lambda_, F.col("BILLING_PERIOD"))
+    )
+    late.write.mode("append").partitionBy("BILLING_PERIOD").parquet(path)
+    exports.materialise_export(s, path, target, every.schema)
+    return _by_period(exports.materialise_export(s, path, target, every.schema))
 
 
 register(
-    "materialise_export_skips_existing",
+    "materialise_export_new_files",
     _copied,
     """
-    SELECT strftime(month, '%Y-%m') AS period,
-           count(*) * CASE WHEN month = DATE '1996-05-01' THEN 1 ELSE 2 END AS lines,
-           round(sum(cost) * CASE WHEN month = DATE '1996-05-01' THEN 1 ELSE 2 END, 2) AS cost
-    FROM cur GROUP BY month
+    SELECT CASE WHEN service <> 'AWSLambda' THEN strftime(month, '%Y-%m') END AS period,
+           count(*) AS lines, round(sum(cost), 2) AS cost
+    FROM cur GROUP BY 1
     """,
 )
+
+
+def _read_mixed(s, d):
+    """A folder with Parquet files of some periods and gzip files of the others."""
+    path = scratch_path(s, "mixed")
+    rows = _periods(s, d)
+    early = F.col("BILLING_PERIOD") < "1999-01"
+    rows.filter(early).write.partitionBy("BILLING_PERIOD").parquet(path)
+    flat = sinks.flat(rows.filter(~early)).write.mode("append").partitionBy("BILLING_PERIOD")
+    flat.csv(path, header=True, compression="gzip")
+    return _by_period(exports.read_export(s, path, schema=rows.schema, file_format="auto"))
+
+
+register("read_mixed_export", _read_mixed, BY_PERIOD.format(where=""))
 register(
     "adhoc_parquet_query",
     lambda s, d: exports.query_files(
@@ -327,7 +358,21 @@ register(
 )
 register(
     "sample_rows",
-    lambda s, d: exports.sample(cur(s, d, *SLIM), 100),
+    lambda s, d: exports.sample(cur(s, d, *SLIM), 100, SLIM),
+    """
+    SELECT invoice AS bill_invoice_id, account AS line_item_usage_account_id, ts AS line_item_usage_start_date,
+           usage AS line_item_usage_amount, round(cost, 2) AS line_item_unblended_cost,
+           resource AS line_item_resource_id, service AS product_servicecode
+    FROM cur ORDER BY invoice, account, ts, usage NULLS FIRST, cost, resource NULLS FIRST, service LIMIT 100
+    """,
+)
+register(
+    "capped_rows",
+    lambda s, d: exports.cap_rows(
+        cur(s, d, "product_servicecode", "line_item_unblended_cost").groupBy("product_servicecode")
+        .agg(F.sum("line_item_unblended_cost").alias("cost")).orderBy(F.desc("cost")), 2
+    ),
+    "SELECT service AS product_servicecode, round(sum(cost), 2) AS cost FROM cur GROUP BY 1 ORDER BY 2 DESC LIMIT 2",
 )
 register(
     "table_overview",

@@ -110,39 +110,50 @@ LANDED = (
 
 
 def _updated(update, months=12):
-    """Billing rows written as files, streamed, and ``update`` rerun on what landed."""
+    """Billing rows as files that arrive one by one, the oldest months last, and the result they leave."""
 
     def run(s, d):
         source, path = scratch_path(s, "lines"), scratch_path(s, "updates")
         rows = billing_view(s, d, *LANDED)
-        rows.write.parquet(source)
-        stream = s.readStream.schema(rows.schema).parquet(source)
+        late = F.col("line_item_usage_start_date") < "2000-01-01"
+        third = F.pmod(F.xxhash64("line_item_resource_id"), F.lit(2)) == 0
+        for part in (rows.filter(~late & third), rows.filter(~late & ~third), rows.filter(late)):
+            part.coalesce(1).write.mode("append").parquet(source)
+        stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
         updates.start_updates(
             stream, update, path, "scheduled", months=months
         ).awaitTermination()
-        return s.read.parquet(f"{path}/result")
+        return updates.latest_result(s, path)
 
     return run
 
 
 register(
     "stream_optimization_opportunities",
-    _updated(updates.opportunities, months=0),
+    _updated(updates.opportunities(min_records=1), months=0),
     """
     WITH m AS (SELECT * FROM cur WHERE cost > 0 AND month = (SELECT max(month) FROM cur)),
     i AS (SELECT resource, service, sum(cost) AS c, avg(CASE WHEN usage > 0 THEN usage ELSE 0 END) AS u FROM m
           WHERE service IN ('AmazonEC2', 'AmazonRDS', 'ElasticLoadBalancing') GROUP BY resource, service, itype
-          HAVING u < 10)
+          HAVING u < 10),
+    g AS (SELECT resource, itype, sum(cost) AS c, avg(usage) AS u FROM m
+          WHERE service = 'AmazonEC2' GROUP BY resource, itype HAVING count(*) > 1),
+    z AS (SELECT resource, u, c * 0.5 AS saved FROM g
+          WHERE u < 60 AND ((itype LIKE '%xlarge%' AND u < 50) OR (itype LIKE '%large%' AND u < 30)
+                            OR (itype LIKE '%medium%' AND u < 20)))
     SELECT concat_ws('-', 'idle', resource, service) AS opportunity_id, 'idle_resource' AS type,
            round(c * CASE WHEN u < 5 THEN 0.9 ELSE 0.3 END, 4) AS potential_savings, 90 AS confidence,
            u < 5 AS action_required
-    FROM i
+    FROM i UNION ALL
+    SELECT 'rightsizing_' || resource, 'rightsizing', CAST(round(CAST(saved AS DECIMAL(28,6)), 2) AS DOUBLE),
+           CASE WHEN u < 20 THEN 95 WHEN u < 40 THEN 85 ELSE 70 END, true
+    FROM z
     """,
     digits=4,
 )
 register(
     "stream_next_month_forecast",
-    _updated(updates.next_month),
+    _updated(updates.next_month()),
     f"""
     WITH m AS (SELECT month, sum(cost) AS s FROM cur
                WHERE cost > 0 AND ts >= (SELECT CAST(max(ts) AS DATE) FROM cur) - INTERVAL 12 MONTH GROUP BY month),
@@ -153,7 +164,7 @@ register(
 )
 register(
     "stream_service_forecasts",
-    _updated(updates.service_forecasts),
+    _updated(updates.service_forecasts()),
     FORECAST.replace(f"{DAY} -", "(SELECT CAST(max(ts) AS DATE) FROM cur) -") + """
     SELECT service, mo AS month, round(greatest(0, v), 6) AS forecasted_cost,
            round(greatest(0, v * 0.85), 6) AS lower, round(v * 1.15, 6) AS upper, conf AS confidence, trend FROM f

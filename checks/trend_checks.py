@@ -1,7 +1,7 @@
 """Anomalies, growth patterns, forecasts and KPIs."""
 
 from checks.base import AS_OF, DAY, MONTH, cur, on_cur, register
-from checks.saving_checks import IDLE, TAGGING
+from checks.saving_checks import IDLE, TAGS
 from costspark.operators import allocate, anomaly, forecast, kpi, optimize, spend
 from costspark.operators.kpi import KpiRule
 
@@ -15,8 +15,7 @@ DAILY = f"""
                       CASE WHEN c > a + sd * 2 THEN 'high_spend_anomaly'
                            WHEN c < a - sd * 2 AND c > 0 THEN 'low_spend_anomaly' ELSE 'normal' END AS kind
                FROM d JOIN s ON s.service = d.service AND s.region = d.region),
-         an AS (SELECT *, c - a AS dev FROM x WHERE kind <> 'normal'
-                ORDER BY abs(c - a) DESC, day, service, region LIMIT 20),
+         an AS (SELECT *, c - a AS dev FROM x WHERE kind <> 'normal'),
          gr AS (SELECT *, CASE WHEN z > 3 THEN 'high' WHEN z > 2.5 THEN 'medium' ELSE 'low' END AS severity,
                        round(least(95, greatest(60, 95 - (z - 2) * 10)), 1) AS confidence FROM an),
          rc(service, kind, text) AS (VALUES ('AmazonEC2', 'high_spend_anomaly', 'New or larger instances'),
@@ -34,7 +33,7 @@ CAUSES = [
 
 def _graded(s, d):
     return anomaly.grade_anomalies(
-        anomaly.detect_anomalies(cur(s, d, anomaly.detect_anomalies), AS_OF)
+        anomaly.detect_anomalies(cur(s, d, anomaly.detect_anomalies), AS_OF, limit=None)
     )
 
 
@@ -49,7 +48,7 @@ ANOMALY = """day AS usage_date, service AS product_servicecode, region AS produc
 register(
     "detect_anomalies",
     on_cur(anomaly.detect_anomalies, AS_OF),
-    DAILY + f"SELECT {ANOMALY} FROM an",
+    DAILY + f"SELECT {ANOMALY} FROM an ORDER BY abs(c - a) DESC, day, service, region LIMIT 20",
     digits=6,
 )
 register(
@@ -88,9 +87,14 @@ register(
             )
         )
     ),
-    DAILY[: DAILY.index("gr AS")].replace("INTERVAL 30 DAY", "INTERVAL 2000 DAY").replace(
-        "ORDER BY abs(c - a) DESC, day, service, region LIMIT 20", ""
-    ).rstrip().rstrip(",") + """
+    f"""
+    WITH d AS (SELECT CAST(ts AS DATE) AS day, service, region, sum(cost) AS c FROM cur
+               WHERE cost > 0 AND ts >= {DAY} - INTERVAL 2000 DAY GROUP BY 1, 2, 3),
+         s AS (SELECT service, region, avg(c) AS a, stddev_samp(c) AS sd FROM d
+               GROUP BY 1, 2 HAVING count(*) >= 7),
+         an AS (SELECT d.service, CASE WHEN sd > 0 THEN abs(c - a) / sd ELSE 0 END AS z
+                FROM d JOIN s ON s.service = d.service AND s.region = d.region
+                WHERE c > a + sd * 2 OR (c < a - sd * 2 AND c > 0))
     SELECT service, count(*) AS high_severity_count, CASE WHEN count(*) > 2 THEN 'high' ELSE 'medium' END
         AS probability
     FROM an WHERE z > 3 GROUP BY service HAVING count(*) > 1
@@ -429,14 +433,14 @@ register(
 
 
 def _health(s, d):
-    idle = optimize.idle_resources(cur(s, d, optimize.idle_resources), AS_OF)
+    idle = optimize.idle_resources(cur(s, d, optimize.idle_resources), AS_OF, limit=None)
     score = allocate.compliance_score(
         allocate.tagging_compliance(cur(s, d, allocate.tagging_compliance), AS_OF)
     )
     return kpi.cost_health_check(_savings(s, d), idle, score)
 
 
-HEALTH = IDLE + "," + TAGGING.strip()[5:] + f""", {SAVINGS},
+HEALTH = IDLE + "," + TAGS + f""", {SAVINGS},
     cs AS (SELECT round(sum(CASE WHEN status <> 'untagged' THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE) * 100, 1)
                AS tags FROM gt),
     h0 AS (SELECT spend, pot, pot / spend * 100 AS ratio, (SELECT count(*) FROM idle) AS idles,
@@ -445,8 +449,6 @@ HEALTH = IDLE + "," + TAGGING.strip()[5:] + f""", {SAVINGS},
                  round((round(least(100, ratio * 2), 1) + greatest(0, 100 - idles * 5) + tags) / 3, 1) AS overall
           FROM h0)
 """
-# Both parts call a step "g"; the tagging one is renamed.
-HEALTH = HEALTH.replace("g AS (SELECT status, service, count(DISTINCT resource)", "gt AS (SELECT status, service, count(DISTINCT resource)")
 FINDINGS = """concat_ws('; ', CASE WHEN tags < 70 THEN 'Low tagging compliance detected' END,
     CASE WHEN idles > 5 THEN CAST(idles AS VARCHAR) || ' idle resources found' END,
     CASE WHEN ratio > 20 THEN 'High optimization potential identified' END)"""

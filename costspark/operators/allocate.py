@@ -197,7 +197,7 @@ def tag_rule_impact(cur: DataFrame, rules: DataFrame, as_of: date) -> DataFrame:
     current = F.filter(
         "entries", lambda e: (e["key"] == wanted) | (e["key"] == F.concat(F.lit("user:"), wanted))
     )
-    same = F.exists(current, lambda e: e["value"] == F.col("tag_value"))
+    same = F.exists(current, lambda e: e["value"].eqNullSafe(F.col("tag_value")))
     hits = (
         tagged.join(rules, "service")
         .filter(~same)

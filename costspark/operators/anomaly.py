@@ -12,6 +12,7 @@ from costspark.functions.dates import START, day_of, since_days, since_months
 from costspark.functions.filters import COST, positive_cost
 from costspark.functions.needs import needs
 from costspark.functions.ratios import cents, ratio
+from costspark.functions.top import first_rows
 from costspark.operators.spend import REGION, SERVICE, cost_sum, monthly_cost
 
 # Fixed values.
@@ -76,7 +77,7 @@ def detect_anomalies(
         )
         .orderBy(F.desc(F.abs("cost_deviation")), "usage_date", SERVICE, REGION)
     )
-    return out if limit is None else out.limit(limit)
+    return first_rows(out, limit)
 
 
 def grade_anomalies(anomalies: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from costspark.functions.dates import START, in_month, month_of, since_months
 from costspark.functions.filters import COST, positive_cost
 from costspark.functions.needs import needs
 from costspark.functions.ratios import cents, ratio
+from costspark.functions.top import first_rows
 from costspark.operators.spend import ACCOUNT, RESOURCE, SERVICE, USAGE, by_keys_and_ids, cost_sum
 
 LINE_TYPE = "line_item_line_item_type"
@@ -171,7 +172,7 @@ def negotiation_summary(opportunities: DataFrame) -> DataFrame:
 
 @needs(SERVICE, TYPE, COST, USAGE, START)
 def usage_stability(
-    cur: DataFrame, as_of: date, months: int = 6, limit: int = 20
+    cur: DataFrame, as_of: date, months: int = 6, limit: int | None = 20
 ) -> DataFrame:
     """Mean and spread of monthly usage per service and instance type."""
     monthly = (
@@ -194,7 +195,7 @@ def usage_stability(
             F.when(spread < 0.2, "stable").when(spread < 0.5, "moderate").otherwise("volatile"),
         )
         .orderBy(F.desc("avg_monthly_cost"), "service", "instance_type")
-        .limit(limit)
+        .transform(first_rows, limit)
     )
 
 

@@ -8,10 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from costspark.functions.top import first_rows
+
 
 @dataclass(frozen=True)
 class Enrichment:
-    """How a table joins a base table; the first key is the one used by default."""
+    """How a table joins a base table; the keys together name one row of it."""
 
     table_id: str
     name: str
@@ -33,7 +35,12 @@ ENRICHMENTS = {
         Enrichment(
             "ec2_pricing",
             "EC2_PRICING",
-            (("product_instance_type", "InstanceType"), ("product_region", "Region")),
+            (
+                ("product_instance_type", "InstanceType"),
+                ("product_region", "Region"),
+                ("product_operating_system", "OperatingSystem"),
+                ("product_tenancy", "Tenancy"),
+            ),
             "high",
             "pricing",
         ),
@@ -77,13 +84,14 @@ def enrich(
     tables: Mapping[str, DataFrame],
     *table_ids: str,
     base: str = "CUR",
-    full_key: bool = False,
+    full_key: bool = True,
 ) -> DataFrame:
     """Left-join the named tables; their columns arrive as ``<table_id>_<column>``.
 
-    By default only the first declared key is used, as in the original: a table
-    with several rows for it multiplies the facts.  ``full_key=True`` joins on
-    every declared key.  Join strategy is left to table sizes and to adaptive
+    All declared keys are used; a table that is unique on them (``repeated_keys``
+    tells) leaves the number of facts as it is.  ``full_key=False`` joins on the
+    first key alone, as the original does: a table with several rows for it
+    multiplies the facts.  Join strategy is left to table sizes and to adaptive
     skew handling.
     """
     known = {e.table_id: e for e in ENRICHMENTS[base.upper()]}
@@ -102,6 +110,12 @@ def enrich(
     return out
 
 
+def repeated_keys(table: DataFrame, table_id: str, base: str = "CUR") -> DataFrame:
+    """Keys of a joinable table that more than one of its rows has: none if it is unique."""
+    (known,) = (e for e in ENRICHMENTS[base.upper()] if e.table_id == table_id)
+    return table.groupBy([target for _, target in known.keys]).agg(F.count("*").alias("rows")).filter("rows > 1")
+
+
 def account_rollup(
     accounts: DataFrame, summary: DataFrame, limit: int | None = 10
 ) -> DataFrame:
@@ -127,4 +141,4 @@ def account_rollup(
         )
         .orderBy(F.desc_nulls_last("total_cost"), "account_id")
     )
-    return out if limit is None else out.limit(limit)
+    return first_rows(out, limit)

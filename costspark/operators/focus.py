@@ -8,17 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from costspark.functions.dates import since_months
+from costspark.functions.top import first_rows
 
 PERIOD = "BillingPeriodStart"
 
 
-def cost_by_service(focus: DataFrame, as_of: date, months: int = 1, limit: int = 20) -> DataFrame:
+def cost_by_service(focus: DataFrame, as_of: date, months: int = 1, limit: int | None = 20) -> DataFrame:
     return (
         focus.filter(since_months(as_of, months, PERIOD))
         .groupBy("ServiceCategory", "ServiceName")
         .agg(F.sum("EffectiveCost").alias("TotalCost"), F.count("*").alias("RecordCount"))
         .orderBy(F.desc("TotalCost"), "ServiceCategory", "ServiceName")
-        .limit(limit)
+        .transform(first_rows, limit)
     )
 
 
@@ -51,7 +52,7 @@ def commitment_discounts(focus: DataFrame, as_of: date, months: int = 1) -> Data
 
 
 def resource_use_by_type(
-    focus: DataFrame, as_of: date, months: int = 1, limit: int = 15
+    focus: DataFrame, as_of: date, months: int = 1, limit: int | None = 15
 ) -> DataFrame:
     return (
         focus.filter(F.col("ResourceId").isNotNull() & since_months(as_of, months, PERIOD))
@@ -63,5 +64,5 @@ def resource_use_by_type(
             F.avg("EffectiveCost").alias("AvgCostPerResource"),
         )
         .orderBy(F.desc("TotalCost"), "ResourceType", "ConsumedUnit")
-        .limit(limit)
+        .transform(first_rows, limit)
     )

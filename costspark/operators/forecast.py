@@ -11,6 +11,7 @@ from costspark.functions.dates import START, in_month, since_months
 from costspark.functions.filters import COST, positive_cost
 from costspark.functions.needs import needs
 from costspark.functions.ratios import cents, ratio
+from costspark.functions.top import first_rows
 from costspark.operators.commit import seasonal_factor, with_future_months
 from costspark.operators.spend import REGION, RESOURCE, SERVICE, cost_sum, monthly_cost
 
@@ -115,13 +116,13 @@ def _priced_month(cur: DataFrame, as_of: date) -> DataFrame:
 
 
 @needs(START, COST, SERVICE, RESOURCE)
-def highest_cost_services(cur: DataFrame, as_of: date, limit: int = 5) -> DataFrame:
+def highest_cost_services(cur: DataFrame, as_of: date, limit: int | None = 5) -> DataFrame:
     return (
         _priced_month(cur, as_of)
         .groupBy(SERVICE)
         .agg(cost_sum("total_cost"), F.countDistinct(RESOURCE).alias("resource_count"))
         .orderBy(F.desc("total_cost"), SERVICE)
-        .limit(limit)
+        .transform(first_rows, limit)
     )
 
 

@@ -13,6 +13,7 @@ from costspark.functions.dates import START, day_of, in_month, since_days
 from costspark.functions.filters import COST, positive_cost
 from costspark.functions.needs import needs
 from costspark.functions.ratios import cents, percent
+from costspark.functions.top import first_rows
 from costspark.operators.spend import REGION, RESOURCE, SERVICE, USAGE, USAGE_TYPE, cost_sum
 
 TYPE = "product_instance_type"
@@ -47,17 +48,35 @@ def idle_resources(
     Under the threshold is idle (90 % of the cost could go), else underutilised
     (30 %).  Usage of 0, below 0 or NULL counts as 0 in the average.
     """
-    used = F.when(F.col(USAGE) > 0, F.col(USAGE)).otherwise(0.0)
     groups = (
         cur.filter(positive_cost() & F.col(SERVICE).isin(list(services)) & in_month(as_of))
-        .groupBy(
-            F.col(RESOURCE).alias("resource_id"),
-            F.col(SERVICE).alias("service"),
-            F.col(TYPE).alias("instance_type"),
-        )
-        .agg(cost_sum("monthly_cost"), F.avg(used).alias("utilization"))
-        .filter(F.col("utilization") < 2 * threshold)
+        .groupBy(RESOURCE, SERVICE, TYPE)
+        .agg(*usage_sums())
     )
+    return idle_groups(groups, threshold, limit)
+
+
+def usage_sums() -> list[Column]:
+    """Cost and usage of a resource as sums, which add up over parts of its lines."""
+    used = F.when(F.col(USAGE) > 0, F.col(USAGE)).otherwise(0.0)
+    return [
+        cost_sum("monthly_cost"),
+        F.sum(used).alias("used_sum"),
+        F.sum(USAGE).alias("usage_sum"),
+        F.count(USAGE).alias("usage_lines"),
+        F.count("*").alias("records"),
+    ]
+
+
+def idle_groups(groups: DataFrame, threshold: float = 5.0, limit: int | None = 50) -> DataFrame:
+    """``idle_resources`` from ``usage_sums`` per resource, service and type of one month."""
+    groups = groups.select(
+        F.col(RESOURCE).alias("resource_id"),
+        F.col(SERVICE).alias("service"),
+        F.col(TYPE).alias("instance_type"),
+        "monthly_cost",
+        (F.col("used_sum") / F.col("records")).alias("utilization"),
+    ).filter(F.col("utilization") < 2 * threshold)
     idle = F.col("utilization") < threshold
     out = (
         groups.withColumns(
@@ -69,7 +88,7 @@ def idle_resources(
         .withColumn("risk_level", termination_risk())
         .orderBy(F.desc("potential_savings"), "resource_id", "service")
     )
-    return out if limit is None else out.limit(limit)
+    return first_rows(out, limit)
 
 
 def risk_levels(idle: DataFrame) -> DataFrame:
@@ -92,14 +111,28 @@ def rightsizing(
     service: str = "AmazonEC2",
     min_records: int = 10,
     max_usage: float = 60.0,
-    limit: int = 20,
+    limit: int | None = 20,
 ) -> DataFrame:
     """Instances that could go one size down at half the cost.
 
     The ``limit`` largest candidates are taken before those without savings
-    drop out, and the size is replaced inside the name (``2xlarge`` becomes
+    drop out (no cut with None, as summaries need), and the size is replaced inside the name (``2xlarge`` becomes
     ``2large``); both follow the original.
     """
+    groups = (
+        cur.filter(
+            positive_cost() & (F.col(SERVICE) == service) & F.col(TYPE).isNotNull() & in_month(as_of)
+        )
+        .groupBy(RESOURCE, TYPE)
+        .agg(*usage_sums())
+    )
+    return smaller_groups(groups, min_records, max_usage, limit)
+
+
+def smaller_groups(
+    groups: DataFrame, min_records: int = 10, max_usage: float = 60.0, limit: int | None = 20
+) -> DataFrame:
+    """``rightsizing`` from ``usage_sums`` per resource and type of one month."""
     size, cost = F.col(TYPE), F.col("monthly_cost")
     fits = {
         (name, smaller): size.contains(name) & (F.col("avg_usage") < below)
@@ -109,13 +142,8 @@ def rightsizing(
         ((hit, F.replace(size, F.lit(old), F.lit(new))) for (old, new), hit in fits.items()), size
     )
     new_cost = first_match(((hit, cost * 0.5) for hit in fits.values()), cost)
-    groups = (
-        cur.filter(
-            positive_cost() & (F.col(SERVICE) == service) & size.isNotNull() & in_month(as_of)
-        )
-        .groupBy(RESOURCE, TYPE)
-        .agg(cost_sum("monthly_cost"), F.avg(USAGE).alias("avg_usage"), F.count("*").alias("records"))
-        .filter((F.col("records") > min_records) & (F.col("avg_usage") < max_usage))
+    groups = groups.withColumn("avg_usage", F.try_divide(F.col("usage_sum"), F.col("usage_lines"))).filter(
+        (F.col("records") > min_records) & (F.col("avg_usage") < max_usage)
     )
     top = (
         groups.select(
@@ -128,7 +156,7 @@ def rightsizing(
         )
         .withColumn("savings", F.col("monthly_cost") - F.col("estimated_new_cost"))
         .orderBy(F.desc("savings"), "resource_id", "current_instance_type")
-        .limit(limit)
+        .transform(first_rows, limit)
     )
     return top.filter("savings > 0").select(
         F.concat(F.lit("rightsizing_"), "resource_id").alias("id"),
@@ -354,7 +382,7 @@ def reservation_coverage(
 
 @needs(RESOURCE, SERVICE, COST, USAGE, START)
 def resource_utilization(
-    cur: DataFrame, as_of: date, days: int = 7, min_cost: float = 10.0, limit: int = 100
+    cur: DataFrame, as_of: date, days: int = 7, min_cost: float = 10.0, limit: int | None = 100
 ) -> DataFrame:
     """The costliest resources of the last days with usage and first and last use."""
     return (
@@ -369,5 +397,5 @@ def resource_utilization(
         )
         .filter(F.col("total_cost") > min_cost)
         .orderBy(F.desc("total_cost"), RESOURCE, SERVICE)
-        .limit(limit)
+        .transform(first_rows, limit)
     )

@@ -21,6 +21,7 @@ from costspark.functions.dates import (
 from costspark.functions.filters import COST, base_filter, date_filter, positive_cost
 from costspark.functions.needs import needs
 from costspark.functions.ratios import cents, change_percent, percent, with_share
+from costspark.functions.top import first_rows
 
 SERVICE = "product_servicecode"
 REGION = "product_region"
@@ -114,7 +115,7 @@ def next_month_forecast(summary: DataFrame) -> DataFrame:
 
 
 @needs(START, COST, REGION)
-def top_regions(cur: DataFrame, as_of: date, limit: int = 10) -> DataFrame:
+def top_regions(cur: DataFrame, as_of: date, limit: int | None = 10) -> DataFrame:
     """Regions of the month by spend, with share and change against last month.
 
     Both months come from one scan; share is of all spend, unnamed regions too.
@@ -135,12 +136,12 @@ def top_regions(cur: DataFrame, as_of: date, limit: int = 10) -> DataFrame:
             change_percent("spend", "before").alias("mom_change"),
         )
         .orderBy(F.desc("spend"), "region_name")
-        .limit(limit)
+        .transform(first_rows, limit)
     )
 
 
 @needs(START, COST, SERVICE, RESOURCE)
-def top_services(cur: DataFrame, as_of: date, limit: int = 10) -> DataFrame:
+def top_services(cur: DataFrame, as_of: date, limit: int | None = 10) -> DataFrame:
     """Services of the month by spend, with share of all spend and resources used."""
     groups = (
         cur.filter(positive_cost() & in_month(as_of))
@@ -152,7 +153,7 @@ def top_services(cur: DataFrame, as_of: date, limit: int = 10) -> DataFrame:
         .filter("service_name IS NOT NULL")
         .select("service_name", "spend", "percentage", "resource_count")
         .orderBy(F.desc("spend"), "service_name")
-        .limit(limit)
+        .transform(first_rows, limit)
     )
 
 
@@ -161,7 +162,7 @@ def spend_breakdown(
     cur: DataFrame,
     as_of: date,
     dimensions: Sequence[str] = ("region", "service"),
-    limit: int = 50,
+    limit: int | None = 50,
     cube: bool = False,
 ) -> DataFrame:
     """Month spend by any of region and service; no dimension gives the total.
@@ -175,7 +176,7 @@ def spend_breakdown(
     if not keys:
         return month.agg(*measures).select(F.lit("All").alias("dimension"), "spend", "resource_count")
     grouped = month.cube(*keys) if cube else month.groupBy(*keys)
-    return grouped.agg(*measures).orderBy(F.desc("spend"), *names).limit(limit)
+    return grouped.agg(*measures).orderBy(F.desc("spend"), *names).transform(first_rows, limit)
 
 
 @needs(START, COST, SERVICE, REGION, RESOURCE)
@@ -183,15 +184,18 @@ def spend_extract(
     cur: DataFrame,
     start: date | datetime | None = None,
     end: date | datetime | None = None,
-    limit: int = 10000,
+    limit: int | None = 10000,
 ) -> DataFrame:
     """The newest ``limit`` priced line items, five columns, dates inclusive.
 
     A sort with a large limit keeps ``limit`` rows per task and merges them in
     one.  Counting rows per day first tells from which day on the newest
-    ``limit`` rows must lie; only those days are read and sorted.
+    ``limit`` rows must lie; only those days are read and sorted.  Without a
+    limit all lines come back unsorted.
     """
     kept = cur.filter(positive_cost() & date_filter(start, end))
+    if limit is None:
+        return kept.select(START, SERVICE, REGION, COST, RESOURCE)
     newer = Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, 0)
     days = kept.groupBy(day_of().alias("day")).agg(F.count("*").alias("n"))
     totals = days.select("day", F.sum("n").over(newer).alias("total"))
@@ -201,7 +205,7 @@ def spend_extract(
         kept.filter(F.col(START) >= first_day)
         .select(START, SERVICE, REGION, COST, RESOURCE)
         .orderBy(F.desc(START), F.desc(COST), SERVICE, REGION, RESOURCE)
-        .limit(limit)
+        .transform(first_rows, limit)
     )
 
 
@@ -217,7 +221,7 @@ def monthly_aggregation(cur: DataFrame, by: Sequence[str] = (), where: Column |
 
 
 @needs(START, COST, SERVICE, RESOURCE)
-def service_summary(cur: DataFrame, billing_period: str | None = None, limit: int = 20) -> DataFrame:
+def service_summary(cur: DataFrame, billing_period: str | None = None, limit: int | None = 20) -> DataFrame:
     return (
         cur.filter(base_filter(billing_period=billing_period))
         .groupBy(F.col(SERVICE).alias("service"))
@@ -228,7 +232,7 @@ def service_summary(cur: DataFrame, billing_period: str | None = None, limit: in
             F.avg(COST).alias("avg_cost_per_line_item"),
         )
         .orderBy(F.desc("total_cost"), "service")
-        .limit(limit)
+        .transform(first_rows, limit)
     )
 
 
@@ -284,7 +288,7 @@ def overall_totals(cur: DataFrame) -> DataFrame:
 
 
 @needs(COST, SERVICE, START)
-def daily_costs(cur: DataFrame, limit: int = 30) -> DataFrame:
+def daily_costs(cur: DataFrame, limit: int | None = 30) -> DataFrame:
     """The first ``limit`` usage dates: cost, lines, distinct services."""
     return (
         cur.groupBy(F.col(START).alias("date"))
@@ -294,7 +298,7 @@ def daily_costs(cur: DataFrame, limit: int = 30) -> DataFrame:
             F.countDistinct(SERVICE).alias("unique_services"),
         )
         .orderBy("date")
-        .limit(limit)
+        .transform(first_rows, limit)
     )
 
 
@@ -312,13 +316,13 @@ def billing_period_summary(cur: DataFrame) -> DataFrame:
 
 
 @needs(COST, REGION, SERVICE)
-def region_service_usage(cur: DataFrame, limit: int = 10) -> DataFrame:
+def region_service_usage(cur: DataFrame, limit: int | None = 10) -> DataFrame:
     return (
         cur.filter(positive_cost() & F.col(REGION).isNotNull() & (F.col(REGION) != ""))
         .groupBy(F.col(REGION).alias("region"), SERVICE)
         .agg(cost_sum("cost"), F.count(F.lit(1)).alias("usage_records"))
         .orderBy(F.desc("cost"), "region", SERVICE)
-        .limit(limit)
+        .transform(first_rows, limit)
     )
 
 
@@ -337,7 +341,7 @@ def billing_period_trend(cur: DataFrame, limit: int | None = 20) -> DataFrame:
         )
         .orderBy("billing_period", F.desc("current_cost"), SERVICE)
     )
-    return out if limit is None else out.limit(limit)
+    return first_rows(out, limit)
 
 
 @needs(COST, ACCOUNT)
@@ -350,7 +354,7 @@ def account_distribution(cur: DataFrame) -> DataFrame:
     rank looks values up again: a double sum can differ in its last bit when
     the rows arrive in another order, a decimal sum cannot.
     """
-    exact = F.sum(F.col(COST).cast("decimal(28,10)")).alias("exact_cost")
+    exact = F.sum(F.col(COST).cast("decimal(38,20)")).alias("exact_cost")
     costs = cur.filter(positive_cost()).groupBy(ACCOUNT).agg(exact)
     total = costs.agg(F.sum("exact_cost").cast("double")).scalar()
     cost = F.col("exact_cost").cast("double")
@@ -366,27 +370,46 @@ def account_distribution(cur: DataFrame) -> DataFrame:
     )
 
 
-def rank_by_value(df: DataFrame, value: str, name: str, bands_per_doubling: int = 64) -> DataFrame:
-    """``RANK() OVER (ORDER BY value DESC)`` of positive decimals without one big sort.
+def rank_by_value(
+    df: DataFrame, value: str, name: str, bands_per_doubling: int = 64, steps: int = 1024
+) -> DataFrame:
+    """``RANK() OVER (ORDER BY value DESC)`` of decimals from 0 on without one big sort.
 
     Equal values are counted first, so a value that many rows share is one row.
-    Values fall into bands by their logarithm (about 1 % wide); a band's rows
-    rank inside it and add the number of rows in the higher bands.  The number
-    of bands depends on the spread of the values, not on the number of rows.
+    Values fall into bands by their logarithm (about 1 % wide) and into ``steps``
+    equal parts of a band, so that flat fees with small differences spread too; a
+    part's rows rank inside it and add the number of rows in higher parts and
+    bands.  The number of bands depends on the spread of the values, not on the
+    number of rows.  0 has a band of its own below all others; a NULL has no rank.
     """
-    band = F.floor(F.log2(value) * bands_per_doubling)
-    values = df.groupBy(value).agg(F.count(F.lit(1)).alias("n")).withColumn("band", band)
-    sizes = values.groupBy("band").agg(F.sum("n").alias("band_rows"))
-    bands = sizes.select(
-        "band", _rows_before(Window.orderBy(F.desc("band")), "band_rows").alias("higher")
+    number = F.col(value).cast("double")
+    band = F.when(number > 0, F.floor(F.log2(number) * bands_per_doubling)).otherwise(F.lit(-(10**9)))
+    low = F.pow(F.lit(2.0), F.col("band") / bands_per_doubling)
+    width = low * (2 ** (1 / bands_per_doubling) - 1)
+    part = F.when(number > 0, F.floor((number - low) / width * steps)).otherwise(F.lit(0))
+    values = (
+        df.filter(F.col(value).isNotNull())
+        .groupBy(value)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("band", band)
+        .withColumn("part", part)
+    )
+    parts = values.groupBy("band", "part").agg(F.sum("n").alias("part_rows"))
+    bands = parts.groupBy("band").agg(F.sum("part_rows").alias("band_rows"))
+    higher = bands.select(
+        "band", _rows_before(Window.orderBy(F.desc("band")), "band_rows").alias("higher_bands")
     )
-    inside = _rows_before(Window.partitionBy("band").orderBy(F.desc(value)), "n")
+    beside = Window.partitionBy("band").orderBy(F.desc("part"))
+    above = parts.select("band", "part", _rows_before(beside, "part_rows").alias("higher_parts"))
+    inside = _rows_before(Window.partitionBy("band", "part").orderBy(F.desc(value)), "n")
+    before = F.col("higher_bands") + F.col("higher_parts") + F.col("inside")
     ranks = (
         values.withColumn("inside", inside)
-        .join(bands, "band")
-        .select(value, (F.col("higher") + F.col("inside") + 1).alias(name))
+        .join(above, ["band", "part"])
+        .join(higher, "band")
+        .select(value, (before + 1).alias(name))
     )
-    return df.join(ranks, value)
+    return df.join(ranks, value, "left")
 
 
 def _rows_before(window, count: str) -> Column:

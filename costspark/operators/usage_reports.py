@@ -12,6 +12,7 @@ from costspark.functions.dates import START, day_of, month_of, since_days, since
 from costspark.functions.filters import COST, positive_cost
 from costspark.functions.needs import needs
 from costspark.functions.ratios import cents, ratio
+from costspark.functions.top import first_rows
 from costspark.operators.spend import (
     ACCOUNT,
     PAYER,
@@ -98,7 +99,7 @@ def monthly_band_forecast(cur: DataFrame, as_of: date, days: int = 30, z: float
     PAYER, ACCOUNT, LINE_TYPE, START, "product_region_code", USAGE_TYPE, RESOURCE,
     "product_instance_type", PRODUCT_CODE, USAGE, COST,
 )
-def ec2_daily_usage(cur: DataFrame, product: str = "AmazonEC2", limit: int = 20) -> DataFrame:
+def ec2_daily_usage(cur: DataFrame, product: str = "AmazonEC2", limit: int | None = 20) -> DataFrame:
     """Instance cost by day, region, usage category and resource."""
     rows = cur.filter(
         (F.col(PRODUCT_CODE) == product)
@@ -123,12 +124,12 @@ def ec2_daily_usage(cur: DataFrame, product: str = "AmazonEC2", limit: int = 20)
             cost_sum("sum_line_item_unblended_cost"),
         )
         .orderBy(F.desc("sum_line_item_unblended_cost"), day, ACCOUNT, RESOURCE)
-        .limit(limit)
+        .transform(first_rows, limit)
     )
 
 
 @needs(PAYER, ACCOUNT, START, USAGE_TYPE, RESOURCE, "product", PRODUCT_CODE, LINE_TYPE, USAGE, COST)
-def athena_daily_usage(cur: DataFrame, product: str = "AmazonAthena", limit: int = 20) -> DataFrame:
+def athena_daily_usage(cur: DataFrame, product: str = "AmazonAthena", limit: int | None = 20) -> DataFrame:
     """One product by day and resource, region read from the product map."""
     day = "day_line_item_usage_start_date"
     rows = cur.filter(
@@ -149,7 +150,7 @@ def athena_daily_usage(cur: DataFrame, product: str = "AmazonAthena", limit: int
             cost_sum("sum_line_item_unblended_cost"),
         )
         .orderBy(F.desc("sum_line_item_unblended_cost"), day, ACCOUNT, RESOURCE)
-        .limit(limit)
+        .transform(first_rows, limit)
     )
 
 
@@ -162,13 +163,13 @@ def service_monthly_by_region(
 
 
 @needs(COST, SERVICE, ACCOUNT)
-def service_by_account(cur: DataFrame, service: str = "AmazonS3", limit: int = 10) -> DataFrame:
+def service_by_account(cur: DataFrame, service: str = "AmazonS3", limit: int | None = 10) -> DataFrame:
     return (
         cur.filter((F.col(SERVICE) == service) & positive_cost())
         .groupBy(ACCOUNT)
         .agg(cost_sum("total_cost"))
         .orderBy(F.desc("total_cost"), ACCOUNT)
-        .limit(limit)
+        .transform(first_rows, limit)
     )
 
 
@@ -192,20 +193,20 @@ def service_by_region(cur: DataFrame, service: str = "AmazonEC2") -> DataFrame:
 
 
 @needs(COST, SERVICE, START)
-def recent_services(cur: DataFrame, as_of: date, days: int = 7, limit: int = 10) -> DataFrame:
+def recent_services(cur: DataFrame, as_of: date, days: int = 7, limit: int | None = 10) -> DataFrame:
     """Services of the last days by cost, with line counts."""
     return (
         cur.filter(since_days(as_of, days))
         .groupBy(SERVICE)
         .agg(F.count("*").alias("records"), cost_sum("total_cost"))
         .orderBy(F.desc("total_cost"), SERVICE)
-        .limit(limit)
+        .transform(first_rows, limit)
     )
 
 
 @needs(COST, SERVICE, START, RESOURCE)
 def recent_service_detail(
-    cur: DataFrame, as_of: date, days: int = 30, limit: int = 20, priced_only: bool = True
+    cur: DataFrame, as_of: date, days: int = 30, limit: int | None = 20, priced_only: bool = True
 ) -> DataFrame:
     """Lines of the last days per service: cost, average line, lines, resources."""
     rows = cur.filter(since_days(as_of, days))
@@ -219,12 +220,12 @@ def recent_service_detail(
             F.countDistinct(RESOURCE).alias("unique_resources"),
         )
         .orderBy(F.desc("total_cost"), SERVICE)
-        .limit(limit)
+        .transform(first_rows, limit)
     )
 
 
 @needs(COST, SERVICE, USAGE_TYPE, START)
-def service_search(cur: DataFrame, text: str, limit: int = 20) -> DataFrame:
+def service_search(cur: DataFrame, text: str, limit: int | None = 20) -> DataFrame:
     """Services whose code contains ``text`` (any case), by usage type."""
     return (
         cur.filter(F.lower(SERVICE).contains(text.lower()))
@@ -236,7 +237,7 @@ def service_search(cur: DataFrame, text: str, limit: int = 20) -> DataFrame:
             F.max(START).alias("last_usage"),
         )
         .orderBy(F.desc("total_cost"), "service", "usage_type")
-        .limit(limit)
+        .transform(first_rows, limit)
     )
 
 

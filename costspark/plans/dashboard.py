@@ -28,18 +28,26 @@ def dashboard_columns() -> list[str]:
     return list(dict.fromkeys(names))
 
 
+def months_needed(options: dict[str, dict]) -> int:
+    """The longest look-back, in months: 12, or what an option names in months or days."""
+    named = [(k, v) for o in options.values() for k, v in o.items()]
+    months = [v for k, v in named if k in ("months", "months_back")]
+    days = [v // 28 + 1 for k, v in named if k in ("days", "lookback_days")]
+    return max([12, *months, *days])
+
+
 def run_dashboard(
     cur: DataFrame, as_of: date, path: str, **options: dict
 ) -> dict[str, DataFrame]:
     """Write every component below ``path`` and return them read back.
 
-    The components look at 12 months at most (the KPI row at the whole table).
-    Those months are cut once to the columns in use and written; the components
-    then prune columns and row groups of that table.  ``options``
-    maps a component to its keyword arguments.
+    The components look at 12 months at most (the KPI row at the whole table),
+    or as far back as ``options`` ask, which map a component to its keyword
+    arguments.  Those months are cut once to the columns in use and written; the
+    components then prune columns and row groups of that table.
     """
     spark: SparkSession = cur.sparkSession
-    recent = cur.filter(since_months(as_of, 12)).select(
+    recent = cur.filter(since_months(as_of, months_needed(options))).select(
         [c for c in dashboard_columns() if c in cur.columns]
     )
     slice_ = materialise(recent, f"{path}/_months")

@@ -36,9 +36,18 @@ def local_session(cores: int | str = 8, name: str = "costspark", **conf: str) ->
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where a session has none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _fallback_dir()
+def shared_dir(spark: SparkSession, path: str | None = None) -> str:
+    """The folder that driver and executors share.
+
+    In this order: ``path``, ``spark.checkpoint.dir``, the session's checkpoint folder.  Without
+    any, a single-machine session takes a temporary folder; a cluster gets an error, since
+    each executor would write to a disk of its own.
+    """
+    base = path or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("no shared folder: set spark.checkpoint.dir or give a path")
+        base = _fallback_dir()
     return base.rstrip("/")
 
 
@@ -47,9 +56,9 @@ def _fallback_dir() -> str:
     return tempfile.mkdtemp(prefix="costspark-")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
+def scratch_path(spark: SparkSession, name: str, path: str | None = None) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/costspark/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark, path)}/costspark/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, path: str, *partition_by: str) -> DataFrame:

@@ -22,6 +22,10 @@ class Export:
 
 # Export kinds.
 MONTHLY = ("YYYY-MM", r"^\d{4}-\d{2}$")
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+SUFFIXES = {"parquet": "*.parquet", "csv": "*.gz"}
+# Folder of copied files: which file of the source they come from.
+SOURCE_FILE = "source_file"
 EXPORTS = {
     "CUR2.0": Export("BILLING_PERIOD", *MONTHLY),
     "FOCUS1.0": Export("billing_period", *MONTHLY),
@@ -64,60 +68,71 @@ def read_export(
     The partition column stays text: inference would turn ``2024-01`` into a
     date.  Without ``schema`` the footers of all months are merged, which reads
     every file's footer; give a schema for large exports.  ``file_format`` is
-    parquet, csv (gzip) or auto.
+    parquet or csv (gzip), which take the files of that suffix, or auto: the files
+    are listed and those of both kinds read, each by its reader.
     """
     kind = EXPORTS[export_type]
     if file_format == "auto":
-        file_format = detect_format(spark, path)
-    if file_format == "csv":
-        if schema is None:
-            raise ValueError("gzip CSV exports need a schema")
-        found = schema
+        formats = [name for name, n in detect_formats(spark, path).items() if n] or ["parquet"]
     else:
-        found = schema or spark.read.option("mergeSchema", True).parquet(path).schema
-    fields = [f for f in found.fields if f.name != kind.partition]
+        formats = [file_format]
+    if "csv" in formats and schema is None:
+        raise ValueError("gzip CSV exports need a schema")
+    found = schema or spark.read.option("mergeSchema", True).option("pathGlobFilter", SUFFIXES["parquet"]).parquet(path).schema
+    fields = [f for f in found.fields if f.name not in (kind.partition, SOURCE_FILE)]
     full = T.StructType([*fields, T.StructField(kind.partition, T.StringType())])
-    reader = spark.read.schema(full)
-    df = reader.csv(path, header=True) if file_format == "csv" else reader.parquet(path)
-    return df.filter(period_filter(export_type, date_start, date_end))
+    out = None
+    for name in formats:
+        reader = spark.read.schema(full).option("pathGlobFilter", SUFFIXES[name])
+        part = reader.csv(path, header=True) if name == "csv" else reader.parquet(path)
+        part = part.select(*full.names)
+        out = part if out is None else out.unionByName(part)
+    return out.filter(period_filter(export_type, date_start, date_end))
 
 
-def detect_format(spark: SparkSession, path: str) -> str | None:
-    """The format most files under ``path`` have: parquet, or csv for gzip files.
+def export_files(spark: SparkSession, path: str, export_type: str = "CUR2.0") -> DataFrame:
+    """The files of an export: path, name (from the partition folder on), partition, size, modified.
 
-    Paths are listed and counted as a table; no file content is read.
+    A listing: no file is opened.  Files outside a partition folder have a null
+    partition and their file name as name; so has the partition of NULL.
     """
-    files = (
+    key = EXPORTS[export_type].partition
+    whole = F.col("path")
+    inside = F.regexp_extract(whole, f"({key}=[^/]*/.*)$", 1)
+    value = F.url_decode(F.regexp_extract(whole, f"/{key}=([^/]*)/", 1))
+    return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .load(path)
         .filter("length > 0")
-        .select("path")
+        .select(
+            "path",
+            F.when(inside != "", inside).otherwise(F.substring_index(whole, "/", -1)).alias("name"),
+            F.when((value != "") & (value != NULL_PARTITION), value).alias("partition"),
+            F.col("length").alias("size"),
+            F.col("modificationTime").alias("modified"),
+        )
+    )
+
+
+def detect_formats(spark: SparkSession, path: str) -> dict[str, int]:
+    """How many files of each format lie under ``path``: parquet, and csv for gzip files."""
+    name = F.col("name")
+    one = export_files(spark, path).agg(
+        F.count_if(name.endswith(".parquet")).alias("parquet"), F.count_if(name.endswith(".gz")).alias("csv")
     )
-    one = files.agg(
-        F.count_if(F.col("path").endswith(".parquet")).alias("parquet"),
-        F.count_if(F.col("path").endswith(".gz")).alias("gzip"),
-    ).first()
-    if one["parquet"] > one["gzip"]:
-        return "parquet"
-    return "csv" if one["gzip"] else None
+    return one.first().asDict()
 
 
-def list_partitions(df: DataFrame, export_type: str = "CUR2.0") -> DataFrame:
-    """Partition names in order; only partition values are read."""
+def list_partitions(files: DataFrame, export_type: str = "CUR2.0") -> DataFrame:
+    """Partition names of ``export_files`` in order; the NULL partition under its folder name."""
     key = EXPORTS[export_type].partition
-    name = F.concat(F.lit(f"{key}="), F.col(key))
-    return df.select(name.alias("partition")).distinct().orderBy("partition")
-
-
-def partition_inventory(df: DataFrame, export_type: str = "CUR2.0") -> DataFrame:
-    """Files, megabytes and newest change per partition, from file metadata."""
-    files = df.select(
-        F.col(EXPORTS[export_type].partition).alias("partition"),
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_size").alias("size"),
-        F.col("_metadata.file_modification_time").alias("modified"),
-    ).distinct()
+    name = F.concat(F.lit(f"{key}="), F.coalesce("partition", F.lit(NULL_PARTITION)))
+    return files.select(name.alias("partition")).distinct().orderBy("partition")
+
+
+def partition_inventory(files: DataFrame) -> DataFrame:
+    """Files, megabytes and newest change per partition of ``export_files``."""
     return (
         files.groupBy("partition")
         .agg(
@@ -137,12 +152,15 @@ def query_files(
 ) -> DataFrame:
     """Run SQL text, or the text of a ``.sql`` file, over named views.
 
+    The name may be that of a folder: its files are one text, in the order of their names.
+
     Parquet files need no view: ``SELECT ... FROM parquet.`/path` ``.
     """
     for name, df in (views or {}).items():
         df.createOrReplaceTempView(name)
     if text.strip().endswith(".sql"):
-        text = spark.read.text(text.strip(), wholetext=True).first()[0]
+        parts = spark.read.text(text.strip(), wholetext=True).select("value", "_metadata.file_name").orderBy("file_name")
+        text = "\n".join(r["value"] for r in parts.collect())
     return spark.sql(text.strip().rstrip(";"), args=dict(args or {}))
 
 
@@ -152,42 +170,81 @@ def alias_table(df: DataFrame, name: str = "CUR") -> DataFrame:
     return df
 
 
-def written_periods(spark: SparkSession, path: str, export_type: str) -> list[str]:
-    """Partition values under ``path``; a list as long as there are periods."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return []
-    prefix = EXPORTS[export_type].partition + "="
-    names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
-    return sorted(n[len(prefix):] for n in names if n.startswith(prefix))
+def write_export(df: DataFrame, path: str, export_type: str = "CUR2.0") -> DataFrame:
+    """Write ``df`` as an export, one folder a period, and return it read back."""
+    df.write.mode("overwrite").partitionBy(EXPORTS[export_type].partition).parquet(path)
+    return read_export(df.sparkSession, path, export_type, schema=df.schema)
 
 
 def materialise_export(
-    df: DataFrame, path: str, export_type: str = "CUR2.0", overwrite: bool = False
+    spark: SparkSession,
+    source: str,
+    target: str,
+    schema: T.StructType,
+    export_type: str = "CUR2.0",
+    overwrite: bool = False,
 ) -> DataFrame:
-    """Copy the partitions of ``df`` to ``path`` in the same layout.
+    """Copy the files of an export that ``target`` doesn't have yet; the copy is returned.
 
-    Periods already there are skipped unless ``overwrite``; the skip is a filter
-    on the partition column, so their files are not even opened.  The source is
-    laid out by period, so nothing is shuffled, and a heavy month is written by
-    as many tasks as read it.
+    A file is known by its name below the export and its size; what is copied from it lies in a
+    folder of its own inside its period, so a copy that is repeated replaces itself.  A file
+    that has grown is copied anew and its earlier copy goes.  Periods gain files, and the NULL
+    period is copied like any other.  Only new files are opened; nothing is shuffled.
     """
-    spark, key = df.sparkSession, EXPORTS[export_type].partition
-    done = [] if overwrite else written_periods(spark, path, export_type)
-    todo = df.filter(~F.col(key).isin(done)) if done else df
-    (
-        todo.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(key)
-        .parquet(path)
-    )
-    return read_export(spark, path, export_type, schema=df.schema)
+    key = EXPORTS[export_type].partition
+    mark = F.concat_ws("-", F.md5("name"), F.col("size").cast("string"))
+    files = export_files(spark, source, export_type).filter(F.col("name").endswith(".parquet"))
+    listed = files.select("path", "name", mark.alias("mark"))
+    have = _copied_marks(spark, target)
+    # Two lists of file names: as long as the listings that Spark itself keeps on the driver.
+    new = listed.collect() if overwrite or not have else [r for r in listed.collect() if r["mark"] not in have]
+    if new:
+        reader = spark.read.schema(_with_text(schema, key)).option("basePath", source)
+        rows = reader.parquet(*[r["path"] for r in new])
+        path, size = F.col("_metadata.file_path"), F.col("_metadata.file_size")
+        name = F.regexp_extract(path, f"({key}=[^/]*/.*)$", 1)
+        name = F.when(name != "", name).otherwise(F.substring_index(path, "/", -1))
+        marked = rows.withColumn(SOURCE_FILE, F.concat_ws("-", F.md5(name), size.cast("string")))
+        (
+            marked.write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(key, SOURCE_FILE)
+            .parquet(target)
+        )
+        fresh = {r["mark"].split("-")[0]: r["mark"] for r in new}
+        stale = [folder for m, folder in have.items() if fresh.get(m.split("-")[0], m) != m]
+        _delete_folders(spark, stale)
+    return read_export(spark, target, export_type, schema=schema)
+
+
+def _with_text(schema: T.StructType, key: str) -> T.StructType:
+    return T.StructType([f for f in schema.fields if f.name != key] + [T.StructField(key, T.StringType())])
+
+
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _copied_marks(spark: SparkSession, target: str) -> dict[str, str]:
+    """Marks of the files that were copied to ``target``, with the folder of each."""
+    root, fs = _file_system(spark, target)
+    if not fs.exists(root):
+        return {}
+    folders = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, f"*/{SOURCE_FILE}=*"))
+    paths = [f.getPath().toString() for f in folders]
+    return {p.rsplit(f"{SOURCE_FILE}=", 1)[1]: p for p in paths}
+
+
+def _delete_folders(spark: SparkSession, paths: Sequence[str]) -> None:
+    for path in paths:
+        folder, fs = _file_system(spark, path)
+        fs.delete(folder, True)
 
 
-def sample(df: DataFrame, n: int = 100) -> DataFrame:
-    """The first ``n`` rows."""
-    return df.limit(n)
+def sample(df: DataFrame, n: int = 100, order_by: Sequence[str] = ()) -> DataFrame:
+    """The first ``n`` rows, in an order if columns are given."""
+    return (df.orderBy(*order_by) if order_by else df).limit(n)
 
 
 def cap_rows(df: DataFrame, limit: int | None) -> DataFrame:

@@ -1,49 +1,114 @@
-"""Batch operators rerun as line items arrive."""
+"""Batch operators kept up to date as line items arrive."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from costspark.functions.dates import START, month_start, shift_months
+from costspark.functions.filters import COST, positive_cost
 from costspark.operators import forecast, optimize, spend
+from costspark.operators.spend import RESOURCE, SERVICE
 from costspark.streaming.alerts import trigger
 
-Update = Callable[[DataFrame, date], DataFrame]
+MONTH = "month"
 
 
-def opportunities(cur: DataFrame, as_of: date) -> DataFrame:
-    """Idle resources and smaller sizes of the month as opportunity events."""
-    idle = optimize.idle_resources(cur, as_of, limit=None).select(
-        F.concat_ws("-", F.lit("idle"), "resource_id", "service").alias("opportunity_id"),
-        F.lit("idle_resource").alias("type"),
-        "potential_savings",
-        F.lit(90).alias("confidence"),
-        (F.col("status") == "idle").alias("action_required"),
-    )
-    smaller = optimize.rightsizing(cur, as_of).select(
-        F.col("id").alias("opportunity_id"),
-        F.lit("rightsizing").alias("type"),
-        F.col("monthly_savings").alias("potential_savings"),
-        F.col("confidence_score").alias("confidence"),
-        F.lit(True).alias("action_required"),
+@dataclass(frozen=True)
+class Update:
+    """An operator over sums of line items.
+
+    ``roll`` turns lines into rows of ``keys``, ``month`` (yyyy-MM) and sums; equal keys of
+    several batches add up.  ``result`` works on those rows as of a day.
+    """
+
+    roll: Callable[[DataFrame], DataFrame]
+    keys: tuple[str, ...]
+    result: Callable[[DataFrame, date], DataFrame]
+
+
+def _daily_service(lines: DataFrame) -> DataFrame:
+    """Cost per day and service: still a table of lines to the forecasts."""
+    day = F.date_trunc("day", START)
+    return (
+        lines.filter(positive_cost())
+        .groupBy(day.alias(START), SERVICE)
+        .agg(F.sum(COST).alias(COST))
+        .withColumn(MONTH, F.date_format(START, "yyyy-MM"))
     )
-    return idle.unionByName(smaller)
 
 
-def service_forecasts(cur: DataFrame, as_of: date) -> DataFrame:
+def _monthly_usage(lines: DataFrame) -> DataFrame:
+    month = F.date_format(START, "yyyy-MM").alias(MONTH)
+    return lines.filter(positive_cost()).groupBy(month, SERVICE, RESOURCE, optimize.TYPE).agg(*optimize.usage_sums())
+
+
+def opportunities(min_records: int = 10) -> Update:
+    """Idle resources and smaller sizes of the newest month as opportunity events."""
+
+    def result(sums: DataFrame, as_of: date) -> DataFrame:
+        now = sums.filter(F.col(MONTH) == as_of.strftime("%Y-%m"))
+        idle_services = F.col(SERVICE).isin(list(optimize.IDLE_SERVICES))
+        idle = optimize.idle_groups(now.filter(idle_services), limit=None).select(
+            F.concat_ws("-", F.lit("idle"), "resource_id", "service").alias("opportunity_id"),
+            F.lit("idle_resource").alias("type"),
+            "potential_savings",
+            F.lit(90).alias("confidence"),
+            (F.col("status") == "idle").alias("action_required"),
+        )
+        sized = now.filter((F.col(SERVICE) == "AmazonEC2") & F.col(optimize.TYPE).isNotNull())
+        smaller = optimize.smaller_groups(sized, min_records, limit=None).select(
+            F.col("id").alias("opportunity_id"),
+            F.lit("rightsizing").alias("type"),
+            F.col("monthly_savings").alias("potential_savings"),
+            F.col("confidence_score").alias("confidence"),
+            F.lit(True).alias("action_required"),
+        )
+        return idle.unionByName(smaller)
+
+    return Update(_monthly_usage, (SERVICE, RESOURCE, optimize.TYPE), result)
+
+
+def service_forecasts() -> Update:
     """Six-month forecast per service."""
-    return forecast.service_forecast(forecast.service_trend(forecast.forecast_inputs(cur, as_of)))
 
+    def result(days: DataFrame, as_of: date) -> DataFrame:
+        return forecast.service_forecast(forecast.service_trend(forecast.forecast_inputs(days, as_of)))
 
-def next_month(cur: DataFrame, as_of: date) -> DataFrame:
+    return Update(_daily_service, (START, SERVICE), result)
+
+
+def next_month() -> Update:
     """Next month's total."""
-    return spend.next_month_forecast(spend.invoice_summary(cur, as_of))
+
+    def result(days: DataFrame, as_of: date) -> DataFrame:
+        return spend.next_month_forecast(spend.invoice_summary(days, as_of))
+
+    return Update(_daily_service, (START, SERVICE), result)
+
+
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """Batch numbers of the pointers that are complete, in order."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "batch=*/_SUCCESS"))
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def latest_result(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest complete result of ``start_updates``; None before the first."""
+    done = _numbers(spark, f"{path}/pointers")
+    return spark.read.parquet(f"{path}/results/batch={done[-1]}") if done else None
 
 
 def start_updates(
@@ -54,31 +119,57 @@ def start_updates(
     minutes: int = 5,
     months: int = 12,
 ) -> StreamingQuery:
-    """Land each micro-batch, then rerun ``update`` as of its newest day.
-
-    A batch lands in a folder of its own number, by month, overwritten when
-    Spark repeats the batch, so a retry neither loses nor doubles rows.
-    ``update`` sees the month of the newest day and ``months`` before it; older
-    folders are pruned.  Its result replaces the previous one.
+    """Add each micro-batch to sums by month, then run ``update`` on them as of the newest day so far.
+
+    A batch rewrites the sums of the months it touches, in folders of its own number, and
+    the operator reads the sums of the newest day's month and ``months`` before it: the
+    work follows the batch and the sums, not the history of lines.  A pointer table,
+    written last, names the folder of each month and the newest day; the newest day
+    never goes back.  A batch that Spark repeats starts from the pointer before it and
+    overwrites its own folders, so nothing is lost or doubled, and readers
+    (``latest_result``) keep the earlier result until the new one is whole.
     """
-    landing, result = f"{path}/landing", f"{path}/result"
-    stored = T.StructType(
-        [*lines.schema.fields, T.StructField("batch", T.LongType()), T.StructField("month", T.StringType())]
-    )
+    pointers = f"{path}/pointers"
+    folders = f"{MONTH} string, version long, newest date"
 
     def step(batch: DataFrame, number: int) -> None:
-        spark, folder = batch.sparkSession, f"{landing}/batch={number}"
-        month = F.date_format(START, "yyyy-MM")
-        batch.withColumn("month", month).write.mode("overwrite").option(
-            "partitionOverwriteMode", "static"
-        ).partitionBy("month").parquet(folder)
-        landed = spark.read.schema(stored).parquet(landing)
-        newest = landed.filter(F.col("batch") == number).agg(F.max(F.to_date(START))).first()[0]
+        spark = batch.sparkSession
+        earlier = [n for n in _numbers(spark, pointers) if n < number]
+        known: dict[str, int] = {}
+        newest: date | None = None
+        if earlier:  # a row for each month
+            for r in spark.read.schema(folders).parquet(f"{pointers}/batch={earlier[-1]}").collect():
+                known[r[MONTH]], newest = r["version"], r["newest"]
+        rolled = update.roll(batch)
+        day = batch.agg(F.max(F.to_date(START))).first()[0]
+        touched = [r[0] for r in rolled.select(MONTH).distinct().collect()]
+        newest = max((d for d in (newest, day) if d is not None), default=None)
         if newest is None:
             return
+        own = f"{path}/sums/batch={number}"
+        if touched:
+            parts, schema = rolled, rolled.schema
+            before = [(m, known[m]) for m in touched if m in known]
+            for month, version in before:
+                old = spark.read.schema(schema).parquet(f"{path}/sums/batch={version}/{MONTH}={month}")
+                parts = parts.unionByName(old.withColumn(MONTH, F.lit(month)))
+            measures = [c for c in rolled.columns if c not in (*update.keys, MONTH)]
+            sums = parts.groupBy(*update.keys, MONTH).agg(*[F.sum(c).cast(schema[c].dataType).alias(c) for c in measures])
+            sums.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(MONTH).parquet(own)
+        now = {**known, **dict.fromkeys(touched, number)}
         oldest = shift_months(month_start(newest), -months).strftime("%Y-%m")
-        recent = landed.filter(F.col("month") >= oldest).select(*lines.columns)
-        update(recent, newest).write.mode("overwrite").parquet(result)
+        wanted = [f"{path}/sums/batch={v}/{MONTH}={m}" for m, v in sorted(now.items()) if m >= oldest]
+        recent = spark.read.schema(rolled.schema).option("basePath", f"{path}/sums").parquet(*wanted) if wanted else rolled.limit(0)
+        update.result(recent, newest).write.mode("overwrite").parquet(f"{path}/results/batch={number}")
+        table = spark.createDataFrame([(m, v, newest) for m, v in now.items()] or [("", -1, newest)], folders)
+        table.coalesce(1).write.mode("overwrite").parquet(f"{pointers}/batch={number}")
+        # Two pointers stay, for a batch that is repeated and for readers of the one before.
+        kept = {*now.values(), *known.values(), number, *earlier[-1:]}
+        for n in earlier[:-1]:
+            _delete(spark, f"{pointers}/batch={n}")
+            _delete(spark, f"{path}/results/batch={n}")
+            if n not in kept:
+                _delete(spark, f"{path}/sums/batch={n}")
 
     return (
         lines.writeStream.foreachBatch(step)

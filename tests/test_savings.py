@@ -237,3 +237,22 @@ def test_health_check_bounds(bill, spark):
     e = kpi.executive_summary(kpi.cost_health_check(savings, idle, score), invoices).first()
     # The latest month has no change yet; max_by takes its NULL, not February's 9.
     assert e["month_over_month_change"] == 0.0 and e["risk_level"] == "MEDIUM"
+
+
+def test_tag_rules_count_null_values(spark, bill):
+    rules = spark.createDataFrame([("s", "team", "x")], "service string, tag_key string, tag_value string")
+    line = dict(start="2024-03-05", service="s")
+    df = bill(
+        {**line, "resource": "a", "tags": {"team": None}}, {**line, "resource": "b", "tags": {"team": "x"}},
+        {**line, "resource": "c", "tags": None}, {**line, "resource": "d", "tags": {"user:team": "y"}},
+    )
+    assert rows(allocate.tag_rule_impact(df, rules, AS_OF), "affected_resources") == [(3,)]
+
+
+def test_summaries_take_all_rows(bill):
+    lines = [dict(start="2024-03-05", service="AmazonEC2", itype="m5.large", resource=f"r{i}", cost=10.0, usage=1.0) for i in range(60)]
+    df = bill(*lines)
+    assert optimize.idle_resources(df, AS_OF).count() == 50
+    assert optimize.idle_resources(df, AS_OF, limit=None).count() == 60
+    sized = optimize.rightsizing(df, AS_OF, min_records=0, limit=None)
+    assert optimize.rightsizing_summary(sized).first()["recommendations"] == 60

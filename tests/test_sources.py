@@ -18,23 +18,30 @@ from tests.conftest import AS_OF, rows
 def test_export_round_trip_prunes_and_keeps_text(spark, tmp_path):
     df = spark.createDataFrame([("2024-01", 1), ("2024-02", 2), ("2024-03", 3)], "BILLING_PERIOD string, v int")
     path = str(tmp_path / "export")
-    exports.materialise_export(df, path)
+    exports.write_export(df, path)
     got = exports.read_export(spark, path, date_start="2024-02")
     assert sorted(rows(got, "BILLING_PERIOD", "v")) == [("2024-02", 2), ("2024-03", 3)]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(BILLING_PERIOD" in plan
-    assert rows(exports.list_partitions(got)) == [("BILLING_PERIOD=2024-02",), ("BILLING_PERIOD=2024-03",)]
-    inventory = rows(exports.partition_inventory(got), "partition", "files")
-    assert [p for p, _ in inventory] == ["2024-02", "2024-03"]
+    files = exports.export_files(spark, path)
+    assert "content" not in files._jdf.queryExecution().executedPlan().toString()  # listed, not opened
+    listed = [("BILLING_PERIOD=2024-01",), ("BILLING_PERIOD=2024-02",), ("BILLING_PERIOD=2024-03",)]
+    assert rows(exports.list_partitions(files)) == listed
+    inventory = rows(exports.partition_inventory(files), "partition", "files", "total_size_mb")
+    assert [p for p, _, _ in inventory] == ["2024-01", "2024-02", "2024-03"] and all(n >= 1 for _, n, _ in inventory)
 
 
-def test_materialise_skips_then_overwrites(spark, tmp_path):
-    path = str(tmp_path / "copy")
+def test_materialise_copies_new_files_only(spark, tmp_path):
+    source, target = str(tmp_path / "source"), str(tmp_path / "copy")
     schema = "BILLING_PERIOD string, v int"
-    exports.materialise_export(spark.createDataFrame([("2024-01", 1)], schema), path)
-    later = spark.createDataFrame([("2024-01", 9), ("2024-02", 2)], schema)
-    assert sorted(rows(exports.materialise_export(later, path), "v")) == [(1,), (2,)]
-    assert sorted(rows(exports.materialise_export(later, path, overwrite=True), "v")) == [(2,), (9,)]
+    add = lambda *data: spark.createDataFrame(list(data), schema).coalesce(1).write.mode("append").partitionBy("BILLING_PERIOD").parquet(source)
+    copy = lambda **o: sorted(rows(exports.materialise_export(spark, source, target, spark.createDataFrame([], schema).schema, **o), "BILLING_PERIOD", "v"), key=str)
+    add(("2024-01", 1))
+    assert copy() == [("2024-01", 1)]
+    add(("2024-01", 2), ("2024-02", 3), (None, 4))
+    both = [("2024-01", 1), ("2024-01", 2), ("2024-02", 3), (None, 4)]
+    assert copy() == both == copy() == copy(overwrite=True)
+    assert rows(exports.list_partitions(exports.export_files(spark, target)))[-1] == ("BILLING_PERIOD=__HIVE_DEFAULT_PARTITION__",)
 
 
 def test_months_with_different_columns_merge(spark, tmp_path):
@@ -169,10 +176,17 @@ def test_price_join_keeps_fan_out(bill, spark):
 
 
 def test_enrich_first_key_fans_out_full_key_does_not(bill, spark):
-    df = bill(dict(start="2024-03-01", itype="m", region="r"), dict(start="2024-03-01", itype=None, region="r"))
-    prices = spark.createDataFrame([("m", "r", 1.0), ("m", "q", 2.0)], "InstanceType string, Region string, OnDemandPrice double")
-    assert enrich.enrich(df, {"ec2_pricing": prices}, "ec2_pricing").count() == 3
-    assert enrich.enrich(df, {"ec2_pricing": prices}, "ec2_pricing", full_key=True).count() == 2
+    line = dict(start="2024-03-01", itype="m", region="r", os="Linux", tenancy="Shared")
+    df = bill(line, {**line, "itype": None}, {**line, "os": "Windows"})
+    prices = spark.createDataFrame(
+        [("m", "r", "Linux", "Shared", 1.0), ("m", "r", "Windows", "Shared", 3.0), ("m", "q", "Linux", "Shared", 2.0)],
+        "InstanceType string, Region string, OperatingSystem string, Tenancy string, OnDemandPrice double",
+    )
+    assert enrich.repeated_keys(prices, "ec2_pricing").count() == 0
+    assert enrich.repeated_keys(prices.unionByName(prices), "ec2_pricing").count() == 3
+    full = enrich.enrich(df, {"ec2_pricing": prices}, "ec2_pricing")
+    assert sorted(rows(full, "ec2_pricing_OnDemandPrice"), key=str) == [(1.0,), (3.0,), (None,)]
+    assert enrich.enrich(df, {"ec2_pricing": prices}, "ec2_pricing", full_key=False).count() == 7
     with pytest.raises(ValueError):
         enrich.enrich(df, {}, "nothing")
 
@@ -206,9 +220,41 @@ def test_partition_check(spark):
     assert {r[0]: r[2] for r in rows(quality.check_periods(df, "p"))} == {"2024-01": True, "2024-1": False, None: False}
 
 
-def test_majority_format(spark, tmp_path):
-    df = spark.range(10).repartition(3)
-    df.write.parquet(str(tmp_path / "mix" / "p"))
-    assert exports.detect_format(spark, str(tmp_path / "mix")) == "parquet"
-    df.repartition(5).write.csv(str(tmp_path / "mix" / "c"), compression="gzip")
-    assert exports.detect_format(spark, str(tmp_path / "mix")) == "csv"
+def test_mixed_formats_are_read_each_by_its_reader(spark, tmp_path):
+    path, df = str(tmp_path / "mix"), spark.range(10)
+    df.filter("id < 4").write.parquet(f"{path}/BILLING_PERIOD=2024-01")
+    df.filter("id >= 4").write.csv(f"{path}/BILLING_PERIOD=2024-02", compression="gzip", header=True)
+    found = exports.detect_formats(spark, path)
+    assert found["parquet"] >= 1 and found["csv"] >= 1
+    read = lambda kind: sorted(rows(exports.read_export(spark, path, schema=df.schema, file_format=kind), "id"))
+    assert read("auto") == [(i,) for i in range(10)]
+    assert read("parquet") == [(i,) for i in range(4)] and read("csv") == [(i,) for i in range(4, 10)]
+    with pytest.raises(ValueError):
+        exports.read_export(spark, path, file_format="auto")
+
+
+def test_sql_folder_is_read_whole(spark, tmp_path):
+    folder = tmp_path / "q.sql"
+    folder.mkdir()
+    (folder / "part-0").write_text("SELECT 1 AS v")
+    (folder / "part-1").write_text("UNION ALL SELECT 2")
+    assert rows(exports.query_files(spark, str(folder))) == [(1,), (2,)]
+
+
+def test_shared_folder(spark, monkeypatch):
+    from costspark import runtime
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError):
+        runtime.shared_dir(Session)
+    assert runtime.shared_dir(Session, "/shared/") == "/shared"
+    Session.sparkContext.getCheckpointDir = staticmethod(lambda: "hdfs:///points/")
+    assert runtime.shared_dir(Session) == "hdfs:///points"
+    assert runtime.shared_dir(spark)

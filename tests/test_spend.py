@@ -157,3 +157,18 @@ def test_extract_reads_only_the_newest_days(bill):
     assert spend.spend_extract(df, limit=100).count() == 15
     assert spend.spend_extract(bill(), limit=3).count() == 0
     assert spend.spend_extract(df, start=date(2024, 3, 2), end=date(2024, 3, 3), limit=100).count() == 6
+
+
+def test_distribution_keeps_tiny_costs(bill):
+    df = bill(*[dict(start="2024-03-01", account=a, cost=c) for a, c in (("a", 5.0), ("b", 2e-11), ("c", 3e-12), ("d", 2e-11))])
+    got = {r[0]: r[3] for r in rows(spend.account_distribution(df))}
+    assert got == {"a": 1, "b": 2, "c": 4, "d": 2}
+
+
+def test_rank_splits_a_hot_band(spark):
+    """Flat fees with small differences, zeros and a NULL: the plain rank."""
+    values = [f"{100 + i / 1000:.10f}" for i in range(600)] + ["0", "0", "7.5", "100.0010000000"]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "t string").selectExpr("CAST(t AS decimal(38,20)) AS v")
+    got = {(float(r["v"]) if r["v"] is not None else None): r["r"] for r in spend.rank_by_value(df, "v", "r").collect()}
+    numbers = [float(v) for v in values]
+    assert got == {v: 1 + sum(o > v for o in numbers) for v in numbers} | {None: None}

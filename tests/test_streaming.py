@@ -3,7 +3,6 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
-from costspark.operators import optimize
 from costspark.streaming import alerts, updates
 from tests.conftest import rows
 
@@ -48,7 +47,7 @@ def test_budget_alert_levels(spark):
     }
 
 
-def test_updates_rerun_on_what_landed(spark, tmp_path, bill):
+def test_updates_add_up_and_never_go_back(spark, tmp_path, bill):
     source, path = str(tmp_path / "in"), str(tmp_path / "out")
 
     def send(name, *lines):
@@ -56,15 +55,21 @@ def test_updates_rerun_on_what_landed(spark, tmp_path, bill):
 
     def step():
         stream = spark.readStream.schema(bill().schema).option("recursiveFileLookup", True).parquet(source)
-        update = lambda cur, day: optimize.idle_resources(cur, day)
-        updates.start_updates(stream, update, path, "scheduled").awaitTermination()
-        return {r["resource_id"]: r["monthly_cost"] for r in spark.read.parquet(f"{path}/result").collect()}
+        updates.start_updates(stream, updates.opportunities(), path, "scheduled").awaitTermination()
+        found = updates.latest_result(spark, path).collect()
+        return {r["opportunity_id"]: round(r["potential_savings"], 4) for r in found}
 
     line = dict(start="2024-03-05", cost=10.0, usage=1.0, resource="a", service="AmazonEC2", itype="m")
     send("one", line)
-    assert step() == {"a": 10.0}
+    assert step() == {"idle-a-AmazonEC2": 9.0}
     send("two", {**line, "start": "2024-03-06"}, {**line, "resource": "b"})
-    assert step() == {"a": 20.0, "b": 10.0}
+    both = {"idle-a-AmazonEC2": 18.0, "idle-b-AmazonEC2": 9.0}
+    assert step() == both
+    send("late", {**line, "start": "2024-01-05", "resource": "c"})
+    assert step() == both
+    send("again", {**line, "start": "2024-01-06", "resource": "c"}, {**line, "start": "2024-03-01", "resource": "b"})
+    assert step() == {"idle-a-AmazonEC2": 18.0, "idle-b-AmazonEC2": 18.0}
+    assert updates.latest_result(spark, str(tmp_path / "nothing")) is None
 
 
 def test_modes():
