@@ -238,7 +238,8 @@ def near_join(
     members = materialise(members, scratch_path(spark, "members"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     blocks = (
-        texts.join(members, F.col("id") == F.col("rep"))
+        # Members grow with the documents: never sent to every executor, also where they are few.
+        texts.join(members.hint("merge"), F.col("id") == F.col("rep"))
         .select("rep", "label", "tile", "copies", "digest", "text", other)
         .withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
         .repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "rep")
