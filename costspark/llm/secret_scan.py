@@ -66,15 +66,22 @@ def _pair_counts(tokens: DataFrame) -> dict[int, int]:
     return {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.count("*").alias("n")).collect()}
 
 
-def log_ratios(random: dict[int, int], ordinary: dict[int, int], smooth: float = 1.0) -> list[float]:
-    """log P(next | this) under the model of random strings minus that of ordinary identifiers."""
+def log_ratios(random: dict[int, int], ordinary: dict[int, int], weight: float = 20.0) -> list[float]:
+    """log P(next | this) under the model of random strings minus that of ordinary identifiers.
+
+    A pair's share is drawn toward the share of its second character, as if that had been
+    seen ``weight`` times: after a character that a model hardly knows, what is common stays likely.
+    """
     letters = [i for i in range(ASCII) if chr(i).isalnum() or chr(i) in "+/_-="]
     out = [0.0] * (ASCII * ASCII)
-    for a in letters:
-        total = [sum(m.get(a * ASCII + b, 0) for b in letters) + smooth * len(letters) for m in (random, ordinary)]
-        for b in letters:
-            k = a * ASCII + b
-            out[k] = log((random.get(k, 0) + smooth) / total[0]) - log((ordinary.get(k, 0) + smooth) / total[1])
+    for sign, pairs in ((1, random), (-1, ordinary)):
+        rows = {a: sum(pairs.get(a * ASCII + b, 0) for b in letters) for a in letters}
+        columns = {b: sum(pairs.get(a * ASCII + b, 0) for a in letters) + 0.5 for b in letters}
+        every = sum(columns.values())
+        for a in letters:
+            for b in letters:
+                seen = pairs.get(a * ASCII + b, 0) + weight * columns[b] / every
+                out[a * ASCII + b] += sign * log(seen / (rows[a] + weight))
     return out
 
 
@@ -92,7 +99,7 @@ def secret_spans(
     start and then by the order of ``KINDS``.  assign, access and hex are the fixed
     patterns.  markov is a token of 20 characters and more whose log-likelihood ratio
     between two character Markov models reaches ``threshold``.  The labelled samples: values
-    of the fixed patterns in all documents are the random strings, words of six and more
+    of the fixed patterns in all documents are the random strings, words of 6 to 19
     characters in at most about ``sample_docs`` documents without such a match the ordinary
     ones.  With no examples both models are uniform and markov finds nothing.
 
@@ -109,6 +116,7 @@ def secret_spans(
         ~(F.rlike("text", F.lit(ASSIGN)) | F.rlike("text", F.lit(ACCESS)) | F.rlike("text", F.lit(HEX)))
     )
     words = clean.select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z0-9_]{6,})"), F.lit(1))).alias("value"))
+    words = words.where(F.length("value") < 20)  # longer ones may be what is looked for
     ratios = log_ratios(
         _pair_counts(found.where(F.col("kind") != "markov").select("value")),
         _pair_counts(words),
@@ -144,7 +152,7 @@ def with_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_c
     # The hash is a column before the join, so that a caller who needs no text moves none.
     left = docs.withColumn("_text_version", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     same = left[id_col].eqNullSafe(F.col("_id")) & (F.col("_text_version") == F.col("_version"))
-    joined = left.join(right, same, "left")
+    joined = left.join(right.hint("merge"), same, "left")  # spans grow with the documents
     none = F.array().cast(spans.schema["spans"].dataType)
     return joined.withColumn("spans", F.coalesce("_spans", none)).drop("_id", "_version", "_spans", "_text_version")
 
