@@ -386,25 +386,32 @@ register(
 )
 
 
-def _schema_coverage(s, d):
-    """Declared column groups beside the columns that the billing view fills."""
-    groups = schemas.column_groups(s)
-    filled = schemas.table_schema(billing_view(s, d)).select(F.col("column_name").alias("name"))
-    rows = cur(s, d, "line_item_unblended_cost").agg(F.count("*")).scalar()
-    return groups.join(filled.withColumn("filled", F.lit(1)), "name", "left").groupBy("category").agg(
-        F.count("*").alias("declared"), F.count("filled").alias("filled")
-    ).withColumn("lines", rows)
+GROUPED = {
+    "bill_payer_account_id": "payer", "bill_invoice_id": "invoice", "line_item_usage_account_id": "account",
+    "line_item_usage_amount": "usage", "line_item_unblended_cost": "cost", "line_item_resource_id": "resource",
+    "product_servicecode": "service", "product_region": "region", "pricing_term": "term",
+    "reservation_reservation_a_r_n": "ri_arn", "savings_plan_savings_plan_a_r_n": "sp_arn",
+}
+
+
+def _group_fill(s, d):
+    """Values that each group of billing columns holds."""
+    counts = schemas.filled(cur(s, d, *GROUPED), list(GROUPED))
+    return schemas.column_groups(s).join(counts, "name").groupBy("category").agg(
+        F.count("*").alias("columns"), F.sum("filled_rows").alias("filled_values")
+    )
 
 
 register(
     "column_groups",
-    _schema_coverage,
+    _group_fill,
     """
-    SELECT category, CAST(declared AS BIGINT) AS declared, CAST(filled AS BIGINT) AS filled,
-           (SELECT count(*) FROM cur) AS lines
-    FROM (VALUES ('Bill', 5, 4), ('Identity', 2, 1), ('Line item', 19, 11), ('Product', 24, 11), ('Pricing', 3, 1),
-                 ('Cost category', 1, 0), ('Resource tags', 1, 1), ('Reservation', 9, 1), ('Savings plan', 5, 1),
-                 ('Discount', 2, 0), ('Split line item', 2, 0)) AS g(category, declared, filled)
+    SELECT 'Bill' AS category, CAST(2 AS BIGINT) AS columns, count(payer) + count(invoice) AS filled_values FROM cur UNION ALL
+    SELECT 'Line item', 4, count(account) + count(usage) + count(cost) + count(resource) FROM cur UNION ALL
+    SELECT 'Product', 2, count(service) + count(region) FROM cur UNION ALL
+    SELECT 'Pricing', 1, count(term) FROM cur UNION ALL
+    SELECT 'Reservation', 1, count(ri_arn) FROM cur UNION ALL
+    SELECT 'Savings plan', 1, count(sp_arn) FROM cur
     """,
 )
 register(
@@ -447,30 +454,42 @@ register(
 
 
 def _catalog(s, d):
-    """Declared joins with how many billing rows carry each join column."""
-    columns = ["bill_invoice_id", "line_item_usage_account_id", "product_instance_type", "product_region"]
-    filled = cur(s, d, *columns).agg(*[F.count(c).alias(c) for c in columns])
-    counts = filled.unpivot([], columns, "source_column", "filled_rows")
-    joins = enrich.enrichment_catalog(s).filter("base_table = 'CUR'")
-    return joins.join(counts, "source_column").select(
-        "table_id", "priority", "source_column", "target_column", "confidence", "filled_rows"
-    )
+    """Declared joins of both bases with how many rows carry each join column."""
+    from costspark.plans.billing_view import FOCUS_COLUMNS, focus_view
+
+    joins = enrich.enrichment_catalog(s)
+    parts = []
+    for base in enrich.ENRICHMENTS:
+        names = sorted({source for e in enrich.ENRICHMENTS[base] for source, _ in e.keys})
+        facts = focus_view(s, d) if base == "FOCUS" else cur(s, d, *names)
+        counts = schemas.filled(facts, [n for n in names if base == "CUR" or n in FOCUS_COLUMNS])
+        own = joins.filter(F.col("base_table") == base)
+        parts.append(own.drop("name").join(counts, F.col("source_column") == F.col("name")))
+    columns = ("base_table", "table_id", "priority", "source_column", "target_column", "confidence", "filled_rows")
+    return parts[0].select(*columns).unionByName(parts[1].select(*columns))
 
 
 register(
     "enrichment_catalog",
     _catalog,
     """
-    WITH k(table_id, priority, source_column, target_column, confidence) AS (VALUES
-        ('invoice_summaries', 1, 'bill_invoice_id', 'InvoiceId', 'high'),
-        ('invoice_summaries', 2, 'line_item_usage_account_id', 'AccountId', 'high'),
-        ('ec2_pricing', 1, 'product_instance_type', 'InstanceType', 'high'),
-        ('ec2_pricing', 2, 'product_region', 'Region', 'high'),
-        ('savings_plans', 1, 'line_item_usage_account_id', 'AccountId', 'medium'),
-        ('savings_plans', 2, 'product_region', 'Region', 'medium'))
-    SELECT k.*, CASE source_column WHEN 'bill_invoice_id' THEN (SELECT count(invoice) FROM cur)
-        WHEN 'line_item_usage_account_id' THEN (SELECT count(account) FROM cur)
-        WHEN 'product_instance_type' THEN (SELECT count(itype) FROM cur)
+    WITH k(base_table, table_id, priority, source_column, target_column, confidence) AS (VALUES
+        ('CUR', 'invoice_summaries', 1, 'bill_invoice_id', 'InvoiceId', 'high'),
+        ('CUR', 'invoice_summaries', 2, 'line_item_usage_account_id', 'AccountId', 'high'),
+        ('CUR', 'ec2_pricing', 1, 'product_instance_type', 'InstanceType', 'high'),
+        ('CUR', 'ec2_pricing', 2, 'product_region', 'Region', 'high'),
+        ('CUR', 'ec2_pricing', 3, 'product_operating_system', 'OperatingSystem', 'high'),
+        ('CUR', 'ec2_pricing', 4, 'product_tenancy', 'Tenancy', 'high'),
+        ('CUR', 'savings_plans', 1, 'line_item_usage_account_id', 'AccountId', 'medium'),
+        ('CUR', 'savings_plans', 2, 'product_region', 'Region', 'medium'),
+        ('FOCUS', 'invoice_summaries', 1, 'InvoiceId', 'InvoiceId', 'high'),
+        ('FOCUS', 'invoice_summaries', 2, 'BillingAccountId', 'BillingAccountId', 'high'))
+    SELECT k.*, CASE WHEN source_column IN ('bill_invoice_id', 'InvoiceId') THEN (SELECT count(invoice) FROM cur)
+        WHEN source_column = 'line_item_usage_account_id' THEN (SELECT count(account) FROM cur)
+        WHEN source_column = 'BillingAccountId' THEN (SELECT count(payer) FROM cur)
+        WHEN source_column = 'product_instance_type' THEN (SELECT count(itype) FROM cur)
+        WHEN source_column = 'product_operating_system' THEN (SELECT count(os) FROM cur)
+        WHEN source_column = 'product_tenancy' THEN (SELECT count(tenancy) FROM cur)
         ELSE (SELECT count(region) FROM cur) END AS filled_rows
     FROM k
     """,
@@ -478,15 +497,27 @@ register(
 
 
 def _focus_dictionary(s, d):
-    """FOCUS columns with how many rows of the FOCUS view fill each."""
+    """Values that the FOCUS view holds in each group of the dictionary's columns."""
     from costspark.plans.billing_view import FOCUS_COLUMNS, focus_view
 
-    names = list(FOCUS_COLUMNS)
-    filled = focus_view(s, d).agg(*[F.count(c).alias(c) for c in names])
-    counts = filled.unpivot([], names, "name", "filled_rows")
-    return schemas.focus_dictionary(s).join(counts, "name", "left").select(
-        "name", "type", "category", "filled_rows"
+    counts = schemas.filled(focus_view(s, d), list(FOCUS_COLUMNS))
+    return schemas.focus_dictionary(s).join(counts, "name").groupBy("category").agg(
+        F.count("*").alias("columns"), F.sum("filled_rows").alias("filled_values")
     )
 
 
-register("focus_dictionary", _focus_dictionary)
+register(
+    "focus_dictionary",
+    _focus_dictionary,
+    """
+    SELECT 'Account' AS category, CAST(3 AS BIGINT) AS columns,
+           count(payer) + count(location) + count(account) AS filled_values FROM cur UNION ALL
+    SELECT 'Billing', 4, count(net_cost) + count(cost) + count(usage) + count(*) FROM cur UNION ALL
+    SELECT 'Charge Origination', 1, count(invoice) FROM cur UNION ALL
+    SELECT 'Commitment Discount', 3, 2 * count(sp_arn) + count(CASE WHEN l_linenumber IN (1, 2) THEN 1 END) FROM cur UNION ALL
+    SELECT 'Location', 1, count(r_name) FROM cur UNION ALL
+    SELECT 'Resource', 2, count(resource) + count(itype) FROM cur UNION ALL
+    SELECT 'Service', 2, count(*) + count(service) FROM cur UNION ALL
+    SELECT 'Timeframe', 1, count(month) FROM cur
+    """,
+)

@@ -153,8 +153,8 @@ def month_total(cur: DataFrame, as_of: date) -> DataFrame:
 @needs(START, COST, SERVICE, RESOURCE)
 def month_overview(cur: DataFrame, as_of: date) -> DataFrame:
     """Month cost with distinct services and resources; one row."""
-    return _priced_month(cur, as_of).agg(
-        cost_sum("total_monthly_cost"),
+    return _priced_month(cur, as_of).groupBy(SERVICE, RESOURCE).agg(cost_sum("cost")).agg(
+        F.sum("cost").alias("total_monthly_cost"),
         F.countDistinct(SERVICE).alias("service_count"),
         F.countDistinct(RESOURCE).alias("resource_count"),
     )

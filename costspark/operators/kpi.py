@@ -17,20 +17,48 @@ from costspark.operators.spend import ACCOUNT, PAYER, PERIOD, SERVICE, USAGE_TYP
 TYPE = "product_instance_type"
 
 # KPI metrics in report order.
-METRICS = """
-    ec2_all_cost ec2_usage_cost ec2_spot_cost ec2_spot_potential_savings
-    ec2_previous_generation_cost ec2_previous_generation_potential_savings
-    ec2_graviton_eligible_cost ec2_graviton_cost ec2_graviton_potential_savings
-    ec2_amd_eligible_cost ec2_amd_cost ec2_amd_potential_savings
-    rds_all_cost rds_ondemand_cost rds_graviton_cost rds_graviton_eligible_cost
-    rds_graviton_potential_savings rds_commit_potential_savings rds_commit_savings
-    rds_license rds_no_license rds_sql_server_cost rds_oracle_cost
-    ebs_all_cost ebs_gp_all_cost ebs_gp2_cost ebs_gp3_cost ebs_gp3_potential_savings
-    ebs_snapshots_under_1yr_cost ebs_snapshots_over_1yr_cost ebs_snapshot_cost
-    s3_all_storage_cost s3_standard_storage_cost s3_standard_storage_potential_savings
-    compute_all_cost compute_ondemand_cost compute_commit_potential_savings
-    compute_commit_savings dynamodb_all_cost lambda_all_cost
-""".split()
+METRICS = [
+    "ec2_all_cost",
+    "ec2_usage_cost",
+    "ec2_spot_cost",
+    "ec2_spot_potential_savings",
+    "ec2_previous_generation_cost",
+    "ec2_previous_generation_potential_savings",
+    "ec2_graviton_eligible_cost",
+    "ec2_graviton_cost",
+    "ec2_graviton_potential_savings",
+    "ec2_amd_eligible_cost",
+    "ec2_amd_cost",
+    "ec2_amd_potential_savings",
+    "rds_all_cost",
+    "rds_ondemand_cost",
+    "rds_graviton_cost",
+    "rds_graviton_eligible_cost",
+    "rds_graviton_potential_savings",
+    "rds_commit_potential_savings",
+    "rds_commit_savings",
+    "rds_license",
+    "rds_no_license",
+    "rds_sql_server_cost",
+    "rds_oracle_cost",
+    "ebs_all_cost",
+    "ebs_gp_all_cost",
+    "ebs_gp2_cost",
+    "ebs_gp3_cost",
+    "ebs_gp3_potential_savings",
+    "ebs_snapshots_under_1yr_cost",
+    "ebs_snapshots_over_1yr_cost",
+    "ebs_snapshot_cost",
+    "s3_all_storage_cost",
+    "s3_standard_storage_cost",
+    "s3_standard_storage_potential_savings",
+    "compute_all_cost",
+    "compute_ondemand_cost",
+    "compute_commit_potential_savings",
+    "compute_commit_savings",
+    "dynamodb_all_cost",
+    "lambda_all_cost",
+]
 EC2_SAVINGS = (
     "ec2_spot_potential_savings",
     "ec2_previous_generation_potential_savings",

@@ -21,7 +21,7 @@ from costspark.functions.dates import (
 from costspark.functions.filters import COST, base_filter, date_filter, positive_cost
 from costspark.functions.needs import needs
 from costspark.functions.ratios import cents, change_percent, percent, with_share
-from costspark.functions.top import first_rows
+from costspark.functions.top import first_rows, in_order
 
 SERVICE = "product_servicecode"
 REGION = "product_region"
@@ -237,18 +237,27 @@ def service_summary(cur: DataFrame, billing_period: str | None = None, limit: in
 
 
 @needs(START, COST, SERVICE, RESOURCE, ACCOUNT, PAYER)
-def account_summary(cur: DataFrame, billing_period: str | None = None) -> DataFrame:
-    """Per account and payer: cost, distinct services, distinct resources."""
+def account_summary(
+    cur: DataFrame, billing_period: str | None = None, ordered: bool = True
+) -> DataFrame:
+    """Per account and payer: cost, distinct services, distinct resources.
+
+    Facts shrink to one row per resource with the set of its services; an account
+    then counts rows and joins the few different sets.  The first shuffle is
+    spread by resource, so one heavy account does not fill one task.
+    """
     rows = cur.filter(base_filter(billing_period=billing_period))
+    services = F.array_distinct(F.flatten(F.collect_set("services")))
     return (
-        by_keys_and_ids(rows, [ACCOUNT, PAYER], [SERVICE, RESOURCE])
+        rows.groupBy(ACCOUNT, PAYER, RESOURCE)
+        .agg(F.sum(COST).alias("cost"), F.sort_array(F.collect_set(SERVICE)).alias("services"))
         .groupBy(F.col(ACCOUNT).alias("account_id"), F.col(PAYER).alias("payer_account_id"))
         .agg(
             F.sum("cost").alias("total_cost"),
-            F.countDistinct(SERVICE).alias("service_count"),
-            F.countDistinct(RESOURCE).alias("resource_count"),
+            F.size(services).cast("long").alias("service_count"),
+            F.count(RESOURCE).alias("resource_count"),
         )
-        .orderBy(F.desc("total_cost"), "account_id", "payer_account_id")
+        .transform(in_order, ordered, F.desc("total_cost"), "account_id", "payer_account_id")
     )
 
 
@@ -274,14 +283,20 @@ def cost_trend(
 
 @needs(COST, SERVICE, START, ACCOUNT)
 def overall_totals(cur: DataFrame) -> DataFrame:
-    """One row over the whole table."""
-    return cur.agg(
-        F.count(F.lit(1)).alias("total_line_items"),
-        cost_sum("total_cost"),
+    """One row over the whole table.
+
+    The distinct counts copy rows of (service, start, account), not facts.
+    """
+    groups = cur.groupBy(SERVICE, START, ACCOUNT).agg(
+        F.sum(COST).alias("cost"), F.count(COST).alias("priced"), F.count(F.lit(1)).alias("lines")
+    )
+    return groups.agg(
+        F.sum("lines").alias("total_line_items"),
+        F.sum("cost").alias("total_cost"),
         F.countDistinct(SERVICE).alias("unique_services"),
         F.countDistinct(START).alias("unique_days"),
         F.countDistinct(ACCOUNT).alias("unique_accounts"),
-        F.avg(COST).alias("avg_line_item_cost"),
+        F.try_divide(F.sum("cost"), F.sum("priced")).alias("avg_line_item_cost"),
         F.min(START).alias("earliest_date"),
         F.max(START).alias("latest_date"),
     )
@@ -345,7 +360,7 @@ def billing_period_trend(cur: DataFrame, limit: int | None = 20) -> DataFrame:
 
 
 @needs(COST, ACCOUNT)
-def account_distribution(cur: DataFrame) -> DataFrame:
+def account_distribution(cur: DataFrame, ordered: bool = True) -> DataFrame:
     """Each account's share of all cost and its rank.
 
     Accounts may be many, so neither the total nor the rank passes them through
@@ -366,7 +381,7 @@ def account_distribution(cur: DataFrame) -> DataFrame:
             percent(cost, total).alias("cost_percentage"),
             "cost_rank",
         )
-        .orderBy("cost_rank", ACCOUNT)
+        .transform(in_order, ordered, "cost_rank", ACCOUNT)
     )
 
 

@@ -6,7 +6,7 @@ import inspect
 from datetime import date
 
 from checks.base import QUERIES
-from costspark.operators import allocate, spend
+from costspark.operators import allocate, forecast, spend
 from costspark.plans.billing_view import COLUMNS, billing_view
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +70,14 @@ def test_hot_keys_spread_by_id(spark):
 def test_top_services_of_a_range_scan_the_facts_once(spark):
     text = plan(QUERIES["top_service_weeks"](spark, SF))
     assert text.count("lineitem.parquet") == 1
+
+
+def test_distinct_counts_do_not_copy_facts(bill):
+    """One shuffle of the facts, and what Spark copies per distinct count is grouped already."""
+    df = bill(dict(start="2024-03-05", service="s", resource="a", account="x", payer="p", cost=1.0))
+    for frame in (spend.overall_totals(df), forecast.month_overview(df, AS_OF)):
+        plan = frame._jdf.queryExecution().sparkPlan().toString()
+        assert plan.index("Expand") < plan.rindex("HashAggregate")  # below the copies: the first grouping
+    plan = spend.account_summary(df, ordered=False)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "rangepartitioning" not in plan
+    assert plan.count("Exchange hashpartitioning") == 2
