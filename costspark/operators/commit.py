@@ -128,6 +128,7 @@ def negotiation_plan(opportunities: DataFrame, benchmarks: DataFrame) -> DataFra
     """Commitment, advice and market benchmark (service, average, top quartile)."""
     spend = F.col("current_spend")
     average, top = DEFAULT_BENCHMARK
+    # The three recommendations.
     return opportunities.join(benchmarks, "service", "left").select(
         "service",
         "current_spend",

@@ -189,6 +189,7 @@ def cost_health_check(savings: DataFrame, idle: DataFrame, score: DataFrame) ->
     """
     share, idle_count, tags = F.col("savings_ratio"), F.col("idle_count"), F.col("tagging_compliance")
     low_tags, many_idle, wasteful = tags < 70, idle_count > 5, share > 20
+    # Texts of findings and recommendations.
     scores = F.col("cost_efficiency") + F.col("resource_optimization") + tags
     return (
         savings.select(

@@ -53,6 +53,7 @@ def quality_report(df: DataFrame, as_of: date) -> DataFrame:
     duplicates = total - F.col("distinct_rows")
     text = lambda pattern, *cs: F.format_string(pattern, *cs)
     empty = total == 0
+    # Texts of issues and warnings.
     issues = F.array_compact(
         F.array(
             F.when(empty, "Table is empty"),

@@ -225,20 +225,25 @@ def savings_plan_rates(offering_rates: DataFrame, service: str = "AmazonEC2") ->
     )
 
 
-def spot_history(spot: DataFrame, as_of: date, days_back: int = 7) -> DataFrame:
-    """Spot prices of the last days, Linux only."""
+def spot_history(
+    spot: DataFrame, as_of: date, days_back: int = 7, product: str = "Linux/UNIX"
+) -> DataFrame:
+    """Spot prices of the last days of one product description."""
     return spot.filter(
-        since_days(as_of, days_back, "timestamp") & (F.col("product_description") == "Linux/UNIX")
+        since_days(as_of, days_back, "timestamp") & (F.col("product_description") == product)
     )
 
 
-def latest_spot(spot: DataFrame, per_zone: bool = False) -> DataFrame:
-    """Most recent Linux price per region (or zone) and instance type."""
+def latest_spot(spot: DataFrame, per_zone: bool = False, product: str = "Linux/UNIX") -> DataFrame:
+    """Most recent price of a product per region (or zone) and instance type.
+
+    Beside Windows on-demand prices belongs ``product="Windows"``.
+    """
     keys = ["availability_zone"] if per_zone else []
     region = F.regexp_replace("availability_zone", "[a-z]$", "").alias("region_code")
     newest = F.max_by("spot_price", F.struct("timestamp", "availability_zone", "spot_price"))
     return (
-        spot.filter(F.col("product_description") == "Linux/UNIX")
+        spot.filter(F.col("product_description") == product)
         .groupBy(region, "instance_type", *keys)
         .agg(newest.alias("spot_price"))
     )

@@ -145,6 +145,7 @@ def test_latest_spot_takes_newest_linux(spark):
         (t(1), "us-east-1a", "m", "Linux/UNIX", 1.0), (t(3), "us-east-1b", "m", "Linux/UNIX", 3.0), (t(9), "us-east-1b", "m", "Windows", 9.0),
     ], schemas.SPOT_HISTORY)
     assert rows(price_list.latest_spot(df)) == [("us-east-1", "m", 3.0)]
+    assert rows(price_list.latest_spot(df, product="Windows")) == [("us-east-1", "m", 9.0)]
     assert len(rows(price_list.latest_spot(df, per_zone=True))) == 2
 
 
