@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from array import array
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 
@@ -37,9 +38,15 @@ class WordIds:
     """
 
     def __init__(self, path: str, most: int = 400_000, longest: int = 64):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # The same model for parts that are normalised and split already.
+        self.light = Tokenizer.from_file(path)
+        self.light.normalizer = normalizers.Sequence([])
+        self.light.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         self.most, self.longest = most, longest
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -50,7 +57,8 @@ class WordIds:
         for k in range(0, len(parts), step):
             own = parts[k : k + step]
             text = f" {MARK} ".join(own)
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            (found,) = self.light.encode_batch_fast([text], add_special_tokens=False)
+            ids = np.array(found.ids, dtype="<u4")
             ends = [*(4 * np.flatnonzero(ids == self.mark[0])).tolist(), 4 * len(ids)]
             data, begin = ids.tobytes(), 0
             for p, end in zip(own, ends):
@@ -67,29 +75,40 @@ class WordIds:
             return None
         return PARTS.findall(word.lower())
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
+    def _learn(self, words: set[str]) -> None:
+        """Puts ids of ``words``, none of them in ``new``, there."""
         if len(self.parts) > self.most:
             self.parts = {}
-        old, parts = self.old, self.parts
-        known = {w: old[w] for w in words if w in old}
-        split = {w: self._parts(w) for w in words if w not in known}
+        new, old, parts = self.new, self.old, self.parts
+        split = {}
+        for w in words:
+            ids = old.get(w)
+            if ids is None:
+                split[w] = self._parts(w)
+            else:
+                new[w] = ids
         self._ask([p for p in set().union(*filter(None, split.values())) if p not in parts])
         rest = [w for w, own in split.items() if own is None]
-        known.update((w, b"".join([parts[p] for p in own])) for w, own in split.items() if own is not None)
+        for w, own in split.items():
+            if own is not None:
+                new[w] = parts[own[0]] if len(own) == 1 else b"".join([parts[p] for p in own])
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            known[w] = array("I", e.ids).tobytes()
-        if len(self.new) + len(known) > self.most:
-            self.old, self.new = self.new, {}
-        self.new.update((w, ids) for w, ids in known.items() if len(w) <= self.longest)
-        return known
+            new[w] = array("I", e.ids).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        new = self.new
         listed = [[w for w in SPACE.split(t) if w] if NOT_SPACE.search(t) else t.split() for t in texts]
-        new, words = self.new, set().union(*listed)
-        missing = words.difference(new)
-        if missing:
-            new = {**{w: new[w] for w in words.difference(missing)}, **self._learn(missing)}
-        return [b"".join(map(new.__getitem__, words)) for words in listed]
+        missing: set[str] = set()
+        for words in listed:
+            missing.update(filterfalse(new.__contains__, words))
+        self._learn(missing)
+        out = [b"".join(map(new.__getitem__, words)) for words in listed]
+        for w in missing:
+            if len(w) > self.longest:
+                del new[w]
+        return out
 
 
 @lru_cache(maxsize=4)
