@@ -27,7 +27,7 @@ AWAY_WORDS = set(
     "ad ads adbox advert adverts advertisement banner sponsor sponsored promo promotion menu nav navbar navigation "
     "breadcrumb breadcrumbs sidebar side footer foot header masthead topbar comment comments disqus reply replies "
     "respond cookie cookies consent notice alert popup modal overlay share sharing social follow subscribe newsletter "
-    "signup login related recommended widget pagination pager toolbar copyright skip".split()
+    "signup login related recommended widget pagination pager toolbar copyright skip search complementary contentinfo".split()
 )
 HOME_WORDS = set("article content post entry story main maincontent body text".split())
 NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -54,6 +54,8 @@ def _hint(tag: str, attrs: list[tuple[str, str | None]], inherited: int) -> int:
             names.update(w.lower() for w in NAME.findall(v))
         elif k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and HIDDEN.search(v):
             return -1
+    if inherited == 1:
+        names.discard("header")  # of the article
     if names & AWAY_WORDS and tag not in ("html", "body"):
         return -1
     if tag == "header":
