@@ -5,9 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,18 +103,14 @@ OP4 = """
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every text and the text that they give back, as digests."""
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column("ids")
-            own = [hashlib.sha256(np.asarray(x.values, "<i4").tobytes()).hexdigest() for x in ids]
-            lengths = pa.array([len(x.values) for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), lengths, pa.array(own), b.column("text")], names=["doc_id", "n_ids", "ids_sha256", "text"])
-
+    """Ids of every text (joined by commas) and the text that they give back, as digests."""
     decoded = sp_decode(sp_encode(table(spark, sf_dir, "documents")))
-    found = decoded.mapInArrow(digests, "doc_id long, n_ids long, ids_sha256 string, text string")
-    return found.select("doc_id", "n_ids", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
 
 
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

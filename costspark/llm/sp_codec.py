@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import filterfalse
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +44,16 @@ class PieceCodec:
     their end they are relaxed: an edge reaches its end if it begins a word, or if its piece may
     follow the last piece of its start.  In a BPE model that holds for one edge at each place:
     two pieces may stand side by side if their text alone encodes to just them.
+
+    Words are cut first where no piece has the two characters side by side: no piece reaches
+    over such a place.  Words and their segments are kept, ``most`` words and twice as many segments.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000, index_chars: int = 200_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.most = most
+        self.most, self.index_chars = most, index_chars
         self.pieces = [model.id_to_piece(i) for i in range(model.vocab_size())]
         special = [model.is_control(i) or model.is_unknown(i) or model.is_unused(i) for i in range(len(self.pieces))]
         byte = [model.is_byte(i) for i in range(len(self.pieces))]
@@ -74,7 +79,9 @@ class PieceCodec:
         self.codes = np.zeros((len(longer), self.longest), np.int32)
         for k, p in enumerate(longer):
             self.codes[k, : len(p)] = [self.alphabet[c] for c in p]
+        self.joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.words: dict[str, bytes] = {}
+        self.segments: dict[str, bytes] = {}
         self.beside: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
 
@@ -135,8 +142,17 @@ class PieceCodec:
         sort = np.lexsort((start, end))
         return start[sort], end[sort], piece[sort]
 
+    def _cut(self, word: str) -> list[str]:
+        joined, begin, out = self.joined, 0, []
+        for k, pair in enumerate(map(add, word, word[1:]), 1):
+            if pair not in joined:
+                out.append(word[begin:k])
+                begin = k
+        out.append(word[begin:])
+        return out
+
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that begin with a space mark, as little-endian numbers."""
+        """Ids of segments, as little-endian numbers."""
         text = "\0".join(words) + "\0"
         codes = self.table[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
         n = len(codes)
@@ -181,20 +197,32 @@ class PieceCodec:
                 listed.append(SEGMENT.findall(marked))
             else:
                 listed.append([SPACE + w for w in t.split(" ")])
-        words = self.words
-        if len(words) > self.most:
-            words = self.words = {}
-        if len(self.beside) > 4 * self.most:
+        if len(self.words) > self.most:
+            self.words = {}
+        if len(self.segments) > 2 * self.most:
+            self.segments = {}
+        if len(self.beside) > 2 * self.most:
             self.beside = {}
-        missing = set().union(*listed).difference(words)
-        odd = [w for w in missing if "\0" in w]
-        if missing:
-            words.update(self._learn([w for w in missing if "\0" not in w]))
-        for w in odd:  # the separator of the index, a character without a piece of its own
-            zero = np.array([self.byte_ids[0]], "<u4").tobytes()
-            parts = w.split("\0")
-            known = self._learn([p for p in parts if p])
-            words[w] = zero.join(known.get(p, b"") for p in parts)
+        words, segments = self.words, self.segments
+        missing: set[str] = set()
+        for own in listed:
+            missing.update(filterfalse(words.__contains__, own))
+        cuts = {w: self._cut(w) for w in missing}
+        new = set().union(*cuts.values()).difference(segments)
+        if "\0" in new:  # the separator of the index, a character without a piece of its own
+            new.discard("\0")
+            segments["\0"] = np.array([self.byte_ids[0]], "<u4").tobytes()
+        part, size = [], 0
+        for segment in new:  # an index, and the numbers of its edges, stay small
+            part.append(segment)
+            size += len(segment)
+            if size > self.index_chars:
+                segments.update(self._learn(part))
+                part, size = [], 0
+        if part:
+            segments.update(self._learn(part))
+        for w, own in cuts.items():
+            words[w] = segments[own[0]] if len(own) == 1 else b"".join(map(segments.__getitem__, own))
         return [b"".join(map(words.__getitem__, own)) for own in listed]
 
     def decode(self, ids: list[int]) -> str:
@@ -208,7 +236,7 @@ def codec(path: str) -> PieceCodec:
     return PieceCodec(path)
 
 
-def sp_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, at_once: int = 512) -> DataFrame:
+def sp_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, at_once: int = 1024) -> DataFrame:
     """``id_col`` and ``ids``, one row per row of ``docs``; a null or empty text has no ids."""
     path = model or public_path("piece_bpe_32k.model")
     kind = docs.schema[id_col].dataType.simpleString()
@@ -237,9 +265,11 @@ def sp_decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids",
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for b in batches:
-            texts = [own.decode(ids or []) for ids in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["id", "ids", "text"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):  # ids as Python numbers take much memory
+                b = batch.slice(at, 256)
+                texts = [own.decode(ids) for ids in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["id", "ids", "text"])
 
     size = len(codec(path).pieces)
     known = F.filter(F.coalesce(F.col(ids_col), F.array().cast("array<int>")), lambda i: (i >= 0) & (i < size))

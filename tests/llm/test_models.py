@@ -296,5 +296,19 @@ def test_piece_frames(docs, spark):
     assert sp_encode(rows.where("false")).collect() == []
 
 
+def test_piece_query(spark):
+    import hashlib
+
+    import sentencepiece
+
+    plain = sentencepiece.SentencePieceProcessor(model_file=public_path("piece_bpe_32k.model"))
+    texts = {r["doc_id"]: r["text"] for r in queries.table(spark, SF, "documents").collect()}
+    for r in queries.op5_sentencepiece(spark, SF).collect():
+        ids = plain.encode(texts[r["doc_id"]])
+        assert r["n_ids"] == len(ids)
+        assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
 def test_token_pieces_of_odd_ids(docs):
     assert {r["doc_id"] for r in token_pieces(docs((None, "a"), (2, "b"))).collect()} == {None, 2}
