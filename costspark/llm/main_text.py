@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from costspark.llm.sample import first_by_rank
+
 # What HTML calls blocks, elements without an end, and elements that hold no text.
 BLOCKS = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption "
@@ -237,21 +239,28 @@ def main_text(html: str, weights: list[float] = PRIOR) -> str:
     return "\n".join(b.text for b, keep in zip(blocks, label(blocks, weights)) if keep)
 
 
-def fit_weights(pages: DataFrame, id_col: str, html_col: str, sample_pages: int) -> list[float]:
-    """Learn the classifier from at most about ``sample_pages`` pages: blocks inside article
-    elements are examples of content, blocks inside nav, footer and their like are not."""
+def fit_weights(pages: DataFrame, id_col: str, html_col: str, sample_pages: int, sample_blocks: int = 50_000) -> list[float]:
+    """Learn the classifier from ``sample_pages`` pages (all, if there are no more), chosen by a hash
+    of id and html: blocks inside article elements are examples of content, blocks inside nav,
+    footer and their like are not.  Of these blocks at most ``sample_blocks``, chosen by a hash of
+    page and place, come to the driver."""
+    rank = F.xxhash64("id", "html", F.lit(7))
 
     def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(*features(b), float(b.hint > 0)) for html in batch["html"] for b in blocks_of(html) if b.hint]
-            yield pd.DataFrame(rows, columns=[*FEATURES, "content"], dtype="float64")
-
-    share = int(10_000 * min(1.0, sample_pages / max(1, pages.count())))
-    own = pages.where(F.pmod(F.xxhash64(id_col), F.lit(10_000)) < share)
-    rows = own.select(F.coalesce(F.col(html_col), F.lit("")).alias("html")).mapInPandas(
-        examples, ", ".join(f"{c} double" for c in [*FEATURES, "content"])
-    )
-    # Weighted sums of equal rows: the examples as they are, at most a few hundred a page.
+            rows = [
+                (page, at, *features(b), float(b.hint > 0))
+                for page, html in zip(batch["page"].tolist(), batch["html"])
+                for at, b in enumerate(blocks_of(html))
+                if b.hint
+            ]
+            out = pd.DataFrame(rows, columns=["page", "at", *FEATURES, "content"])
+            yield out.astype({"page": "int64", "at": "int64"} | dict.fromkeys([*FEATURES, "content"], "float64"))
+
+    every = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    own = first_by_rank(every, rank, sample_pages).select(rank.alias("page"), "html")
+    rows = own.mapInPandas(examples, "page long, at long, " + ", ".join(f"{c} double" for c in [*FEATURES, "content"]))
+    rows = rows.orderBy(F.xxhash64("page", "at"), "page", "at").limit(sample_blocks).select(*FEATURES, "content")
     found = np.array(sorted(map(tuple, rows.collect())), dtype=float).reshape(-1, len(FEATURES) + 1)
     return learn_weights(found[:, :-1], found[:, -1])
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from costspark.llm import queries
 from costspark.llm.chat import align, format_chats, read_back, render, unescape
-from costspark.llm.main_text import cut, extract_main_text, main_text
+from costspark.llm.main_text import PRIOR, cut, extract_main_text, fit_weights, main_text
 from costspark.llm.mtree import top_products
 from costspark.llm.near_join import Shingles, depth_for, near_join
 from costspark.llm.packing import best_fit, pack, token_pieces
@@ -241,6 +241,23 @@ def test_extract_main_text(spark):
     assert extract_main_text(pages.where("false")).collect() == []
 
 
+def test_weights_are_learnt_from_large_tables(spark):
+    many = spark.range(5_000_001).select(F.col("id").alias("page_id"), F.lit("<nav>Go</nav><article><p>Some text, here.</article>").alias("html"))
+    few = fit_weights(many.where("page_id < 500"), "page_id", "html", 500)
+    assert few != PRIOR and fit_weights(many, "page_id", "html", 500) == few  # all pages are alike
+    assert fit_weights(many.where("page_id < 0"), "page_id", "html", 500) == PRIOR
+
+
+def test_blocks_learnt_from_are_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr("costspark.llm.main_text.learn_weights", lambda x, y: seen.append(len(x)) or PRIOR)
+    page = "<nav>Go</nav><article>" + "<p>Some text, here." * 40 + "</article>"
+    pages = spark.createDataFrame([(i, page) for i in range(9)], "page_id long, html string")
+    fit_weights(pages, "page_id", "html", 500, sample_blocks=100)
+    fit_weights(pages, "page_id", "html", 5)
+    assert seen == [100, 5 * 41]
+
+
 # -- conversations --------------------------------------------------------------------------------------
 
 
