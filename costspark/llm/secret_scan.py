@@ -7,6 +7,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from costspark.llm.sample import first_by_rank
 from costspark.runtime import materialise, scratch_path
 
 # The base patterns (letters of the key words in either case) and the
@@ -100,19 +101,19 @@ def secret_spans(
     patterns.  markov is a token of 20 characters and more whose log-likelihood ratio
     between two character Markov models reaches ``threshold``.  The labelled samples: values
     of the fixed patterns in all documents are the random strings, words of 6 to 19
-    characters in at most about ``sample_docs`` documents without such a match the ordinary
-    ones.  With no examples both models are uniform and markov finds nothing.
+    characters in those of ``sample_docs`` documents (all, if there are no more; chosen by a
+    hash of id and text) that have no such match the ordinary ones.  With no examples both
+    models are uniform and markov finds nothing.
 
-    The text is read once for the candidates (kept in the shared folder) and once, in part,
-    for the sample.  Rows that repeat id and text are found once.
+    The text is read once for the candidates (kept in the shared folder), once to hash it and
+    once for the sample.  Rows that repeat id and text are found once.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn(
         "version", F.xxhash64("text")
     )
     found = materialise(_candidates(rows), scratch_path(spark, "secret-candidates"))
-    share = int(10_000 * min(1.0, sample_docs / max(1, docs.count())))
-    clean = rows.where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(10_000)) < share).where(
+    clean = first_by_rank(rows, F.xxhash64("id", "version", F.lit(9)), sample_docs).where(
         ~(F.rlike("text", F.lit(ASSIGN)) | F.rlike("text", F.lit(ACCESS)) | F.rlike("text", F.lit(HEX)))
     )
     words = clean.select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z0-9_]{6,})"), F.lit(1))).alias("value"))

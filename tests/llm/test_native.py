@@ -124,6 +124,20 @@ def test_markov_finds_what_no_pattern_has(docs):
     assert not any(100 <= i < 200 for i in spans)
 
 
+def test_ordinary_words_are_known_beside_many_documents(docs, spark):
+    import random
+
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda: "".join(rng.choices(letters, k=32))
+    plain = "session handlers answer_requests until_connection timeout in seconds, session_handler_for_requests "
+    many = spark.range(1000, 51_000).select(F.col("id").alias("doc_id"), F.lit(plain * 9).alias("text"))
+    few = docs(*((i, f"password={key()}") for i in range(60)), (500, f"see {key()} there")).select("doc_id", "text")
+    # 10,000 documents and more for each one of the sample.
+    spans = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secret_spans(many.unionByName(few), sample_docs=4).collect()}
+    assert spans[500] == [("markov", 4, 36)] and max(spans) == 500
+
+
 def test_ratios_without_examples_are_zero():
     assert max(map(abs, log_ratios({}, {}))) < 1e-9
 
