@@ -117,17 +117,18 @@ register(
 
 
 def _copied(s, d):
-    """Copy, add a file to every period and a NULL period, copy twice: every row is there once."""
+    """Copy one range, add gzip files to every period and a NULL period, copy twice: every row is there once."""
     path, target = scratch_path(s, "grown"), scratch_path(s, "copy")
     service = F.col("product_servicecode")
     athena, lambda_ = service == "AmazonAthena", service == "AWSLambda"
     every = _periods(s, d)
     every.filter(~athena & ~lambda_).write.partitionBy("BILLING_PERIOD").parquet(path)
-    exports.materialise_export(s, path, target, every.schema)
+    exports.materialise_export(s, path, target, every.schema, date_end="1999-01")
     late = every.filter(athena | lambda_).withColumn(
         "BILLING_PERIOD", F.when(~lambda_, F.col("BILLING_PERIOD"))
     )
-    late.write.mode("append").partitionBy("BILLING_PERIOD").parquet(path)
+    flat = sinks.flat(late).write.mode("append").partitionBy("BILLING_PERIOD")
+    flat.csv(path, header=True, compression="gzip")
     exports.materialise_export(s, path, target, every.schema)
     return _by_period(exports.materialise_export(s, path, target, every.schema))
 

@@ -183,28 +183,42 @@ def materialise_export(
     schema: T.StructType,
     export_type: str = "CUR2.0",
     overwrite: bool = False,
+    date_start: str | None = None,
+    date_end: str | None = None,
 ) -> DataFrame:
     """Copy the files of an export that ``target`` doesn't have yet; the copy is returned.
 
+    Parquet and gzip CSV files are copied, both to Parquet.  A range of partitions selects as in
+    ``read_export``, what is copied and what is returned; other periods of the copy stay.
+
     A file is known by its name below the export and its size; what is copied from it lies in a
     folder of its own inside its period, so a copy that is repeated replaces itself.  A file
     that has grown is copied anew and its earlier copy goes.  Periods gain files, and the NULL
     period is copied like any other.  Only new files are opened; nothing is shuffled.
     """
     key = EXPORTS[export_type].partition
+    full = _with_text(schema, key)
     mark = F.concat_ws("-", F.md5("name"), F.col("size").cast("string"))
-    files = export_files(spark, source, export_type).filter(F.col("name").endswith(".parquet"))
-    listed = files.select("path", "name", mark.alias("mark"))
+    kind = F.when(F.col("name").endswith(".parquet"), "parquet").when(F.col("name").endswith(".gz"), "csv")
+    files = export_files(spark, source, export_type).withColumnRenamed("partition", key)
+    files = files.filter(period_filter(export_type, date_start, date_end))
+    listed = files.select("path", mark.alias("mark"), kind.alias("kind")).filter("kind IS NOT NULL")
     have = _copied_marks(spark, target)
     # Two lists of file names: as long as the listings that Spark itself keeps on the driver.
     new = listed.collect() if overwrite or not have else [r for r in listed.collect() if r["mark"] not in have]
     if new:
-        reader = spark.read.schema(_with_text(schema, key)).option("basePath", source)
-        rows = reader.parquet(*[r["path"] for r in new])
         path, size = F.col("_metadata.file_path"), F.col("_metadata.file_size")
         name = F.regexp_extract(path, f"({key}=[^/]*/.*)$", 1)
         name = F.when(name != "", name).otherwise(F.substring_index(path, "/", -1))
-        marked = rows.withColumn(SOURCE_FILE, F.concat_ws("-", F.md5(name), size.cast("string")))
+        marked = None
+        for form in SUFFIXES:
+            paths = [r["path"] for r in new if r["kind"] == form]
+            if not paths:
+                continue
+            reader = spark.read.schema(full).option("basePath", source)
+            rows = reader.csv(paths, header=True) if form == "csv" else reader.parquet(*paths)
+            part = rows.select(*full.names, F.concat_ws("-", F.md5(name), size.cast("string")).alias(SOURCE_FILE))
+            marked = part if marked is None else marked.unionByName(part)
         (
             marked.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -214,7 +228,9 @@ def materialise_export(
         fresh = {r["mark"].split("-")[0]: r["mark"] for r in new}
         stale = [folder for m, folder in have.items() if fresh.get(m.split("-")[0], m) != m]
         _delete_folders(spark, stale)
-    return read_export(spark, target, export_type, schema=schema)
+    elif not have:  # no file in the range, none copied before
+        return spark.createDataFrame([], full)
+    return read_export(spark, target, export_type, date_start, date_end, schema)
 
 
 def _with_text(schema: T.StructType, key: str) -> T.StructType:

@@ -44,6 +44,22 @@ def test_materialise_copies_new_files_only(spark, tmp_path):
     assert rows(exports.list_partitions(exports.export_files(spark, target)))[-1] == ("BILLING_PERIOD=__HIVE_DEFAULT_PARTITION__",)
 
 
+def test_materialise_copies_gzip_files_and_ranges(spark, tmp_path):
+    source, gz = str(tmp_path / "source"), str(tmp_path / "gz")
+    df = lambda *data: spark.createDataFrame(list(data), "v int, BILLING_PERIOD string").coalesce(1)
+    zipped = lambda path, *data: df(*data).write.mode("append").partitionBy("BILLING_PERIOD").csv(path, header=True, compression="gzip")
+    copy = lambda path, to, **o: sorted(rows(exports.materialise_export(spark, path, str(tmp_path / to), df().schema, **o), "BILLING_PERIOD", "v"), key=str)
+    df((1, "2024-01"), (2, "2024-02")).write.partitionBy("BILLING_PERIOD").parquet(source)
+    zipped(source, (3, "2024-02"), (4, "2024-03"), (5, None))
+    assert copy(source, "none", date_start="2025-01") == []
+    assert copy(source, "mixed", date_start="2024-02", date_end="2024-02") == [("2024-02", 2), ("2024-02", 3)]
+    assert copy(source, "mixed", date_start="2024-03") == [("2024-03", 4)]
+    every = [("2024-01", 1), ("2024-02", 2), ("2024-02", 3), ("2024-03", 4), (None, 5)]
+    assert copy(source, "mixed") == every == copy(source, "mixed", overwrite=True)
+    zipped(gz, (6, "2024-01"))
+    assert copy(gz, "zipped") == [("2024-01", 6)] == copy(gz, "zipped")
+
+
 def test_months_with_different_columns_merge(spark, tmp_path):
     path = str(tmp_path / "merge")
     spark.createDataFrame([(1,)], "a int").write.parquet(f"{path}/BILLING_PERIOD=2024-01")
