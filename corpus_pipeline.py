@@ -20,9 +20,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays: the one with the largest doc_id."""
-    gone = exact_dedup(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of equal texts stays: the one with the largest doc_id.
+
+    Rows go by id and text: another text under the same id stays, a copy without an id goes.
+    """
+    gone = exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), "text_sha256").distinct()
+    text = F.sha2(F.coalesce("text", F.lit("")), 256)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("text_sha256"))
+    return docs.withColumn("_sha", text).join(gone.hint("merge"), same, "left_anti").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,13 @@ def test_copies(spark, docs):
     assert 203 in left and 202 not in left
 
 
+def test_copies_go_by_id_and_text(spark):
+    rows = [(1, "same"), (1, "only here"), (2, "same"), (None, "same"), (None, "no copy"), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {tuple(r) for r in corpus_pipeline.drop_copies(spark, docs, SF).collect()}
+    assert left == {(1, "only here"), (2, "same"), (None, "no copy"), (4, "")}
+
+
 def test_near_copies(spark, docs):
     left = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()}
     rows = [(r["doc_id"], r["text"]) for r in docs.where("doc_id IS NOT NULL").collect()]
