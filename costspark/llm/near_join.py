@@ -1,4 +1,4 @@
-"""Documents whose word n-grams overlap: a MinHash LSH forest and exact verification."""
+"""Documents whose word n-grams overlap: MinHash bands and exact verification."""
 
 from __future__ import annotations
 
