@@ -19,6 +19,8 @@ from costspark.llm.packing import pack
 from costspark.llm.secret_scan import secret_spans, span_text, with_spans
 from costspark.llm.sp_codec import sp_decode, sp_encode
 from costspark.llm.toxicity import toxicity
+from costspark.llm.vector_codes import encode_vectors, learn_codebooks
+from costspark.runtime import materialise, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -155,6 +157,53 @@ OP10 = r"""
 """
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and errors of all vectors; the total of a label comes to its rows by a join that Spark splits where skewed."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = learn_codebooks(vectors, parts=4, entries=256, rounds=4, scale=1024)
+    coded = materialise(encode_vectors(vectors, books, keep=("label",)), scratch_path(spark, "vector-codes"))
+    totals = coded.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    joined = coded.join(totals.hint("merge"), F.col("label").eqNullSafe(F.col("of")), "left")
+    return joined.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def _op12() -> str:
+    distance = "list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c)"
+    assign = f"""SELECT id, p, any_value(x) AS x, min(({distance}) * 256 + e) AS best
+                 FROM parts JOIN {{books}} USING (p) GROUP BY id, p"""
+    steps = []
+    for r in range(5):
+        steps.append(f"a{r} AS MATERIALIZED ({assign.format(books=f'b{r}')})")
+        if r < 4:
+            steps.append(f"""m{r} AS (
+                SELECT p, e, list(v ORDER BY i) AS c FROM (
+                    SELECT p, CAST(best % 256 AS BIGINT) AS e, i, floor(sum(x[i]) / count(*)) AS v
+                    FROM a{r}, range(1, 1 + len(x)) t(i) GROUP BY 1, 2, 3) GROUP BY p, e)""")
+            steps.append(f"""b{r + 1} AS MATERIALIZED (
+                SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN m{r} m ON m.p = b.p AND m.e = b.e)""")
+    return f"""
+    WITH kept AS (
+        SELECT row_number() OVER (ORDER BY vec_id, embedding) AS id, vec_id, label,
+               [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    parts AS MATERIALIZED (
+        SELECT id, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS x FROM kept, range(4) t(p)),
+    b0 AS MATERIALIZED (SELECT p, id - 1 AS e, x AS c FROM parts WHERE id <= 256),
+    {", ".join(steps)},
+    coded AS (
+        SELECT id, string_agg(printf('%02x', CAST(best % 256 AS BIGINT)), '' ORDER BY p) AS code,
+               CAST(sum(floor(best / 256)) AS BIGINT) AS error FROM a4 GROUP BY id),
+    sha AS (
+        SELECT sha256(string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS books
+        FROM (SELECT p, e, i, c[i] AS v FROM b4, range(1, 1 + len(c)) t(i)))
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, books AS codebooks_sha256
+    FROM kept JOIN coded USING (id) CROSS JOIN sha
+    """
+
+
+OP12 = _op12()
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
@@ -166,5 +215,12 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_secret_scan": op9_secret_scan,
     "op10_chat_format": op10_chat_format,
+    "op12_vector_codes": op12_vector_codes,
+}
+ORACLE = {
+    "op1_line_dedup": OP1,
+    "op3_exact_dedup": OP3,
+    "op4_mtree_topk": OP4,
+    "op10_chat_format": OP10,
+    "op12_vector_codes": OP12,
 }
-ORACLE = {"op1_line_dedup": OP1, "op3_exact_dedup": OP3, "op4_mtree_topk": OP4, "op10_chat_format": OP10}
