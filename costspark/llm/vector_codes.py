@@ -77,7 +77,7 @@ def integers(x: np.ndarray, scale: int) -> np.ndarray:
 def tight(rows: list[list[int]]) -> np.ndarray:
     """Integers as int64 if all are small, as Python integers else."""
     small = all(-(1 << 60) < v < 1 << 60 for row in rows for v in row)
-    return np.array(rows, np.int64 if small else object).reshape(len(rows), -1)
+    return np.array(rows, np.int64 if small else object).reshape(len(rows), len(rows[0]) if rows else 0)
 
 
 @dataclass(frozen=True)
