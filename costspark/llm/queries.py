@@ -16,6 +16,7 @@ from costspark.llm.main_text import extract_main_text
 from costspark.llm.mtree import top_products
 from costspark.llm.near_join import near_join
 from costspark.llm.packing import pack
+from costspark.llm.prefix_trie import build_trie, number_turns
 from costspark.llm.secret_scan import secret_spans, span_text, with_spans
 from costspark.llm.sp_codec import sp_decode, sp_encode
 from costspark.llm.toxicity import toxicity
@@ -204,6 +205,67 @@ def _op12() -> str:
 OP12 = _op12()
 
 
+def _rebuilt(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Steps and members of the conversations that begin with turns of the conversation 20 divides, as ``build_trie`` takes them."""
+    heads = numbered.where("at < 3").groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("at", "digest", "words"))).alias("head"))
+    heads = heads.withColumnRenamed("conv", "base")
+    slices = numbered.where("first").select("conv", "slice", "n", "at")
+    slices = slices.withColumn("h", (F.crc32(F.col("conv").cast("string")) % 4).cast("int")).withColumn("base", F.expr("conv - conv % 20"))
+    led = slices.join(heads.hint("merge"), "base", "left")
+    led = led.withColumn("head", F.slice(F.coalesce("head", F.array().cast(heads.schema["head"].dataType)), F.lit(1), F.col("h")))
+    led = led.withColumn("taken", F.size("head")).withColumn("length", F.col("taken") + F.greatest(F.col("n") - F.col("h"), F.lit(0)))
+    led = materialise(led, scratch_path(numbered.sparkSession, "trie-led"))
+    own = numbered.join(led.select("conv", "slice", "h", "taken", "length").hint("merge"), ["conv", "slice"]).where("at >= h")
+    own = own.select("conv", "slice", (F.col("at") - F.col("h") + F.col("taken") + 1).alias("depth"), "length", "digest", "words")
+    begun = led.where("at = 0")
+    head = begun.select("conv", F.lit(-1).alias("slice"), "length", F.posexplode("head").alias("i", "t"))
+    head = head.select("conv", "slice", (F.col("i") + 1).cast("bigint").alias("depth"), "length", "t.digest", "t.words")
+    return own.unionByName(head), begun.select("conv", "length")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps, members = _rebuilt(number_turns(table(spark, sf_dir, "conversations")))
+    nodes = build_trie(steps, members)
+    return nodes.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )
+
+
+OP13 = r"""
+    WITH RECURSIVE turns AS (
+        SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) - 1 AS place, d, words FROM (
+            SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d,
+                   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+            FROM conversations WHERE conv_id IS NOT NULL)),
+    convs AS (
+        SELECT DISTINCT c, c - c % 20 AS base,
+               xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split(CAST(c AS VARCHAR), '')]),
+                   lambda crc, x: list_reduce(list_prepend(xor(crc, x), [0::BIGINT FOR i IN range(8)]),
+                       lambda s, z: xor(s >> 1, 3988292384 * (s & 1)))), 4294967295) % 4 AS h
+        FROM turns),
+    steps AS (
+        SELECT v.c, t.place, t.d, t.words FROM convs v JOIN turns t ON t.c = v.base AND t.place < v.h
+        UNION ALL SELECT v.c, t.place, t.d, t.words FROM convs v JOIN turns t ON t.c = v.c AND t.place >= v.h),
+    ordered AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY place) AS depth, d, words FROM steps),
+    paths AS MATERIALIZED (
+        SELECT c, 0::BIGINT AS depth, '' AS key, NULL::VARCHAR AS above, 0::BIGINT AS words FROM convs
+        UNION ALL
+        SELECT p.c, o.depth, sha256(p.key || o.d), p.key, o.words FROM paths p JOIN ordered o ON o.c = p.c AND o.depth = p.depth + 1),
+    lengths AS (SELECT c, max(depth) AS length FROM paths GROUP BY c),
+    nodes AS MATERIALIZED (
+        SELECT depth, key, above, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(words) AS saved,
+               sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE depth = length), '')) AS ends
+        FROM paths JOIN lengths USING (c) GROUP BY depth, key, above),
+    children AS (SELECT above AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY above),
+    below AS (
+        SELECT p.key, count(*) FILTER (WHERE k.n IS NULL) AS leaves, sum(u.saved) AS saved
+        FROM nodes u LEFT JOIN children k ON k.key = u.key JOIN paths p ON p.c = u.conv_id AND p.depth <= u.depth GROUP BY p.key)
+    SELECT v.conv_id, v.depth, up.conv_id AS parent_conv_id, v.n_convs, coalesce(k.n, 0) AS n_children,
+           b.leaves AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, v.ends AS ends_sha256
+    FROM nodes v LEFT JOIN nodes up ON up.key = v.above LEFT JOIN children k ON k.key = v.key JOIN below b ON b.key = v.key
+"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
@@ -216,6 +278,7 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_chat_format": op10_chat_format,
     "op12_vector_codes": op12_vector_codes,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE = {
     "op1_line_dedup": OP1,
@@ -223,4 +286,5 @@ ORACLE = {
     "op4_mtree_topk": OP4,
     "op10_chat_format": OP10,
     "op12_vector_codes": OP12,
+    "op13_prefix_trie": OP13,
 }
