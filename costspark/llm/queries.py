@@ -16,6 +16,7 @@ from costspark.llm.main_text import extract_main_text
 from costspark.llm.mtree import top_products
 from costspark.llm.near_join import near_join
 from costspark.llm.packing import pack
+from costspark.llm.pii import KINDS, find_pii, learn_field, of_source
 from costspark.llm.prefix_trie import build_trie, number_turns
 from costspark.llm.secret_scan import secret_spans, span_text, with_spans
 from costspark.llm.sp_codec import sp_decode, sp_encode
@@ -158,6 +159,18 @@ OP10 = r"""
 """
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_pii(docs, learn_field(docs))
+    base = F.col("spans")
+    return found.select(
+        "doc_id",
+        *(F.size(of_source(base, "base", k)).cast("long").alias(f"n_{k}") for k in KINDS),
+        F.sha2(span_text(of_source(base, "base")), 256).alias("base_sha256"),
+        span_text(base).alias("spans"),
+    )
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes and errors of all vectors; the total of a label comes to its rows by a join that Spark splits where skewed."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
@@ -277,6 +290,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_secret_scan": op9_secret_scan,
     "op10_chat_format": op10_chat_format,
+    "op11_pii": op11_pii,
     "op12_vector_codes": op12_vector_codes,
     "op13_prefix_trie": op13_prefix_trie,
 }
