@@ -137,7 +137,7 @@ def number_turns(
         F.sum("size").over(Window.partitionBy("conv")).alias("n"),
     )
     own = F.row_number().over(Window.partitionBy("conv", "slice").orderBy("turn", "digest"))
-    placed = dealt.withColumn("own", own).join(slices.hint("merge"), ["conv", "slice"])
+    placed = dealt.withColumn("own", own).join(slices, ["conv", "slice"])
     numbered = placed.select(
         "conv", "slice", (F.col("earlier") + F.col("own") - 1).alias("at"), "n", (F.col("own") == 1).alias("first"), "digest", "words"
     )
@@ -156,7 +156,7 @@ def _paths(steps: DataFrame) -> DataFrame:
     before = Window.partitionBy("conv").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.select("conv", "slice", *(F.coalesce(F.bit_xor(f"s{c}").over(before), F.lit(0)).alias(f"e{c}") for c in "ab"))
     inside = mixed.select("*", *(F.bit_xor(f"m{c}").over(run).alias(f"r{c}") for c in "ab"))
-    keyed = inside.join(slices.hint("merge"), ["conv", "slice"])
+    keyed = inside.join(slices, ["conv", "slice"])
     keyed = keyed.select("*", *(F.col(f"r{c}").bitwiseXOR(F.col(f"e{c}")).alias(c) for c in "ab"))
     return keyed.select(
         "conv", "depth", "length", "words", "a", "b", *(F.col(c).bitwiseXOR(F.col(f"m{c}")).alias(f"p{c}") for c in "ab")
@@ -204,9 +204,9 @@ def build_trie(steps: DataFrame, members: DataFrame, shard_weight: int = 50_000,
     light = (F.col("weight") <= shard_weight) & (F.col("depth") > 0)
     small = nodes.where(light)
     places = paths.select("conv", F.col("depth").cast("bigint").alias("depth"), "a", "b")
-    starts = places.join(small.select(*KEY).hint("merge"), KEY).groupBy("conv").agg(F.min(F.struct(*KEY)).alias("s"))
+    starts = places.join(small.select(*KEY), KEY).groupBy("conv").agg(F.min(F.struct(*KEY)).alias("s"))
     starts = starts.select(F.col("conv").alias("conv_id"), *(F.col(f"s.{c}").alias(f"s_{c}") for c in KEY))
-    sharded = small.join(starts.hint("merge"), "conv_id").withColumn("top", F.col("depth") == F.col("s_depth"))
+    sharded = small.join(starts, "conv_id").withColumn("top", F.col("depth") == F.col("s_depth"))
     done = time_forward(sharded.select("*", *nothing), ["s_a", "s_b"], "top", held)
     done = materialise(done, scratch_path(spark, "trie-light"))
     sent = _to_parents(done.where("top"))
@@ -217,7 +217,7 @@ def build_trie(steps: DataFrame, members: DataFrame, shard_weight: int = 50_000,
 
     def with_corner(rows: DataFrame, up: int) -> DataFrame:
         """``rows`` with the key of the root of their block, or of the block ``up`` levels higher."""
-        met = rows.withColumn("c_depth", corner(up)).join(corners.hint("merge"), ["conv_id", "c_depth"], "left")
+        met = rows.withColumn("c_depth", corner(up)).join(corners, ["conv_id", "c_depth"], "left")
         return met.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("c_a", "c_b")})  # none: the root
 
     heavy = with_corner(nodes.where(~light), 0).withColumn("top", F.col("depth") == F.col("c_depth"))
@@ -245,7 +245,7 @@ def build_trie(steps: DataFrame, members: DataFrame, shard_weight: int = 50_000,
     ends = ends.select(F.col("depth").cast("bigint").alias("depth"), "a", "b", "conv")
     turnless = members.where("length = 0").select(F.lit(0).cast("bigint").alias("depth"), *key("ab"), "conv")
     digests = end_digests(ends.unionByName(turnless))
-    out = found.join(above.hint("merge"), ["depth", "pa", "pb"], "left").join(digests.hint("merge"), KEY, "left")
+    out = found.join(above, ["depth", "pa", "pb"], "left").join(digests, KEY, "left")
     return out.select(
         *KEY, "pa", "pb", "conv_id", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"),
         F.coalesce("ends_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("ends_sha256"),
@@ -263,7 +263,7 @@ def _receive(nodes: DataFrame, sent: DataFrame) -> DataFrame:
     """``nodes`` with what was sent to them, 0 where nothing was."""
     names = ["in_children", "in_leaves", "in_saved"]
     summed = sent.groupBy(*KEY).agg(*(F.sum(c).alias(c) for c in names))
-    return nodes.join(summed.hint("merge"), KEY, "left").withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in names})
+    return nodes.join(summed, KEY, "left").withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in names})
 
 
 def end_digests(ends: DataFrame) -> DataFrame:

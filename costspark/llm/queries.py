@@ -224,11 +224,11 @@ def _rebuilt(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
     heads = heads.withColumnRenamed("conv", "base")
     slices = numbered.where("first").select("conv", "slice", "n", "at")
     slices = slices.withColumn("h", (F.crc32(F.col("conv").cast("string")) % 4).cast("int")).withColumn("base", F.expr("conv - conv % 20"))
-    led = slices.join(heads.hint("merge"), "base", "left")
+    led = slices.join(heads, "base", "left")
     led = led.withColumn("head", F.slice(F.coalesce("head", F.array().cast(heads.schema["head"].dataType)), F.lit(1), F.col("h")))
     led = led.withColumn("taken", F.size("head")).withColumn("length", F.col("taken") + F.greatest(F.col("n") - F.col("h"), F.lit(0)))
     led = materialise(led, scratch_path(numbered.sparkSession, "trie-led"))
-    own = numbered.join(led.select("conv", "slice", "h", "taken", "length").hint("merge"), ["conv", "slice"]).where("at >= h")
+    own = numbered.join(led.select("conv", "slice", "h", "taken", "length"), ["conv", "slice"]).where("at >= h")
     own = own.select("conv", "slice", (F.col("at") - F.col("h") + F.col("taken") + 1).alias("depth"), "length", "digest", "words")
     begun = led.where("at = 0")
     head = begun.select("conv", F.lit(-1).alias("slice"), "length", F.posexplode("head").alias("i", "t"))
