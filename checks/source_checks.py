@@ -156,6 +156,55 @@ def _read_mixed(s, d):
 
 
 register("read_mixed_export", _read_mixed, BY_PERIOD.format(where=""))
+
+
+def _moving(s, d):
+    """The billing view in three layouts: as it is; turned round, without resources; with a new column, cost as text."""
+    rows = _periods(s, d)
+    names = [c for c in SLIM if c != "line_item_resource_id"]
+    first = rows.filter("BILLING_PERIOD < '1996-01'")
+    second = rows.filter("BILLING_PERIOD >= '1996-01' AND BILLING_PERIOD < '1999-01'").select(*names[::-1], "BILLING_PERIOD")
+    third = rows.filter("BILLING_PERIOD >= '1999-01'").withColumn("line_item_unblended_cost", F.col("line_item_unblended_cost").cast("string"))
+    third = third.select(F.lit("new").alias("line_item_extra"), *[c for c in third.columns[::-1]])
+    return rows.schema, (first, second, third)
+
+
+def _by_place(df):
+    return df.groupBy(F.col("BILLING_PERIOD").alias("period"), F.col("product_servicecode").alias("service")).agg(
+        F.count("*").alias("lines"),
+        F.count("line_item_resource_id").alias("resources"),
+        F.sum("line_item_unblended_cost").alias("cost"),
+        F.sum("line_item_usage_amount").alias("usage"),
+    )
+
+
+def _moved_gzip(s, d):
+    """Gzip files of three layouts, copied twice: columns are found by name."""
+    path, target = scratch_path(s, "moved"), scratch_path(s, "moved-copy")
+    schema, parts = _moving(s, d)
+    for part in parts:
+        sinks.flat(part).write.mode("append").partitionBy("BILLING_PERIOD").csv(path, header=True, compression="gzip")
+    exports.materialise_export(s, path, target, schema)
+    return _by_place(exports.materialise_export(s, path, target, schema))
+
+
+def _moved_parquet(s, d):
+    """Parquet files of three layouts, one of which has another type."""
+    path = scratch_path(s, "layouts")
+    schema, parts = _moving(s, d)
+    for part in parts:
+        part.write.mode("append").partitionBy("BILLING_PERIOD").parquet(path)
+    return _by_place(exports.read_layouts(s, path, schema))
+
+
+BY_PLACE = """
+    SELECT strftime(month, '%Y-%m') AS period, service, count(*) AS lines,
+           count(resource) FILTER (WHERE month < DATE '1996-01-01' OR month >= DATE '1999-01-01') AS resources,
+           round(sum(cost), 2) AS cost, round(sum(usage), 2) AS usage
+    FROM cur GROUP BY 1, 2
+"""
+register("copy_gzip_moved_columns", _moved_gzip, BY_PLACE)
+register("read_parquet_layouts", _moved_parquet, BY_PLACE)
 register(
     "adhoc_parquet_query",
     lambda s, d: exports.query_files(

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from costspark.sources.named_csv import read_named_csv
+
 
 @dataclass(frozen=True)
 class Export:
@@ -69,7 +71,9 @@ def read_export(
     date.  Without ``schema`` the footers of all months are merged, which reads
     every file's footer; give a schema for large exports.  ``file_format`` is
     parquet or csv (gzip), which take the files of that suffix, or auto: the files
-    are listed and those of both kinds read, each by its reader.
+    are listed and those of both kinds read, each by its reader.  Columns are found by
+    name in both: periods may order them differently, lack some or have more.  Where a
+    column changes its type between periods, use ``read_layouts``.
     """
     kind = EXPORTS[export_type]
     if file_format == "auto":
@@ -79,14 +83,58 @@ def read_export(
     if "csv" in formats and schema is None:
         raise ValueError("gzip CSV exports need a schema")
     found = schema or spark.read.option("mergeSchema", True).option("pathGlobFilter", SUFFIXES["parquet"]).parquet(path).schema
+    within = period_filter(export_type, date_start, date_end)
     fields = [f for f in found.fields if f.name not in (kind.partition, SOURCE_FILE)]
     full = T.StructType([*fields, T.StructField(kind.partition, T.StringType())])
     out = None
     for name in formats:
-        reader = spark.read.schema(full).option("pathGlobFilter", SUFFIXES[name])
-        part = reader.csv(path, header=True) if name == "csv" else reader.parquet(path)
+        if name == "csv":
+            part = read_named_csv(spark, path, full, kind.partition, within=within)
+        else:
+            part = spark.read.schema(full).option("pathGlobFilter", SUFFIXES[name]).parquet(path)
         part = part.select(*full.names)
         out = part if out is None else out.unionByName(part)
+    return out.filter(within)
+
+
+def period_layouts(spark: SparkSession, path: str, export_type: str = "CUR2.0") -> list[tuple[T.StructType, list[str]]]:
+    """The schemas of a Parquet export's periods, each with the folders that have it.
+
+    One footer a period is read; there are as many periods as months or days.
+    """
+    files = export_files(spark, path, export_type).filter(F.col("name").endswith(".parquet"))
+    folder = F.regexp_extract("path", f"^(.*/{EXPORTS[export_type].partition}=[^/]*)/", 1)
+    folders = [r[0] for r in files.select(folder.alias("f")).filter("f <> ''").distinct().orderBy("f").collect()]
+    found: dict[str, tuple[T.StructType, list[str]]] = {}
+    for f in folders:
+        schema = spark.read.option("recursiveFileLookup", True).parquet(f).schema
+        found.setdefault(schema.json(), (schema, []))[1].append(f)
+    return list(found.values())
+
+
+def read_layouts(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    export_type: str = "CUR2.0",
+    date_start: str | None = None,
+    date_end: str | None = None,
+) -> DataFrame:
+    """A Parquet export whose columns move, come, go or change their type between periods, as ``schema``.
+
+    Periods of one layout are read together under their own schema, then cast by name (a cast that
+    fails is an error under ANSI rules); what a layout lacks is null.
+    """
+    key = EXPORTS[export_type].partition
+    full = _with_text(schema, key)
+    out = spark.createDataFrame([], full)
+    for own, folders in period_layouts(spark, path, export_type):
+        names = {f.name.lower(): f.name for f in own.fields}
+        held = T.StructType([f for f in own.fields if f.name != key] + [T.StructField(key, T.StringType())])
+        rows = spark.read.schema(held).option("basePath", path).parquet(*folders)
+        column = lambda f: F.col(names[f.name.lower()]) if f.name.lower() in names else F.lit(None)  # noqa: B023, E731
+        columns = [column(f).cast(f.dataType).alias(f.name) for f in full.fields if f.name != key]
+        out = out.unionByName(rows.select(*columns, key))
     return out.filter(period_filter(export_type, date_start, date_end))
 
 
@@ -215,9 +263,11 @@ def materialise_export(
             paths = [r["path"] for r in new if r["kind"] == form]
             if not paths:
                 continue
-            reader = spark.read.schema(full).option("basePath", source)
-            rows = reader.csv(paths, header=True) if form == "csv" else reader.parquet(*paths)
-            part = rows.select(*full.names, F.concat_ws("-", F.md5(name), size.cast("string")).alias(SOURCE_FILE))
+            origin = F.concat_ws("-", F.md5(name), size.cast("string"))
+            if form == "csv":
+                part = read_named_csv(spark, paths, full, key, origin, SOURCE_FILE, source).select(*full.names, SOURCE_FILE)
+            else:
+                part = spark.read.schema(full).option("basePath", source).parquet(*paths).select(*full.names, origin.alias(SOURCE_FILE))
             marked = part if marked is None else marked.unionByName(part)
         (
             marked.write.mode("overwrite")

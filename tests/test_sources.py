@@ -275,3 +275,63 @@ def test_shared_folder(spark, monkeypatch):
     Session.sparkContext.getCheckpointDir = staticmethod(lambda: "hdfs:///points/")
     assert runtime.shared_dir(Session) == "hdfs:///points"
     assert runtime.shared_dir(spark)
+
+
+def layouts(spark, path, kind):
+    """Three periods: the columns move, one is missing and a new one comes, a type differs."""
+    months = [
+        ("2024-01", "service string, cost double, note string", [("s3", 1.5, 'a,"b"'), ("ec2", 2.0, None)]),
+        ("2024-02", "cost double, extra string, service string", [(2.5, "x", "s3")]),
+        ("2024-03", "note string, cost string, service string", [("n\nm", "4.25", "rds"), ("", None, "s3")]),
+    ]
+    for month, schema, data in months:
+        df = spark.createDataFrame(data, schema).coalesce(1)
+        if kind == "csv":
+            df.write.csv(f"{path}/BILLING_PERIOD={month}", header=True, compression="gzip")
+        else:
+            df.write.parquet(f"{path}/BILLING_PERIOD={month}")
+
+
+EVERY = [
+    ("2024-01", "ec2", 2.0, None), ("2024-01", "s3", 1.5, 'a,"b"'), ("2024-02", "s3", 2.5, None),
+    ("2024-03", "rds", 4.25, "n\nm"), ("2024-03", "s3", None, ""),
+]
+NAMES = ("BILLING_PERIOD", "service", "cost", "note")
+
+
+def test_gzip_columns_are_found_by_name(spark, tmp_path):
+    path = str(tmp_path / "moved")
+    layouts(spark, path, "csv")
+    schema = spark.createDataFrame([], "service string, cost double, note string, BILLING_PERIOD string").schema
+    read = lambda **o: sorted(rows(exports.read_export(spark, path, schema=schema, file_format="csv", **o), *NAMES), key=str)
+    assert read() == sorted(EVERY, key=str)
+    assert read(date_start="2024-02", date_end="2024-02") == [EVERY[2]]
+    copy = lambda: sorted(rows(exports.materialise_export(spark, path, str(tmp_path / "copy"), schema), *NAMES), key=str)
+    assert copy() == sorted(EVERY, key=str) == copy()
+
+
+def test_gzip_header_of_other_case_and_wrong_values(spark, tmp_path):
+    import gzip
+
+    folder = tmp_path / "odd" / "BILLING_PERIOD=2024-01"
+    folder.mkdir(parents=True)
+    with gzip.open(folder / "a.csv.gz", "wt") as f:
+        f.write('﻿COST,"Service",tags,cost\n1.5,"a ""b""","{""k"":""v""}",9\n\n,"line\nend",,\n')
+    with gzip.open(folder / "empty.csv.gz", "wt") as f:
+        f.write("service,cost\n")
+    schema = spark.createDataFrame([], "service string, cost double, tags map<string,string>").schema
+    got = rows(exports.read_export(spark, str(tmp_path / "odd"), schema=schema, file_format="csv"), "service", "cost", "tags")
+    assert sorted(got, key=str) == [('a "b"', 1.5, {"k": "v"}), ("line\nend", None, None)]
+    with gzip.open(folder / "bad.csv.gz", "wt") as f:
+        f.write("service,cost\ns3,much\n")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        exports.read_export(spark, str(tmp_path / "odd"), schema=schema, file_format="csv").select("cost").collect()
+
+
+def test_parquet_layouts(spark, tmp_path):
+    path = str(tmp_path / "layouts")
+    layouts(spark, path, "parquet")
+    schema = spark.createDataFrame([], "service string, cost double, note string").schema
+    assert [len(f) for _, f in exports.period_layouts(spark, path)] == [1, 1, 1]
+    assert sorted(rows(exports.read_layouts(spark, path, schema), *NAMES), key=str) == sorted(EVERY, key=str)
+    assert rows(exports.read_layouts(spark, path, schema, date_start="2024-03", date_end="2024-03"), "cost").count((4.25,)) == 1
