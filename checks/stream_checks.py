@@ -110,7 +110,7 @@ LANDED = (
 
 
 def _updated(update, months=12):
-    """Billing rows as files that arrive one by one, the oldest months last, and the result they leave."""
+    """Billing rows that arrive in three runs, the oldest months last, and the result they leave."""
 
     def run(s, d):
         source, path = scratch_path(s, "lines"), scratch_path(s, "updates")
@@ -118,11 +118,9 @@ def _updated(update, months=12):
         late = F.col("line_item_usage_start_date") < "2000-01-01"
         third = F.pmod(F.xxhash64("line_item_resource_id"), F.lit(2)) == 0
         for part in (rows.filter(~late & third), rows.filter(~late & ~third), rows.filter(late)):
-            part.coalesce(1).write.mode("append").parquet(source)
-        stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-        updates.start_updates(
-            stream, update, path, "scheduled", months=months
-        ).awaitTermination()
+            part.write.mode("append").parquet(source)
+            stream = s.readStream.schema(rows.schema).parquet(source)
+            updates.start_updates(stream, update, path, "scheduled", months=months, fan=2).awaitTermination()
         return updates.latest_result(s, path)
 
     return run

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,8 +15,9 @@ from costspark.functions.filters import COST, positive_cost
 from costspark.operators import forecast, optimize, spend
 from costspark.operators.spend import RESOURCE, SERVICE
 from costspark.streaming.alerts import trigger
+from costspark.streaming.sum_log import MONTH, SumLog, delete, listed
 
-MONTH = "month"
+POINTER = f"{MONTH} string, part string, level int, newest date"
 
 
 @dataclass(frozen=True)
@@ -94,15 +95,7 @@ def next_month() -> Update:
 
 def _numbers(spark: SparkSession, path: str) -> list[int]:
     """Batch numbers of the pointers that are complete, in order."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "batch=*/_SUCCESS"))
-    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return sorted(int(p.split("batch=")[1].split("/")[0]) for p in listed(spark, path, "batch=*/_SUCCESS"))
 
 
 def latest_result(spark: SparkSession, path: str) -> DataFrame | None:
@@ -111,6 +104,12 @@ def latest_result(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/results/batch={done[-1]}") if done else None
 
 
+def _pointer(spark: SparkSession, path: str) -> tuple[list[tuple[str, str, int]], date | None]:
+    """Entries of the log and the newest day of a pointer: a row for each part of a month."""
+    rows = spark.read.schema(POINTER).parquet(path).collect()
+    return [(r[MONTH], r["part"], r["level"]) for r in rows if r["part"] is not None], rows[0]["newest"]
+
+
 def start_updates(
     lines: DataFrame,
     update: Update,
@@ -118,58 +117,41 @@ def start_updates(
     mode: str = "real_time",
     minutes: int = 5,
     months: int = 12,
+    fan: int = 8,
 ) -> StreamingQuery:
     """Add each micro-batch to sums by month, then run ``update`` on them as of the newest day so far.
 
-    A batch rewrites the sums of the months it touches, in folders of its own number, and
-    the operator reads the sums of the newest day's month and ``months`` before it: the
-    work follows the batch and the sums, not the history of lines.  A pointer table,
-    written last, names the folder of each month and the newest day; the newest day
-    never goes back.  A batch that Spark repeats starts from the pointer before it and
-    overwrites its own folders, so nothing is lost or doubled, and readers
-    (``latest_result``) keep the earlier result until the new one is whole.
+    A batch appends its own sums to a log (``SumLog``; ``fan`` parts of a month are merged into one), so
+    what is written follows the batch, and the operator reads the sums of the newest day's month and
+    ``months`` before it: the work follows the batch and the sums, not the history of lines.  A batch is read
+    once: its newest day is observed while its sums are written.  A pointer table, written last,
+    names the parts of each month and the newest day; the newest day never goes back.  A batch
+    that Spark repeats starts from the pointer before it and overwrites its own parts, so nothing is lost
+    or doubled, and readers (``latest_result``) keep the earlier result until the new one is whole.
     """
     pointers = f"{path}/pointers"
-    folders = f"{MONTH} string, version long, newest date"
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         earlier = [n for n in _numbers(spark, pointers) if n < number]
-        known: dict[str, int] = {}
-        newest: date | None = None
-        if earlier:  # a row for each month
-            for r in spark.read.schema(folders).parquet(f"{pointers}/batch={earlier[-1]}").collect():
-                known[r[MONTH]], newest = r["version"], r["newest"]
-        rolled = update.roll(batch)
-        day = batch.agg(F.max(F.to_date(START))).first()[0]
-        touched = [r[0] for r in rolled.select(MONTH).distinct().collect()]
-        newest = max((d for d in (newest, day) if d is not None), default=None)
+        entries, newest = _pointer(spark, f"{pointers}/batch={earlier[-1]}") if earlier else ([], None)
+        seen = Observation()
+        rolled = update.roll(batch.observe(seen, F.max(F.to_date(START)).alias("day")))
+        log = SumLog(f"{path}/sums", update.keys, rolled.schema, list(entries), fan)
+        log.append(rolled, number)
+        newest = max((d for d in (newest, seen.get["day"]) if d is not None), default=None)
         if newest is None:
             return
-        own = f"{path}/sums/batch={number}"
-        if touched:
-            parts, schema = rolled, rolled.schema
-            before = [(m, known[m]) for m in touched if m in known]
-            for month, version in before:
-                old = spark.read.schema(schema).parquet(f"{path}/sums/batch={version}/{MONTH}={month}")
-                parts = parts.unionByName(old.withColumn(MONTH, F.lit(month)))
-            measures = [c for c in rolled.columns if c not in (*update.keys, MONTH)]
-            sums = parts.groupBy(*update.keys, MONTH).agg(*[F.sum(c).cast(schema[c].dataType).alias(c) for c in measures])
-            sums.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(MONTH).parquet(own)
-        now = {**known, **dict.fromkeys(touched, number)}
         oldest = shift_months(month_start(newest), -months).strftime("%Y-%m")
-        wanted = [f"{path}/sums/batch={v}/{MONTH}={m}" for m, v in sorted(now.items()) if m >= oldest]
-        recent = spark.read.schema(rolled.schema).option("basePath", f"{path}/sums").parquet(*wanted) if wanted else rolled.limit(0)
-        update.result(recent, newest).write.mode("overwrite").parquet(f"{path}/results/batch={number}")
-        table = spark.createDataFrame([(m, v, newest) for m, v in now.items()] or [("", -1, newest)], folders)
-        table.coalesce(1).write.mode("overwrite").parquet(f"{pointers}/batch={number}")
+        result = update.result(log.sums(spark, since=oldest), newest)
+        result.write.mode("overwrite").parquet(f"{path}/results/batch={number}")
+        rows = [(*e, newest) for e in log.entries] or [(None, None, None, newest)]
+        spark.createDataFrame(rows, POINTER).coalesce(1).write.mode("overwrite").parquet(f"{pointers}/batch={number}")
         # Two pointers stay, for a batch that is repeated and for readers of the one before.
-        kept = {*now.values(), *known.values(), number, *earlier[-1:]}
+        log.sweep(spark, entries)
         for n in earlier[:-1]:
-            _delete(spark, f"{pointers}/batch={n}")
-            _delete(spark, f"{path}/results/batch={n}")
-            if n not in kept:
-                _delete(spark, f"{path}/sums/batch={n}")
+            delete(spark, f"{pointers}/batch={n}")
+            delete(spark, f"{path}/results/batch={n}")
 
     return (
         lines.writeStream.foreachBatch(step)

@@ -77,3 +77,40 @@ def test_modes():
     assert alerts.trigger("batched", 3) == {"processingTime": "3 minutes"}
     with pytest.raises(ValueError):
         alerts.trigger("sometimes")
+
+
+def test_updates_write_what_the_batch_brings(spark, tmp_path, bill):
+    """A batch of one line in a month of many resources writes one row of sums, but for a merge now and then."""
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    line = dict(start="2024-03-05", cost=1.0, usage=1.0, service="AmazonEC2", itype="m")
+    written = []
+    for n in range(7):
+        batch = [{**line, "resource": f"r{i}"} for i in range(300)] if n == 0 else [{**line, "resource": "r0"}]
+        bill(*batch).coalesce(1).write.parquet(f"{source}/{n}")
+        stream = spark.readStream.schema(bill().schema).option("recursiveFileLookup", True).parquet(source)
+        updates.start_updates(stream, updates.opportunities(), path, "scheduled", fan=4).awaitTermination()
+        parts = [p for p in (tmp_path / "out/sums").iterdir() if p.name.split("=")[1].split("-")[0] == str(n)]
+        written.append({p.name: spark.read.parquet(str(p)).count() for p in parts})
+    assert written[0] == {"part=0": 300} and written[1] == {"part=1": 1} and written[2] == {"part=2": 1}
+    assert written[3]["part=3-1"] == 300 and written[4] == {"part=4": 1} and written[6] == {"part=6": 1}
+    found = {r["opportunity_id"]: r["potential_savings"] for r in updates.latest_result(spark, path).collect()}
+    assert len(found) == 300 and found["idle-r0-AmazonEC2"] == pytest.approx(7 * 0.9) and found["idle-r9-AmazonEC2"] == pytest.approx(0.9)
+
+
+def test_a_repeated_batch_is_not_doubled(spark, tmp_path):
+    from costspark.streaming.sum_log import SumLog
+
+    frame = lambda *data: spark.createDataFrame(list(data), "k string, month string, v double")
+    log = lambda entries: SumLog(str(tmp_path / "log"), ("k",), frame().schema, list(entries), 3)
+    one = log([])
+    assert one.append(frame(("a", "2024-01", 1.0), ("b", "2024-02", 5.0)), 0) == ["2024-01", "2024-02"]
+    for _ in range(2):  # the second time as after a failure
+        two = log(one.entries)
+        two.append(frame(("a", "2024-01", 2.0)), 1)
+    three = log(two.entries)
+    three.append(frame(("a", "2024-01", 4.0)), 2)
+    three.sweep(spark, two.entries)
+    assert sorted(three.entries) == [("2024-01", "2-1", 1), ("2024-02", "0", 0)]
+    assert sorted(rows(three.sums(spark))) == [("a", "2024-01", 7.0), ("b", "2024-02", 5.0)]
+    assert rows(three.sums(spark, since="2024-02")) == [("b", "2024-02", 5.0)]
+    assert sorted(rows(two.sums(spark, months=["2024-01"]))) == [("a", "2024-01", 3.0)]  # its parts are still there
