@@ -11,7 +11,7 @@ from checks.base import DAY, register
 from checks.trend_checks import FORECAST
 from costspark.plans.billing_view import TABLES, billing_view
 from costspark.runtime import materialise, scratch_path
-from costspark.streaming import alerts, updates
+from costspark.streaming import alerts, closed_days, updates
 
 RENAMED = """ts AS line_item_usage_start_date|event_type AS product_servicecode|
     concat('group-', user_id % 3) AS product_region|value AS line_item_unblended_cost""".split("|")
@@ -169,3 +169,72 @@ register(
     """,
     digits=6,
 )
+
+
+def _closed_days(s, d):
+    """Events of three groups of users, one run each: the later groups come after their days were closed."""
+    source, path = scratch_path(s, "events"), scratch_path(s, "closed")
+    lines = _lines(s, d, False)
+    for k in range(3):
+        lines.filter(F.col("product_region") == f"group-{k}").write.mode("append").parquet(source)
+        stream = s.readStream.schema(lines.schema).parquet(source)
+        closed_days.start_closed_days(stream, path, mode="scheduled", fan=2).awaitTermination()
+    return s.read.parquet(f"{path}/served").drop("month")
+
+
+register(
+    "stream_closed_days_with_late_rows",
+    _closed_days,
+    """--plain
+    WITH e AS (SELECT ts, CAST(ts AS DATE) AS day, event_type AS service, user_id % 3 AS k, value AS cost FROM events),
+         m AS (SELECT k, max(max(ts)) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest
+               FROM e GROUP BY k)
+    SELECT day AS usage_date, service AS product_servicecode, 'group-' || e.k AS product_region,
+           round(sum(cost), 2) AS current_cost, count(*) AS lines,
+           count(*) FILTER (WHERE day < CAST(newest - INTERVAL 2 DAY AS DATE)) AS late_lines
+    FROM e JOIN m ON m.k = e.k
+    WHERE day < (SELECT CAST(max(ts) - INTERVAL 2 DAY AS DATE) FROM e) GROUP BY 1, 2, 3
+    """,
+)
+
+
+def _month_alerts(s, d):
+    """Billing rows up to three dates inside months, one run each; the budget is a service's mean month."""
+    source, path = scratch_path(s, "lines"), scratch_path(s, "month-alerts")
+    view = billing_view(s, d, "line_item_usage_start_date", "product_servicecode", "line_item_unblended_cost")
+    lines = view.withColumn("line_item_usage_start_date", F.col("line_item_usage_start_date").cast("timestamp"))
+    months = lines.groupBy("product_servicecode", F.date_trunc("month", "line_item_usage_start_date").alias("m")).agg(
+        F.sum("line_item_unblended_cost").alias("cost")
+    )
+    budgets = months.groupBy(F.col("product_servicecode").alias("service")).agg((F.sum("cost") / F.count("*")).alias("budget"))
+    budgets = materialise(budgets, scratch_path(s, "month-budgets"))
+    since = ""
+    for until in ("1995-03-12", "1997-08-20", "9999"):
+        day = F.date_format("line_item_usage_start_date", "yyyy-MM-dd")
+        lines.filter((day >= since) & (day < until)).write.mode("append").parquet(source)
+        stream = s.readStream.schema(lines.schema).parquet(source)
+        alerts.start_month_alerts(stream, budgets, path, mode="scheduled").awaitTermination()
+        since = until
+    return alerts.month_alerts(s, path)
+
+
+register(
+    "stream_month_to_date_alerts",
+    _month_alerts,
+    """
+    WITH g AS (SELECT CAST(ts AS DATE) AS day, month, service, sum(cost) AS c FROM cur WHERE service IS NOT NULL GROUP BY 1, 2, 3),
+    b AS (SELECT service, sum(c) / count(DISTINCT month) AS budget FROM g GROUP BY service),
+    r AS (SELECT day, month, service, sum(c) OVER (PARTITION BY service, month ORDER BY day) AS so_far FROM g
+          WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM cur) - INTERVAL 2 DAY),
+    x AS (SELECT r.service, month, level, day, so_far, budget,
+                 row_number() OVER (PARTITION BY r.service, month, level ORDER BY day) AS n
+          FROM r JOIN b ON b.service = r.service, (VALUES (0.8::DOUBLE), (1.0::DOUBLE), (1.2::DOUBLE), (1.5::DOUBLE)) l(level)
+          WHERE so_far >= level * budget)
+    SELECT concat_ws('-', 'month', strftime(month, '%Y-%m'), service, CAST(level AS VARCHAR)) AS alert_id,
+           CASE WHEN level >= 1 THEN 'budget_exceeded' ELSE 'threshold_reached' END AS alert_type, service, month, level,
+           day AS crossed_on, round(so_far, 2) AS month_to_date, round(budget, 2) AS budget,
+           CASE WHEN so_far / budget > 1.5 THEN 'critical' WHEN so_far / budget > 1.2 THEN 'high'
+                WHEN so_far / budget > 1 THEN 'medium' ELSE 'low' END AS severity
+    FROM x WHERE n = 1
+    """,
+)

@@ -114,3 +114,54 @@ def test_a_repeated_batch_is_not_doubled(spark, tmp_path):
     assert sorted(rows(three.sums(spark))) == [("a", "2024-01", 7.0), ("b", "2024-02", 5.0)]
     assert rows(three.sums(spark, since="2024-02")) == [("b", "2024-02", 5.0)]
     assert sorted(rows(two.sums(spark, months=["2024-01"]))) == [("a", "2024-01", 3.0)]  # its parts are still there
+
+
+def test_month_to_date_crossings_between_batches(spark, tmp_path):
+    source, path = tmp_path / "in", str(tmp_path / "out")
+    budgets = spark.createDataFrame([("a", 100.0), ("b", 10.0), ("none", 0.0)], "service string, budget double")
+    told = []
+    batches = [
+        [("2024-03-01 01:00", "a", 50.0), ("2024-03-02 01:00", "a", 20.0)],
+        [("2024-03-06 01:00", "a", 15.0), ("2024-03-06 02:00", "b", 40.0), ("2024-03-06 02:00", "none", 9.0)],
+        [("2024-03-09 01:00", "a", 20.0), ("2024-03-31 23:00", "a", 40.0)],
+        [("2024-04-03 01:00", "a", 79.0), ("2024-04-20 01:00", "a", 1.0), ("2024-05-20 01:00", "z", 1.0)],
+    ]
+    for n, lines in enumerate(batches):
+        land(spark, source, str(n), *lines)
+        stream = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", True).parquet(str(source))
+        alerts.start_month_alerts(stream, budgets, path, mode="scheduled").awaitTermination()
+        found = [p for p in (tmp_path / "out").glob("alerts/*/*.parquet")]
+        told.append(alerts.month_alerts(spark, path).count() if found else 0)
+    got = {(r["service"], str(r["crossed_on"]), r["level"], r["severity"]) for r in alerts.month_alerts(spark, path).collect()}
+    assert got == {
+        ("a", "2024-03-06", 0.8, "low"), ("a", "2024-03-09", 1.0, "medium"), ("a", "2024-03-31", 1.2, "high"),
+        ("b", "2024-03-06", 0.8, "critical"), ("b", "2024-03-06", 1.0, "critical"), ("b", "2024-03-06", 1.2, "critical"),
+        ("b", "2024-03-06", 1.5, "critical"), ("a", "2024-04-20", 0.8, "low"),
+    }
+    assert told[-1] == len(got) and told == sorted(told)
+
+
+def test_closed_days_are_corrected_by_late_rows(spark, tmp_path):
+    from costspark.streaming.closed_days import start_closed_days
+
+    source, path = tmp_path / "in", str(tmp_path / "out")
+    batches = [
+        [("2024-03-30 01:00", "s", 1.0), ("2024-03-31 02:00", "s", 2.0), ("2024-04-04 01:00", "s", 5.0)],
+        [("2024-03-30 05:00", "s", 10.0), ("2024-04-05 01:00", "s", 7.0), ("2024-04-04 02:00", "s", 3.0)],
+        [("2024-04-20 00:00", "s", 1.0)],
+        [("2024-01-15 00:00", "t", 4.0), ("2024-04-04 23:00", "t", 8.0)],
+    ]
+    served = []
+    for n, lines in enumerate(batches):
+        land(spark, source, str(n), *lines)
+        stream = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", True).parquet(str(source))
+        start_closed_days(stream, path, ("product_servicecode",), mode="scheduled", fan=2).awaitTermination()
+        table = spark.read.parquet(f"{path}/served")
+        served.append({(str(r["usage_date"]), r["product_servicecode"]): (r["current_cost"], r["late_lines"]) for r in table.collect()})
+    assert served[0] == {("2024-03-30", "s"): (1.0, 0), ("2024-03-31", "s"): (2.0, 0)}
+    assert served[1] == {("2024-03-30", "s"): (11.0, 1), ("2024-03-31", "s"): (2.0, 0)}
+    april = {("2024-04-04", "s"): (8.0, 0), ("2024-04-05", "s"): (7.0, 0)}
+    assert served[2] == {**served[1], **april}
+    assert served[3] == {**served[2], ("2024-01-15", "t"): (4.0, 1), ("2024-04-04", "t"): (8.0, 1)}
+    late = spark.read.option("recursiveFileLookup", True).schema(SCHEMA).parquet(f"{path}/late")
+    assert sorted(r["line_item_unblended_cost"] for r in late.collect()) == [4.0, 8.0, 10.0]
