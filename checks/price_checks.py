@@ -176,17 +176,17 @@ register(
 )
 
 
-def _matrix(s, d):
-    keys = pricing.matrix_keys(tables.aws_pricing(s, d))
-    metadata = price_list.instance_metadata(tables.documents(s, d))
-    return pricing.pricing_matrix(keys, _compared(s, d, keys), metadata)
+def _matrix(regions):
+    def run(s, d):
+        keys = pricing.matrix_keys(tables.aws_pricing(s, d), regions)
+        metadata = price_list.instance_metadata(tables.documents(s, d))
+        return pricing.pricing_matrix(keys, _compared(s, d, keys), metadata)
 
+    return run
 
-register(
-    "pricing_matrix",
-    _matrix,
-    """
-    WITH k AS (SELECT unnest(['us-east-1', 'us-west-2', 'eu-west-1', 'ap-southeast-1']) AS region),
+
+MATRIX_SQL = """
+    WITH k AS ({regions}),
     t AS (SELECT DISTINCT itype FROM cur WHERE usage > 0 AND region IS NOT NULL),
     ks AS (SELECT region, itype FROM k, t)
     SELECT ks.region, ks.itype AS instance_type,
@@ -203,10 +203,11 @@ register(
     LEFT JOIN sp ON sp.region_code = ks.region AND sp.instance_type = ks.itype
     LEFT JOIN ri ON ri.region_code = ks.region AND ri.instance_type = ks.itype
     LEFT JOIN pl ON pl.region_code = ks.region AND pl.instance_type = ks.itype
-    """,
-    digits=6,
-    **PARTS,
-)
+    """
+GIVEN = "SELECT unnest(['us-east-1', 'us-west-2', 'eu-west-1', 'ap-southeast-1']) AS region"
+PRICED = "SELECT DISTINCT region_code AS region FROM prices WHERE price IS NOT NULL AND region_code IS NOT NULL"
+register("pricing_matrix", _matrix(pricing.MATRIX_REGIONS), MATRIX_SQL.format(regions=GIVEN), digits=6, **PARTS)
+register("pricing_matrix_all_regions", _matrix(None), MATRIX_SQL.format(regions=PRICED), digits=6, **PARTS)
 
 # Billing rows beside price tables.
 register(

@@ -320,6 +320,31 @@ register(
 )
 
 
+def _views_in_any_order(s, d):
+    """The reports first, what they read after them: joins, a subquery and a WITH part tell the order."""
+    base = cur(s, d, *SLIM)
+    unordered = {
+        "heavy_report": """WITH mean AS (SELECT avg(cost) AS c FROM ordered_costs)
+            SELECT account, cost, lines FROM ordered_costs WHERE cost > (SELECT c FROM mean) AND account IN (SELECT account FROM used)""",
+        "ordered_costs": "SELECT account, sum(cost) AS cost, count(*) AS lines FROM ordered_lines GROUP BY account",
+        "used": "SELECT account FROM ordered_lines GROUP BY account HAVING sum(usage) > 1000",
+        "ordered_lines": lambda spark: base.selectExpr(
+            "line_item_usage_account_id AS account", "line_item_unblended_cost AS cost", "line_item_usage_amount AS usage"
+        ),
+    }
+    return views.build_views(s, unordered, scratch_path(s, "ordered-views"))["heavy_report"]
+
+
+register(
+    "views_in_any_order",
+    _views_in_any_order,
+    """
+    WITH g AS (SELECT account, sum(cost) AS cost, count(*) AS lines, sum(usage) AS u FROM cur GROUP BY account)
+    SELECT account, round(cost, 2) AS cost, lines FROM g WHERE cost > (SELECT avg(cost) FROM g) AND u > 1000
+    """,
+)
+
+
 def _dashboard(s, d):
     wanted = [c for c in dashboard.dashboard_columns() if c in COLUMNS]
     patterns = (("DiscountedUsage", "Reserved Instance"), ("SavingsPlan", "Savings Plan"))

@@ -242,20 +242,18 @@ def account_summary(
 ) -> DataFrame:
     """Per account and payer: cost, distinct services, distinct resources.
 
-    Facts shrink to one row per resource with the set of its services; an account
-    then counts rows and joins the few different sets.  The first shuffle is
-    spread by resource, so one heavy account does not fill one task.
+    Facts shrink to one row per resource and service, in a shuffle that one heavy account does
+    not fill a task of; what is counted distinct per account are those rows.
     """
     rows = cur.filter(base_filter(billing_period=billing_period))
-    services = F.array_distinct(F.flatten(F.collect_set("services")))
     return (
-        rows.groupBy(ACCOUNT, PAYER, RESOURCE)
-        .agg(F.sum(COST).alias("cost"), F.sort_array(F.collect_set(SERVICE)).alias("services"))
+        rows.groupBy(ACCOUNT, PAYER, RESOURCE, SERVICE)
+        .agg(F.sum(COST).alias("cost"))
         .groupBy(F.col(ACCOUNT).alias("account_id"), F.col(PAYER).alias("payer_account_id"))
         .agg(
             F.sum("cost").alias("total_cost"),
-            F.size(services).cast("long").alias("service_count"),
-            F.count(RESOURCE).alias("resource_count"),
+            F.countDistinct(SERVICE).alias("service_count"),
+            F.countDistinct(RESOURCE).alias("resource_count"),
         )
         .transform(in_order, ordered, F.desc("total_cost"), "account_id", "payer_account_id")
     )

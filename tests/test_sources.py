@@ -335,3 +335,20 @@ def test_parquet_layouts(spark, tmp_path):
     assert [len(f) for _, f in exports.period_layouts(spark, path)] == [1, 1, 1]
     assert sorted(rows(exports.read_layouts(spark, path, schema), *NAMES), key=str) == sorted(EVERY, key=str)
     assert rows(exports.read_layouts(spark, path, schema, date_start="2024-03", date_end="2024-03"), "cost").count((4.25,)) == 1
+
+
+def test_views_are_ordered_by_what_they_read(spark):
+    from costspark.plans.views import build_views, order_views
+
+    texts = {
+        "c": "SELECT * FROM b JOIN (SELECT max(v) AS m FROM A) ON v = m",
+        "b": "WITH x AS (SELECT v FROM a) SELECT v FROM x WHERE EXISTS (SELECT 1 FROM outside)",
+        "a": lambda s: s.table("base"),
+        "base": "SELECT 1 AS v UNION ALL SELECT 2",
+    }
+    order = order_views(spark, texts, {"a": ["base"]})
+    assert order == ["base", "a", "b", "c"]
+    spark.range(1).createOrReplaceTempView("outside")
+    assert rows(build_views(spark, texts, needs={"a": ["base"]})["c"]) == [(2, 2)]
+    with pytest.raises(ValueError, match="need each other: .*(p|q)"):
+        order_views(spark, {"p": "SELECT * FROM q", "q": "SELECT * FROM p"})
