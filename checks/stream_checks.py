@@ -11,7 +11,7 @@ from checks.base import DAY, register
 from checks.trend_checks import FORECAST
 from costspark.plans.billing_view import TABLES, billing_view
 from costspark.runtime import materialise, scratch_path
-from costspark.streaming import alerts, closed_days, updates
+from costspark.streaming import alerts, baselines, closed_days, updates
 
 RENAMED = """ts AS line_item_usage_start_date|event_type AS product_servicecode|
     concat('group-', user_id % 3) AS product_region|value AS line_item_unblended_cost""".split("|")
@@ -238,3 +238,41 @@ register(
     FROM x WHERE n = 1
     """,
 )
+
+
+def _following(s, d):
+    """Events up to two dates and to the end, one run each; the baseline that has followed them."""
+    source, path = scratch_path(s, "dated"), scratch_path(s, "following")
+    lines, since = _lines(s, d, False), "0"
+    for until in ("2024-01-09", "2024-01-17", "9"):
+        day = F.date_format("line_item_usage_start_date", "yyyy-MM-dd")
+        lines.filter((day >= since) & (day < until)).write.mode("append").parquet(source)
+        stream = s.readStream.schema(lines.schema).parquet(source)
+        baselines.start_following_alerts(stream, path, mode="scheduled").awaitTermination()
+        since = until
+    told = s.read.option("recursiveFileLookup", True).parquet(f"{path}/alerts")
+    told = told.groupBy("service", "region").agg(F.count("*").alias("alerts"))
+    kept = baselines.following_baseline(s, path).withColumnsRenamed({"product_servicecode": "service", "product_region": "region"})
+    return kept.join(told, ["service", "region"], "left").fillna({"alerts": 0})
+
+
+# A batch's days: those that close when the newest event of a run has come.
+register(
+    "stream_following_baseline",
+    _following,
+    "--plain" + EVENTS + """,
+    g AS (SELECT day, service, region, sum(cost) AS c FROM closed GROUP BY 1, 2, 3),
+    runs AS (SELECT CAST(max(ts) - INTERVAL 2 DAY AS DATE) AS bound FROM events WHERE ts < '2024-01-09'
+             UNION ALL SELECT CAST(max(ts) - INTERVAL 2 DAY AS DATE) FROM events WHERE ts < '2024-01-17'),
+    seen AS (SELECT g.day, g.service, g.region, g.c, max(r.bound) AS bound FROM g JOIN runs r ON r.bound <= g.day GROUP BY ALL),
+    st AS (SELECT s.day, s.service, s.region, s.c, avg(h.c) AS a, stddev_samp(h.c) AS sd FROM seen s
+           JOIN g h ON h.service = s.service AND h.region = s.region AND h.day < s.bound
+           GROUP BY ALL HAVING count(*) >= 7),
+    told AS (SELECT service, region, count(*) AS n FROM st
+             WHERE c > a + 2 * sd OR (c < a - 2 * sd AND c > 0) GROUP BY 1, 2)
+    SELECT g.service, g.region, round(avg(c), 4) AS avg_daily_cost, round(stddev_samp(c), 4) AS sd,
+           coalesce(any_value(n), 0) AS alerts
+    FROM g LEFT JOIN told t ON t.service = g.service AND t.region = g.region GROUP BY 1, 2 HAVING count(*) >= 7
+    """,
+    digits=4,
+)

@@ -165,3 +165,22 @@ def test_closed_days_are_corrected_by_late_rows(spark, tmp_path):
     assert served[3] == {**served[2], ("2024-01-15", "t"): (4.0, 1), ("2024-04-04", "t"): (8.0, 1)}
     late = spark.read.option("recursiveFileLookup", True).schema(SCHEMA).parquet(f"{path}/late")
     assert sorted(r["line_item_unblended_cost"] for r in late.collect()) == [4.0, 8.0, 10.0]
+
+
+def test_moments_merge_without_cancelling(spark):
+    import random
+    import statistics
+
+    from costspark.functions.moments import merge_moments, moments, spread
+
+    rng = random.Random(4)
+    values = [1e9 + rng.random() for _ in range(200)] + [None]
+    data = [(i % 7, "k" if v is None or i % 2 else "m", v) for i, v in enumerate(values)]
+    df = spark.createDataFrame([*data, (0, "empty", None), (1, "one", 3.0)], "part int, key string, v double")
+    parts = df.groupBy("part", "key").agg(*moments("v"))
+    got = {r["key"]: (r["n"], r["mean"], r["sd"]) for r in merge_moments(parts, ["key"]).withColumn("sd", spread()).collect()}
+    for key in "km":
+        own = [v for _, k, v in data if k == key and v is not None]
+        n, mean, sd = got[key]
+        assert n == len(own) and mean == pytest.approx(statistics.fmean(own)) and sd == pytest.approx(statistics.stdev(own), rel=1e-4)
+    assert got["empty"] == (0, 0.0, None) and got["one"] == (1, 3.0, None)
