@@ -2,6 +2,7 @@
 
 from checks import (  # noqa: F401
     price_checks,
+    rollup_checks,
     saving_checks,
     source_checks,
     spend_checks,
