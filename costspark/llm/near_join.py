@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -131,43 +130,68 @@ def links_within(sets: list[np.ndarray], threshold: float, columns: int = 4096)
     return linked
 
 
+def _roots(linked: np.ndarray) -> np.ndarray:
+    """The smallest place that links reach from each place."""
+    root = np.arange(len(linked))
+    while len(root):
+        low = np.minimum(root, np.where(linked, root[None, :], len(root)).min(axis=1))
+        if (low == root).all():
+            break
+        root = low
+    return root
+
+
 def _verify(words: int, threshold: float):
-    """Per block of two tiles: the links of each set in documents, and the smallest set that links reach."""
+    """Per block of two tiles: the links of each set in documents, and ties between sets.
 
-    def checked(rows: list[tuple], shingles: Shingles) -> tuple[list, list, list]:
-        one: dict[int, tuple] = {}
-        for rep, tile, copies, digest, text in rows:
-            if rep not in one:
+    A block of one tile ties each set to the smallest that links reach.  A block of two ties only the
+    smallest sets of the tiles' own components, to the smallest that links reach in both: what lies
+    below them is tied in the blocks of one tile.  So a group of near copies gives a tie for
+    each set and one for each pair of tiles.
+    """
+
+    def checked(rows: list[tuple], shingles: Shingles) -> Iterator[tuple]:
+        one: dict[tuple, tuple] = {}
+        for rep, digest, tile, copies, text in rows:
+            if (rep, digest) not in one:
                 own = shingles(text)
                 if blake2b(own.tobytes(), digest_size=16).digest() == digest:
-                    one[rep] = (tile, copies, own)
-        reps = np.array(list(one), np.int64)
-        tiles = np.array([v[0] for v in one.values()])
-        copies = np.array([v[1] for v in one.values()], np.int64)
-        linked = links_within([v[2] for v in one.values()], threshold)
-        if len(set(tiles.tolist())) > 1:  # pairs of the same tile are met in its own block
-            linked &= tiles[:, None] != tiles[None, :]
-        root = reps.copy()
-        while len(reps):
-            low = np.minimum(root, np.where(linked, root[None, :], np.iinfo(np.int64).max).min(axis=1))
-            if (low == root).all():
-                break
-            root = low
-        return reps.tolist(), (linked @ copies).tolist(), root.tolist()
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                    one[rep, digest] = (tile, copies, own)
+        keys = sorted(one)
+        tiles = np.array([one[k][0] for k in keys])
+        copies = np.array([one[k][1] for k in keys], np.int64)
+        linked = links_within([one[k][2] for k in keys], threshold)
+        root, told = _roots(linked), np.ones(len(keys), bool)
+        if len(set(tiles.tolist())) > 1:  # pairs of the same tile are counted in its own block
+            inside = linked & (tiles[:, None] == tiles[None, :])
+            told = _roots(inside) == np.arange(len(keys))
+            linked &= ~inside
+        for i, (key, links) in enumerate(zip(keys, (linked @ copies).tolist())):
+            yield (*key, links, *(keys[root[i]] if told[i] and root[i] != i else (None, None)))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, at, rows = Shingles(words), None, []
+        kind = None
+
+        def table(found: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*found)) or [[]] * 5
+            kinds = [kind, pa.binary(), pa.int64(), kind, pa.binary()]
+            names = ["rep", "digest", "links", "root_rep", "root_digest"]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
         for b in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            keys = zip(b["label"].tolist(), b["i"].tolist(), b["j"].tolist())
-            for key, *row in zip(keys, b["rep"].tolist(), b["tile"].tolist(), b["copies"].tolist(), b["digest"].tolist(), b["text"].tolist()):
+            kind = b.schema.field("rep").type
+            found: list[tuple] = []
+            listed = {n: b.column(n).to_pylist() for n in b.schema.names}
+            keys = zip(listed["l_rep"], listed["l_digest"], listed["i"], listed["j"])
+            for key, *row in zip(keys, *(listed[n] for n in ("rep", "digest", "tile", "copies", "text"))):
                 if key != at:
-                    for have, more in zip(out, checked(rows, shingles)):
-                        have.extend(more)
+                    found += checked(rows, shingles)
                     at, rows = key, []
                 rows.append(tuple(row))
-            yield pd.DataFrame(dict(zip(("rep", "links", "root"), out)))
-        yield pd.DataFrame(dict(zip(("rep", "links", "root"), checked(rows, shingles))))
+            yield table(found)
+        if rows:
+            yield table(list(checked(rows, shingles)))
 
     return verify
 
@@ -186,14 +210,16 @@ def near_join(
     """Links between documents whose runs of ``words`` words have a Jaccard similarity of ``threshold``.
 
     Returns one row per row of ``docs``: ``id_col``, ``class_id`` (the smallest id that links
-    lead to), ``n_links`` (other documents linked to this one, copies included) and
-    ``set_id`` (the smallest id with the same runs).  A document without words links to none.  A
-    row without an id has null class and set.  Rows that repeat an id count each.
-
-    Documents with equal sets of runs are one from the start.  The others meet if they share a
-    prefix of the forest in any tree; each bucket ties its members to its smallest one, and
+    lead to), ``n_links`` (other documents linked to this one, copies included), ``set_id`` (the smallest
+    id with the same runs), ``stays`` (false for all rows of a class but those of its smallest id and set) and
+    ``text_hash`` (xxhash64 of the text, which tells the rows of an id apart).  Ids are of any type that
+    Spark orders.  A document without words links to none and stays.  A row without an id has null
+    class and set and stays.  Rows that repeat an id count each, each with the links of its own text.
+
+    Documents with equal sets of runs are one from the start, named by smallest id and digest.  The others
+    meet if they share a prefix in any of ``trees`` bands; a bucket ties its members to its smallest one, and
     what is tied together is compared in full: exact similarities of all pairs, in blocks of
-    two tiles of ``tile`` sets, of which only counts and one tie for each set leave the task.
+    two tiles of ``tile`` sets, of which counts and few ties leave the task.
     """
     spark = docs.sparkSession
     depth = depth_for(threshold, trees, deepest, recall)
@@ -209,60 +235,80 @@ def near_join(
                 keys.append(prefixes(own, trees, depth) if len(own) else np.empty(0, np.int64))
             flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
             ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, flat)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(ends, flat)], names=["id", "digest", "keys"]
+                [b.column(0), pa.array(digests, pa.binary()), lists, b.column(2)], names=["id", "digest", "keys", "hash"]
             )
 
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    every = materialise(texts.mapInArrow(signed, f"id {id_type}, digest binary, keys array<bigint>"), scratch_path(spark, "signed"))
-    sets = materialise(
+    texts = texts.withColumn("hash", F.xxhash64("text"))
+    signed_rows = texts.mapInArrow(signed, f"id {id_type}, digest binary, keys array<bigint>, hash bigint")
+    every = materialise(signed_rows, scratch_path(spark, "signed"))
+    first = F.min(F.struct("id", "hash"))
+    sets = (
         every.where("id IS NOT NULL AND digest IS NOT NULL").groupBy("digest")
-        .agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys")),
-        scratch_path(spark, "sets"),
+        .agg(first.alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
+        .select(F.struct(F.col("first.id").alias("rep"), "digest").alias("node"), F.col("first.hash").alias("hash"), "copies", "keys")
     )
-    leaves = sets.select("rep", F.explode("keys").alias("key"))
-    hubs = materialise(
-        leaves.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"),
-        scratch_path(spark, "hubs"),
-    )
-    ties = leaves.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    tied = components(ties)
+    sets = materialise(sets, scratch_path(spark, "sets"))
+    leaves = sets.select("node", F.explode("keys").alias("key"))
+    hubs = leaves.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
+    hubs = materialise(hubs, scratch_path(spark, "hubs"))
+    # A set is tied to its smallest hub, and its other hubs to that one: distinct, so a large group has few of these.
+    met = leaves.join(hubs, "key").groupBy("node").agg(F.collect_set("hub").alias("hubs"))
+    met = met.select("node", "hubs", F.array_min("hubs").alias("b"))
+    met = materialise(met, scratch_path(spark, "met"))
+    ties = met.select(F.col("node").alias("a"), "b").unionByName(met.select(F.explode("hubs").alias("a"), "b").distinct())
+    tied = components(ties.where("a <> b"))
     tiles = tied.groupBy("label").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     tiles = materialise(tiles, scratch_path(spark, "tiles"))
     own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     members = (
         tied.join(tiles, "label").withColumn("tile", own)
-        .join(sets.select("rep", "copies", "digest"), F.col("node") == F.col("rep"))
-        .select("rep", "label", "tile", "tiles", "copies", "digest")
+        .join(sets.select("node", "copies", "hash"), "node")
+        .select("node.rep", "node.digest", F.col("hash").alias("of"), "label", "tile", "tiles", "copies")
     )
     members = materialise(members, scratch_path(spark, "members"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
+    same = (F.col("id") == F.col("rep")) & (F.col("hash") == F.col("of"))
     blocks = (
         # Members grow with the documents: never sent to every executor, also where they are few.
-        texts.join(members.hint("merge"), F.col("id") == F.col("rep"))
-        .select("rep", "label", "tile", "copies", "digest", "text", other)
+        texts.join(members.hint("merge"), same)
+        .select("rep", "digest", F.col("label.rep").alias("l_rep"), F.col("label.digest").alias("l_digest"), "tile", "copies", "text", other)
         .withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
-        .repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "rep")
+        .repartition("l_rep", "l_digest", "i", "j").sortWithinPartitions("l_rep", "l_digest", "i", "j", "rep", "digest")
     )
-    found = materialise(blocks.mapInPandas(_verify(words, threshold), "rep long, links long, root long"), scratch_path(spark, "links"))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    schema = f"rep {id_type}, digest binary, links bigint, root_rep {id_type}, root_digest binary"
+    found = blocks.mapInArrow(_verify(words, threshold), schema)
+    found = found.select(
+        F.struct("rep", "digest").alias("of"),
+        "links",
+        F.when(F.col("root_digest").isNotNull(), F.struct(F.col("root_rep").alias("rep"), F.col("root_digest").alias("digest"))).alias("root"),
+    )
+    found = materialise(found, scratch_path(spark, "links"))
+    links = found.groupBy("of").agg(F.sum("links").alias("links"))
+    classes = components(found.where("root IS NOT NULL").select(F.col("of").alias("a"), F.col("root").alias("b")))
     known = (
-        sets.select("digest", "rep", "copies")
-        .join(links.withColumnRenamed("rep", "of"), F.col("rep") == F.col("of"), "left")
-        .join(classes, F.col("rep") == F.col("node"), "left")
+        sets.select("node", "copies")
+        .join(links, F.col("node") == F.col("of"), "left")
+        .join(classes.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left")
+        .withColumn("label", F.coalesce("label", "node"))
         .select(
-            F.col("digest").alias("d"),
-            F.coalesce("label", "rep").alias("class_id"),
+            F.col("node.digest").alias("d"),
+            F.col("label.rep").alias("class_id"),
+            (F.col("label.digest") == F.col("node.digest")).alias("smallest"),
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.col("rep").alias("set_id"),
+            F.col("node.rep").alias("set_id"),
         )
     )
     known = materialise(known, scratch_path(spark, "classes"))
     has = F.col("id").isNotNull()
-    return every.join(known, (F.col("digest") == F.col("d")) & has, "left").select(
+    joined = every.join(known, (F.col("digest") == F.col("d")) & has, "left")
+    return joined.select(
         F.col("id").alias(id_col),
         F.coalesce("class_id", "id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce("set_id", "id").alias("set_id"),
+        F.coalesce(F.col("smallest") & (F.col("id") == F.col("class_id")), F.lit(True)).alias("stays"),
+        F.col("hash").alias("text_hash"),
     )

@@ -81,7 +81,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_join(table(spark, sf_dir, "documents"), words=5, threshold=0.8)
+    found = near_join(table(spark, sf_dir, "documents"), words=5, threshold=0.8)
+    return found.select("doc_id", "class_id", "n_links", "set_id")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,11 +123,35 @@ def test_near_join_against_all_pairs(docs, tile):
 
 def test_near_join_odd_rows(docs):
     text = "a b c d e f g"
-    got = [tuple(r) for r in near_join(docs((3, text), (3, text), (None, text), (5, "A b c d e f g"))).collect()]
+    got = [tuple(r)[:4] for r in near_join(docs((3, text), (3, text), (None, text), (5, "A b c d e f g"))).collect()]
     assert sorted(got, key=str) == [(3, 3, 2, 3), (3, 3, 2, 3), (5, 3, 2, 3), (None, None, 0, None)]
     assert near_join(docs((1, "a")).where("false")).collect() == []
 
 
+def test_near_join_tells_texts_of_an_id_apart(docs, spark):
+    one, two = "a b c d e f g h i j", "k l m n o p q r s t u v w x y z"
+    rows = [(1, one), (1, two), (3, two + " end"), (4, one), (5, "other words stand here alone at last")]
+    got = {(r["doc_id"], r["text_hash"]): tuple(r)[1:5] for r in near_join(docs(*rows)).collect()}
+    by = sorted((i, v) for (i, _), v in got.items())
+    assert by == [
+        (1, (1, 1, 1, True)), (1, (1, 1, 1, True)), (3, (1, 1, 3, False)), (4, (1, 1, 1, False)), (5, (5, 0, 5, True)),
+    ]
+    names = spark.createDataFrame([("b", one), ("a", one), ("c", one + " k")], "doc_id string, text string")
+    assert sorted(tuple(r)[:4] for r in near_join(names).collect()) == [("a", "a", 2, "a"), ("b", "a", 2, "a"), ("c", "a", 2, "c")]
+
+
+def test_near_join_ties_grow_as_the_group(docs, monkeypatch):
+    from costspark.llm import near_join as module
+
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*base, f"x{i}", f"y{i}"])) for i in range(400)]
+    seen, plain = [], module.components
+    monkeypatch.setattr(module, "components", lambda edges: seen.append(edges.distinct().count()) or plain(edges))
+    got = near_join(docs(*rows), tile=32).collect()
+    assert {(r["class_id"], r["n_links"]) for r in got} == {(0, 399)}
+    assert len(seen) == 2 and max(seen) <= 2 * len(rows)
+
+
 def test_depth_reaches_the_recall():
     depth = depth_for(0.8, 32, 10, 0.999)
     assert 1 - (1 - 0.8**depth) ** 32 >= 0.999 > 1 - (1 - 0.8 ** (depth + 1)) ** 32
