@@ -31,9 +31,15 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays: the one with the smallest doc_id."""
-    gone = near_join(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each class of near copies stays: the one with the smallest doc_id.
+
+    Rows go by id and text, as in ``drop_copies``.
+    """
+    gone = near_join(docs).where(~F.col("stays")).select(F.col("doc_id").alias("near_id"), F.col("text_hash").alias("near_hash"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = rows.withColumn("hash", F.xxhash64(F.coalesce("row.text", F.lit(""))))
+    same = (F.col("row.doc_id") == F.col("near_id")) & (F.col("hash") == F.col("near_hash"))
+    return rows.join(gone.distinct().hint("merge"), same, "left_anti").select("row.*")
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
