@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,20 +34,48 @@ def quality_report(df: DataFrame, as_of: date) -> DataFrame:
     hash, so only hashes are shuffled, and repeated rows collapse before that.
     Issues cost 20 points and warnings 5.
     """
-    columns = set(df.columns)
-    present = [c for c in CRITICAL if c in columns]
     first, second = row_hashes(df)
+    measures = _measures(df.columns)
+    wanted = [c for c in (*CRITICAL, START) if c in df.columns]
+    rows = df.select(*dict.fromkeys(wanted), first.alias("h1"), second.alias("h2"))
+    return _report(rows.agg(*measures, F.countDistinct("h1", "h2").alias("distinct_rows")), df.columns, as_of)
+
+
+def _measures(columns: Sequence[str]) -> list[Column]:
+    """What the report takes from the rows, but for distinct rows."""
     measures = [
-        F.count("*").alias("total_rows"),
-        F.countDistinct("h1", "h2").alias("distinct_rows"),
+        F.count(F.lit(1)).alias("total_rows"),
         (F.count_if(F.col(COST) < 0) if COST in columns else F.lit(0)).alias("negative_costs"),
-        *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in present],
+        *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in CRITICAL if c in columns],
     ]
     if START in columns:
         measures.append(F.max(F.to_date(START)).alias("latest_date"))
-    wanted = [c for c in (*present, START) if c in columns]
-    one = df.select(*wanted, first.alias("h1"), second.alias("h2")).agg(*measures)
+    return measures
+
+
+def observe_quality(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """``df`` that counts what ``observed_report`` needs while a job, a copy for one, runs through it once."""
+    seen = Observation()
+    return df.observe(seen, *_measures(df.columns)), seen
+
 
+def observed_report(seen: Observation, copy: DataFrame, as_of: date) -> DataFrame:
+    """``quality_report`` of rows that were copied under ``observe_quality``.
+
+    Counts come from the copying job; only duplicates read the copy. Waits for that job.
+    """
+    found = seen.get
+    kind = lambda name: "date" if name == "latest_date" else "bigint"
+    schema = ", ".join(f"`{name}` {kind(name)}" for name in found)
+    one = copy.sparkSession.createDataFrame([tuple(found.values())], schema)
+    first, second = row_hashes(copy)
+    hashes = copy.select(first.alias("h1"), second.alias("h2"))
+    return _report(one.withColumn("distinct_rows", hashes.agg(F.countDistinct("h1", "h2")).scalar()), copy.columns, as_of)
+
+
+def _report(one: DataFrame, columns: Sequence[str], as_of: date) -> DataFrame:
+    """The report from one row of measures."""
+    present = [c for c in CRITICAL if c in columns]
     total = F.col("total_rows")
     share = {c: F.try_divide(F.col(f"null_{c}"), total) * 100 for c in present}
     age = F.date_diff(F.lit(as_of), "latest_date") if START in columns else F.lit(None).cast("int")
@@ -88,7 +117,7 @@ def quality_report(df: DataFrame, as_of: date) -> DataFrame:
     score = 100.0 - 20 * F.size("issues") - 5 * F.size("warnings")
     return one.select(
         total,
-        F.lit(len(df.columns)).alias("total_columns"),
+        F.lit(len(columns)).alias("total_columns"),
         "negative_costs",
         *[F.round(s, 4).alias(f"null_pct_{c}") for c, s in share.items()],
         age.alias("days_old"),

@@ -352,3 +352,15 @@ def test_views_are_ordered_by_what_they_read(spark):
     assert rows(build_views(spark, texts, needs={"a": ["base"]})["c"]) == [(2, 2)]
     with pytest.raises(ValueError, match="need each other: .*(p|q)"):
         order_views(spark, {"p": "SELECT * FROM q", "q": "SELECT * FROM p"})
+
+
+def test_quality_observed_while_copying(bill, spark, tmp_path):
+    from costspark.operators import quality
+
+    lines = [dict(cost=1.0, service="s", start="2024-03-01"), dict(cost=1.0, service="s", start="2024-03-01"), dict(cost=-2.0, service=None, start="2024-03-20")]
+    for df in (bill(*lines), bill(*lines).drop("line_item_unblended_cost"), bill()):
+        rows_, seen = quality.observe_quality(df)
+        path = str(tmp_path / f"copy{len(df.columns)}-{df.count()}")
+        rows_.write.parquet(path)
+        copy = spark.read.schema(df.schema).parquet(path)
+        assert rows(quality.observed_report(seen, copy, AS_OF)) == rows(quality.quality_report(df, AS_OF))
