@@ -144,6 +144,22 @@ register(
 )
 
 
+def _streamed(s, d):
+    """Parquet files of some services, then gzip files in another order of columns; copied as they come, and once more."""
+    path, target = scratch_path(s, "arriving"), scratch_path(s, "arrived")
+    every = _periods(s, d)
+    early = F.coalesce(F.col("product_servicecode") < "AmazonR", F.lit(False))
+    every.filter(early).write.partitionBy("BILLING_PERIOD").parquet(path)
+    exports.stream_export(s, path, target, every.schema)
+    late = sinks.flat(every.filter(~early)).select(*every.columns[::-1]).write.mode("append").partitionBy("BILLING_PERIOD")
+    late.csv(path, header=True, compression="gzip")
+    exports.stream_export(s, path, target, every.schema)
+    return _by_period(exports.stream_export(s, path, target, every.schema))
+
+
+register("stream_export_new_files", _streamed, BY_PERIOD.format(where=""))
+
+
 def _read_mixed(s, d):
     """A folder with Parquet files of some periods and gzip files of the others."""
     path = scratch_path(s, "mixed")

@@ -283,6 +283,38 @@ def materialise_export(
     return read_export(spark, target, export_type, date_start, date_end, schema)
 
 
+def stream_export(
+    spark: SparkSession,
+    source: str,
+    target: str,
+    schema: T.StructType,
+    export_type: str = "CUR2.0",
+    files_a_period: int = 8,
+    checkpoint: str | None = None,
+) -> DataFrame:
+    """Copy the files that have come since the last call, Parquet and gzip CSV; the copy is returned.
+
+    For exports that add files and never rewrite them (``materialise_export`` compares sizes too).  The
+    stream's own log knows which files are done, so no list of files or marks is gathered; a call
+    takes what is there and stops, and a call that fails goes on where it was.  A call writes at most
+    ``files_a_period`` files into a period, dealt by a hash, so one large period is no single task.
+    """
+    key = EXPORTS[export_type].partition
+    full = _with_text(schema, key)
+    flat = spark.readStream.schema(full).option("pathGlobFilter", SUFFIXES["parquet"]).parquet(source).select(*full.names)
+    rows = flat.unionByName(read_named_csv(spark, source, full, key, stream=True).select(*full.names))
+    plain = [f.name for f in full.fields if not isinstance(f.dataType, T.MapType)]
+    dealt = rows.withColumn("dealt", F.pmod(F.xxhash64(*plain), F.lit(files_a_period)))
+    query = (
+        dealt.repartition(key, "dealt").drop("dealt")
+        .writeStream.format("parquet").outputMode("append").partitionBy(key)
+        .option("path", target).option("checkpointLocation", checkpoint or f"{target}/_checkpoint")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return read_export(spark, target, export_type, schema=schema)
+
+
 def _with_text(schema: T.StructType, key: str) -> T.StructType:
     return T.StructType([f for f in schema.fields if f.name != key] + [T.StructField(key, T.StringType())])
 

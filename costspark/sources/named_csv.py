@@ -57,6 +57,7 @@ def read_named_csv(
     mark_name: str = "mark",
     base: str | None = None,
     within: Column | None = None,
+    stream: bool = False,
 ) -> DataFrame:
     """Gzip CSV files with a header each, as ``schema``: columns are found by name, not by place.
 
@@ -66,10 +67,11 @@ def read_named_csv(
 
     One scan: a gzip file can't be split, so its lines reach one task in order, the header first, and
     batches of lines are parsed under the header seen last.  ``partition`` is the partition column (text),
-    by which ``within`` prunes folders; ``mark``, an expression over ``_metadata``, is carried as ``mark_name``.
+    by which ``within`` prunes folders; ``mark``, an expression over ``_metadata``, is carried as ``mark_name``.  With ``stream`` the folder is
+    a source of files that arrive.
     """
     wanted = [f.name for f in schema.fields if f.name != partition]
-    reader = spark.read.schema(f"value string, `{partition}` string").option("pathGlobFilter", "*.gz")
+    reader = (spark.readStream if stream else spark.read).schema(f"value string, `{partition}` string").option("pathGlobFilter", "*.gz")
     if base:
         reader = reader.option("basePath", base)
     rows = reader.text(paths if isinstance(paths, str) else list(paths))

@@ -364,3 +364,15 @@ def test_quality_observed_while_copying(bill, spark, tmp_path):
         rows_.write.parquet(path)
         copy = spark.read.schema(df.schema).parquet(path)
         assert rows(quality.observed_report(seen, copy, AS_OF)) == rows(quality.quality_report(df, AS_OF))
+
+
+def test_stream_export_copies_what_has_come(spark, tmp_path):
+    source, target = tmp_path / "in", tmp_path / "out"
+    layouts(spark, str(source), "csv")
+    schema = spark.createDataFrame([], "service string, cost double, note string, BILLING_PERIOD string").schema
+    copy = lambda: sorted(rows(exports.stream_export(spark, str(source), str(target), schema, files_a_period=2), *NAMES), key=str)
+    assert copy() == sorted(EVERY, key=str) == copy()
+    many = spark.range(100).selectExpr("'ec2' AS service", "cast(id AS double) AS cost", "cast(null AS string) AS note")
+    many.repartition(20).write.parquet(f"{source}/BILLING_PERIOD=2024-04")
+    assert len(copy()) == len(EVERY) + 100 == len(copy())
+    assert 1 <= len(list(target.glob("BILLING_PERIOD=2024-04/*.parquet"))) <= 2
