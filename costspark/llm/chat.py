@@ -112,7 +112,7 @@ def format_chats(
         group: list[tuple] = []
         at = object()
         for b in batches:
-            for conv, role, text in zip(b["conv"].astype(object).where(b["conv"].notna(), None).tolist(), b["role"].tolist(), b["text"].tolist()):
+            for conv, role, text in zip(b["conv"].where(b["conv"].notna(), None).tolist(), b["role"].tolist(), b["text"].tolist()):
                 if conv != at:
                     if len(group) >= at_once:
                         yield encoded(group)
@@ -124,10 +124,11 @@ def format_chats(
             yield encoded(group)
 
     rows = turns.select(
-        F.col(conv_col).alias("conv"),
+        F.col(conv_col).cast("string").alias("conv"),  # pandas would make a double of a long beside a null
         F.col(turn_col).alias("turn"),
         F.coalesce(F.col(role_col), F.lit("")).alias("role"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     ordered = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
-    return ordered.mapInPandas(formatted, FORMATTED.format(kind)).withColumnRenamed("conv", conv_col)
+    found = ordered.mapInPandas(formatted, FORMATTED.format("string"))
+    return found.withColumn("conv", F.col("conv").cast(kind)).withColumnRenamed("conv", conv_col)

@@ -140,8 +140,9 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return format_chats(turns).select("conv_id", "formatted", "loss_spans").mapInPandas(read, schema)
+    schema = "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    formatted = format_chats(turns).select(F.col("conv_id").cast("string").alias("conv_id"), "formatted", "loss_spans")
+    return formatted.mapInPandas(read, schema).withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
 OP10 = r"""

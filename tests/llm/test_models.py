@@ -307,6 +307,13 @@ def test_format_chats(spark):
     assert format_chats(turns.where("false")).collect() == []
 
 
+def test_format_chats_keeps_large_ids_beside_a_null(spark):
+    ids = [2**60, 2**60 + 1, None, -5]
+    turns = spark.createDataFrame([(i, 0, "user", f"of {i}") for i in ids], "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: read_back(r["formatted"]) for r in format_chats(turns).collect()}
+    assert got == {i: [("user", f"of {i}")] for i in ids}
+
+
 def test_align_splits_tokens_at_turns():
     loss, covered = align(np.array([[0, 3], [3, 7], [7, 7], [7, 9]]), [(2, 5), (8, 9)])
     assert loss.tolist() == [True, True, False, True] and covered == [[2, 5], [8, 9]]
