@@ -8,7 +8,8 @@ from checks import price_tables as tables
 from checks.base import cur, register
 from costspark.operators import enrich, pricing
 from costspark.plans.billing_view import table
-from costspark.sources import price_list
+from costspark.runtime import scratch_path
+from costspark.sources import price_list, sinks
 
 OD = "WHERE instance_type <> 'm5.micro'"
 ONDEMAND = f"SELECT * FROM prices {OD}"
@@ -308,13 +309,8 @@ register(
 # Declared joins.
 
 
-def _enriched_invoices(s, d):
-    joined = enrich.enrich(
-        cur(s, d, "bill_invoice_id", "line_item_usage_account_id", "line_item_unblended_cost"),
-        {"invoice_summaries": tables.invoices(s, d)},
-        "invoice_summaries",
-        full_key=True,
-    )
+def _by_invoice(facts, invoices):
+    joined = enrich.enrich(facts, {"invoice_summaries": invoices}, "invoice_summaries", full_key=True)
     return joined.groupBy(
         F.col("invoice_summaries_BillingPeriod.Year").alias("year"),
         F.col("invoice_summaries_InvoiceType").alias("invoice_type"),
@@ -325,15 +321,29 @@ def _enriched_invoices(s, d):
     )
 
 
-register(
-    "enrich_invoices",
-    _enriched_invoices,
-    """
+INVOICED = ("bill_invoice_id", "line_item_usage_account_id", "line_item_unblended_cost")
+
+
+def _bucketed_invoices(s, d):
+    """Facts and invoices saved in the same buckets, opened as tables and joined where they lie."""
+    pairs = {e.table_id: e.keys for e in enrich.ENRICHMENTS["CUR"]}["invoice_summaries"]
+    parts = ((cur(s, d, *INVOICED), [k for k, _ in pairs]), (tables.invoices(s, d), [k for _, k in pairs]))
+    opened = []
+    for rows, keys in parts:
+        path = scratch_path(s, "bucketed")
+        name = path.rsplit("/", 1)[1].replace("-", "_")
+        sinks.save_bucketed(rows, name, path, keys, 16)
+        opened.append(sinks.open_bucketed(s, f"{name}_again", path, rows.schema, keys, 16))
+    return _by_invoice(*opened)
+
+
+INVOICE_SQL = """
     SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CASE o_orderstatus WHEN 'P' THEN 'CREDIT_MEMO' ELSE 'INVOICE' END AS invoice_type,
            count(*) AS lines, round(sum(cost), 2) AS cost, max(o_orderdate + INTERVAL 30 DAY) AS last_due
     FROM cur LEFT JOIN orders o ON o.o_orderkey = cur.l_orderkey AND o.o_custkey = cur.o_custkey GROUP BY 1, 2
-    """,
-)
+    """
+register("enrich_invoices", lambda s, d: _by_invoice(cur(s, d, *INVOICED), tables.invoices(s, d)), INVOICE_SQL)
+register("enrich_invoices_bucketed", _bucketed_invoices, INVOICE_SQL)
 
 
 def _prices(s, d):

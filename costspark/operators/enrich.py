@@ -92,7 +92,8 @@ def enrich(
     tells) leaves the number of facts as it is.  ``full_key=False`` joins on the
     first key alone, as the original does: a table with several rows for it
     multiplies the facts.  Join strategy is left to table sizes and to adaptive
-    skew handling.
+    skew handling; facts and tables saved by ``sinks.save_bucketed`` on the declared keys join
+    without a shuffle.
     """
     known = {e.table_id: e for e in ENRICHMENTS[base.upper()]}
     unknown = [t for t in table_ids if t not in known]

@@ -81,3 +81,27 @@ def test_distinct_counts_do_not_copy_facts(bill):
     plan = spend.account_summary(df, ordered=False)._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan and "rangepartitioning" not in plan
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_bucketed_facts_are_enriched_without_a_shuffle(spark, tmp_path):
+    from costspark.operators.enrich import ENRICHMENTS, enrich
+    from costspark.sources import sinks
+
+    pairs = {e.table_id: e.keys for e in ENRICHMENTS["CUR"]}["invoice_summaries"]
+    facts = spark.range(200).selectExpr(*[f"cast(id % {7 + i} AS string) AS {a}" for i, (a, _) in enumerate(pairs)], "id AS v")
+    dims = facts.drop("v").distinct().selectExpr(*[f"{a} AS {b}" for a, b in pairs], "1 AS w")
+    opened = []
+    for i, (df, keys) in enumerate(((facts, [a for a, _ in pairs]), (dims, [b for _, b in pairs]))):
+        sinks.save_bucketed(df, f"bucketed_{i}", str(tmp_path / str(i)), keys, 4)
+        opened.append(sinks.open_bucketed(spark, f"opened_{i}", str(tmp_path / str(i)), df.schema, keys, 4))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = enrich(opened[0], {"invoice_summaries": opened[1]}, "invoice_summaries")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert joined.filter("invoice_summaries_w = 1").count() == 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+        for name in ("bucketed_0", "bucketed_1", "opened_0", "opened_1"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
