@@ -365,11 +365,11 @@ register(
     "enrich_prices",
     _enriched_prices,
     """
-    SELECT itype AS product_instance_type, count(*) AS rows, round(sum(price), 4) AS price_sum
+    SELECT itype AS product_instance_type, count(*) AS rows, round(sum(price), 6) AS price_sum
     FROM cur c LEFT JOIN prices p ON p.instance_type = c.itype AND p.region_code = c.region AND p.operating_system = c.os
          AND p.tenancy = c.tenancy GROUP BY itype
     """,
-    digits=4,
+    digits=6,
     prices=tables.AWS_PRICING,
 )
 

@@ -270,9 +270,9 @@ register(
            GROUP BY ALL HAVING count(*) >= 7),
     told AS (SELECT service, region, count(*) AS n FROM st
              WHERE c > a + 2 * sd OR (c < a - 2 * sd AND c > 0) GROUP BY 1, 2)
-    SELECT g.service, g.region, round(avg(c), 4) AS avg_daily_cost, round(stddev_samp(c), 4) AS sd,
+    SELECT g.service, g.region, round(avg(c), 6) AS avg_daily_cost, round(stddev_samp(c), 6) AS sd,
            coalesce(any_value(n), 0) AS alerts
     FROM g LEFT JOIN told t ON t.service = g.service AND t.region = g.region GROUP BY 1, 2 HAVING count(*) >= 7
     """,
-    digits=4,
+    digits=6,
 )
