@@ -245,7 +245,7 @@ register(
     FROM cur LEFT JOIN plans ON arn = sp_arn
     WHERE service = 'AmazonEC2' AND kind = 'Usage' GROUP BY 1, 2, 3, 4, 5, 6, 7
     """,
-    digits=3,
+    digits={"": 2, "commitment_amount_hourly": 3},
     plans=tables.SAVINGS_PLANS,
 )
 register(
