@@ -10,6 +10,7 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -161,16 +162,18 @@ class PieceCodec:
         begins = (np.r_[0, codes[:-1]] == 0).tolist()
         last, back = [-1] * (n + 1), [0] * (n + 1)
         follows, beside, stands = self._follows, self.beside, self._stands
-        for s, e, p in zip(start.tolist(), end.tolist(), piece.tolist()):
-            if last[e] >= 0:
-                continue
-            if begins[s]:
-                if stands(p):
-                    last[e], back[e] = p, s
-            elif (a := last[s]) >= 0:
-                known = beside.get(a << 32 | p)
-                if known if known is not None else follows(a, p):
-                    last[e], back[e] = p, s
+        for k in range(0, len(start), 50_000):  # as Python numbers the edges take much memory
+            part = (a[k : k + 50_000].tolist() for a in (start, end, piece))
+            for s, e, p in zip(*part):
+                if last[e] >= 0:
+                    continue
+                if begins[s]:
+                    if stands(p):
+                        last[e], back[e] = p, s
+                elif (a := last[s]) >= 0:
+                    known = beside.get(a << 32 | p)
+                    if known if known is not None else follows(a, p):
+                        last[e], back[e] = p, s
         out, at = {}, 0
         known_char = (codes > 0).tolist()
         for word in words:
@@ -187,16 +190,38 @@ class PieceCodec:
             at += len(word) + 1
         return out
 
+    def words_of(self, texts: pa.Array) -> pa.ListArray:
+        """The words of each text, spaces marked; a text with runs of spaces or marks is cut by ``SEGMENT``."""
+        odd = pc.or_(pc.equal(texts, ""), pc.starts_with(texts, " "))
+        for part in ("  ", SPACE, "\0"):
+            odd = pc.or_(odd, pc.match_substring(texts, part))
+        plain = pc.replace_substring(texts.filter(pc.invert(odd)), " ", f" {SPACE}")
+        listed = pc.split_pattern(pc.binary_join_element_wise(SPACE, plain, ""), " ")
+        rest = [SEGMENT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts.filter(odd).to_pylist()]
+        if not rest:
+            return listed
+        is_odd = odd.to_numpy(zero_copy_only=False)
+        place = np.where(is_odd, len(listed) + np.cumsum(is_odd) - 1, np.cumsum(~is_odd) - 1)
+        return pa.concat_arrays([listed, pa.array(rest, listed.type)]).take(pa.array(place))
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's ids begin and end there.
+
+        Each different word is looked up once; Arrow puts the ids of the words in a row.
+        """
+        listed = self.words_of(texts)
+        coded = listed.flatten().dictionary_encode()
+        data = pa.array(self._ids(coded.dictionary.to_pylist()), pa.binary()).take(coded.indices)
+        at = np.frombuffer(data.buffers()[1], "<i4", len(data) + 1) if len(data) else np.zeros(1, np.int32)
+        flat = np.frombuffer(data.buffers()[2], "<i4", int(at[-1]) // 4) if at[-1] else np.empty(0, np.int32)
+        return flat, at[listed.offsets.to_numpy()] // 4
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        listed = []
-        for t in texts:
-            if not t:
-                listed.append([])
-            elif "  " in t or t[0] == " " or SPACE in t or "\0" in t:
-                marked = SPACE + t.replace(" ", SPACE)
-                listed.append(SEGMENT.findall(marked))
-            else:
-                listed.append([SPACE + w for w in t.split(" ")])
+        flat, ends = self.encode_column(pa.array(texts, pa.string()))
+        return [flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+
+    def _ids(self, own: list[str]) -> list[bytes]:
+        """Ids of words, as little-endian numbers; words and segments that are new are learnt."""
         if len(self.words) > self.most:
             self.words = {}
         if len(self.segments) > 2 * self.most:
@@ -204,10 +229,7 @@ class PieceCodec:
         if len(self.beside) > 2 * self.most:
             self.beside = {}
         words, segments = self.words, self.segments
-        missing: set[str] = set()
-        for own in listed:
-            missing.update(filterfalse(words.__contains__, own))
-        cuts = {w: self._cut(w) for w in missing}
+        cuts = {w: self._cut(w) for w in filterfalse(words.__contains__, own)}
         new = set().union(*cuts.values()).difference(segments)
         if "\0" in new:  # the separator of the index, a character without a piece of its own
             new.discard("\0")
@@ -221,14 +243,23 @@ class PieceCodec:
                 part, size = [], 0
         if part:
             segments.update(self._learn(part))
-        for w, own in cuts.items():
-            words[w] = segments[own[0]] if len(own) == 1 else b"".join(map(segments.__getitem__, own))
-        return [b"".join(map(words.__getitem__, own)) for own in listed]
+        for w, parts in cuts.items():
+            words[w] = segments[parts[0]] if len(parts) == 1 else b"".join(map(segments.__getitem__, parts))
+        return list(map(words.__getitem__, own))
+
+    def decode_column(self, ids: pa.ListArray) -> pa.Array:
+        """The texts of lists of ids: bytes that are no UTF-8 become marks, one leading space is dropped."""
+        ends = ids.offsets.to_numpy()
+        pieces = pa.array(self.raw, pa.binary()).take(ids.flatten())
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pieces), b"")
+        try:
+            texts = joined.cast(pa.string())
+        except pa.ArrowInvalid:
+            texts = pa.array([raw.decode("utf-8", "replace") for raw in joined.to_pylist()], pa.string())
+        return pc.if_else(pc.starts_with(texts, " "), pc.utf8_slice_codeunits(texts, 1), texts)
 
     def decode(self, ids: list[int]) -> str:
-        raw = b"".join(map(self.raw.__getitem__, ids))
-        text = raw.decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        return self.decode_column(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
 
 
 @lru_cache(maxsize=2)
@@ -246,10 +277,10 @@ def sp_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         for batch in batches:
             for at in range(0, batch.num_rows, at_once):
                 part = batch.slice(at, at_once)
-                data = own.encode(part.column(1).to_pylist())
-                ends = pa.array(np.cumsum([0, *(len(d) // 4 for d in data)]), pa.int32())
-                flat = pa.array(np.frombuffer(b"".join(data), "<i4"), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, flat)], names=["id", "ids"])
+                flat, ends = own.encode_column(part.column(1).cast(pa.string()))
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["id", "ids"])
+                pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(encoded, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
@@ -266,10 +297,9 @@ def sp_decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids",
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # ids as Python numbers take much memory
-                b = batch.slice(at, 256)
-                texts = [own.decode(ids) for ids in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["id", "ids", "text"])
+            for at in range(0, batch.num_rows, 1024):
+                b = batch.slice(at, 1024)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), own.decode_column(b.column(1))], names=["id", "ids", "text"])
 
     size = len(codec(path).pieces)
     known = F.filter(F.coalesce(F.col(ids_col), F.array().cast("array<int>")), lambda i: (i >= 0) & (i < size))

@@ -335,6 +335,21 @@ def test_piece_codec_equals_the_library():
         assert ids == plain.encode(text) and own.decode(ids) == plain.decode(ids)
 
 
+def test_piece_columns_equal_single_texts():
+    """Texts of a column are looked up together; bytes that are no text become marks, in that row only."""
+    import pyarrow as pa
+
+    own = codec(public_path("piece_bpe_32k.model"))
+    texts = ["a  b", "plain words here", "", "words ▁ marked", " begins", "plain words", "a\0b", "é 😀\n x"]
+    flat, ends = own.encode_column(pa.array(texts))
+    parts = [flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])]
+    assert parts == [np.frombuffer(d, "<i4").tolist() for t in texts for d in own.encode([t])]
+    broken = [own.byte_ids[0xC3], own.ids["▁a"]]
+    rows = pa.array([[5], *parts, broken], pa.list_(pa.int32()))[1:]
+    assert own.decode_column(rows).to_pylist() == [own.decode(ids) for ids in [*parts, broken]]
+    assert own.decode(broken) == "\ufffd a" and len(own.encode_column(pa.array([], pa.string()))[0]) == 0
+
+
 def test_piece_frames(docs, spark):
     rows = docs((1, None), (1, ""), (None, "ab  c"), (3, "日本 \n x"))
     back = {r["text"] for r in sp_decode(sp_encode(rows)).collect()}
