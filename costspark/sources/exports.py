@@ -256,10 +256,11 @@ def materialise_export(
     new = listed.collect() if overwrite or not have else [r for r in listed.collect() if r["mark"] not in have]
     if new:
         path, size = F.col("_metadata.file_path"), F.col("_metadata.file_size")
-        name = F.regexp_extract(path, f"({key}=[^/]*/.*)$", 1)
-        name = F.when(name != "", name).otherwise(F.substring_index(path, "/", -1))
+        # As in export_files, but plain searches: these run once a row.
+        inside = F.expr(f"substr(_metadata.file_path, locate('{key}=', _metadata.file_path))")
+        name = F.when(path.contains(f"{key}=") & inside.contains("/"), inside).otherwise(F.substring_index(path, "/", -1))
         marked = None
-        for form in SUFFIXES:
+        for form in reversed(SUFFIXES):  # gzip files are the longer tasks, so they begin
             paths = [r["path"] for r in new if r["kind"] == form]
             if not paths:
                 continue
