@@ -5,34 +5,37 @@ from __future__ import annotations
 import io
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.csv as pc
+import pyarrow.compute as pc
+import pyarrow.csv as csv
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _closed(lines: list[str]) -> int:
+def _closed(lines: pa.Array) -> int:
     """How many of ``lines`` lie before the last record that a quote leaves open."""
-    at, inside = 0, False
-    for i, line in enumerate(lines, 1):
-        inside ^= bool((line.count('"') - line.count('\\"')) % 2)
-        if not inside:
-            at = i
-    return at
+    quotes = pc.count_substring(lines, '"').to_numpy(zero_copy_only=False)
+    if not quotes.any():
+        return len(lines)
+    escaped = pc.count_substring(lines, '\\"').to_numpy(zero_copy_only=False)
+    whole = np.flatnonzero(np.cumsum(quotes - escaped) % 2 == 0)
+    return int(whole[-1]) + 1 if len(whole) else 0
 
 
-def _parsed(header: list[str], lines: list[str], wanted: Sequence[str]) -> pa.Table:
+def _parsed(header: list[str], lines: pa.Array, wanted: Sequence[str]) -> pa.Table:
     """The columns ``wanted`` of the records, as text; those that the header lacks are null."""
     lower = [h.strip().lower() for h in header]
     place = {name: lower.index(name.lower()) for name in wanted if name.lower() in lower}
     own = [f"c{i}" for i in range(len(header))]  # a header may repeat a name; the first counts
     kinds = {own[i]: pa.string() for i in place.values()}
-    table = pc.read_csv(
-        io.BytesIO("".join(f"{line}\n" for line in lines).encode()),
-        read_options=pc.ReadOptions(column_names=own, block_size=1 << 26),
-        parse_options=pc.ParseOptions(escape_char="\\", newlines_in_values=True),
-        convert_options=pc.ConvertOptions(
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines), "\n")[0]
+    table = csv.read_csv(
+        pa.BufferReader(text.as_buffer()),
+        read_options=csv.ReadOptions(column_names=own, block_size=max(1 << 26, len(text.as_buffer()) + 1), use_threads=False),
+        parse_options=csv.ParseOptions(escape_char="\\", newlines_in_values=True),
+        convert_options=csv.ConvertOptions(
             include_columns=list(kinds) or own[:1], column_types=kinds or {own[0]: pa.string()},
             strings_can_be_null=True, quoted_strings_can_be_null=False, null_values=[""],
         ),
@@ -83,32 +86,31 @@ def read_named_csv(
     )
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, header, open_lines = None, [], []
+        none = pa.array([], pa.string())
+        file, header, open_lines = None, [], none
         carried: tuple = (None, None)
 
-        def records(own: list[str]) -> Iterator[pa.RecordBatch]:
-            own = [line for line in own if line]
-            if own:
+        def records(own: pa.Array) -> Iterator[pa.RecordBatch]:
+            if pc.any(pc.not_equal(own, "")).as_py():
                 table = _parsed(header, own, wanted)
-                n = len(table)
                 for name, value in zip(("mark", "period"), carried):
-                    table = table.append_column(name, pa.array([value] * n, pa.string()))
+                    table = table.append_column(name, pa.repeat(pa.scalar(value, pa.string()), len(table)))
                 yield from table.combine_chunks().to_batches()
 
         for batch in batches:
-            texts, files = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            texts, files = batch.column(0).cast(pa.string()), batch.column(1).to_numpy()
             start = 0
             while start < len(texts):
                 other = files[start:] != files[start]
                 end = start + int(other.argmax()) if other.any() else len(texts)
-                own = texts[start:end]
+                first = start
                 if files[start] != file:
                     yield from records(open_lines)
-                    file, open_lines = files[start], []
+                    file, open_lines = files[start], none
                     carried = (batch.column(2)[start].as_py(), batch.column(3)[start].as_py())
-                    first = own.pop(0).lstrip("\ufeff")
-                    header = _names(first)
-                own = open_lines + own
+                    header = _names(texts[start].as_py().lstrip("\ufeff"))
+                    first += 1
+                own = pa.concat_arrays([open_lines, texts[first:end]])
                 n = _closed(own)
                 yield from records(own[:n])
                 open_lines = own[n:]
@@ -125,9 +127,9 @@ def read_named_csv(
 
 def _names(line: str) -> list[str]:
     """The names of a header line."""
-    kinds = pc.ConvertOptions(column_types={f"f{i}": pa.string() for i in range(line.count(",") + 1)}, strings_can_be_null=False)
-    table = pc.read_csv(
-        io.BytesIO(f"{line}\n".encode()), read_options=pc.ReadOptions(autogenerate_column_names=True),
-        parse_options=pc.ParseOptions(escape_char="\\"), convert_options=kinds,
+    kinds = csv.ConvertOptions(column_types={f"f{i}": pa.string() for i in range(line.count(",") + 1)}, strings_can_be_null=False)
+    table = csv.read_csv(
+        io.BytesIO(f"{line}\n".encode()), read_options=csv.ReadOptions(autogenerate_column_names=True),
+        parse_options=csv.ParseOptions(escape_char="\\"), convert_options=kinds,
     )
     return [column[0].as_py() for column in table.columns]

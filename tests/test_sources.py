@@ -328,6 +328,18 @@ def test_gzip_header_of_other_case_and_wrong_values(spark, tmp_path):
         exports.read_export(spark, str(tmp_path / "odd"), schema=schema, file_format="csv").select("cost").collect()
 
 
+def test_gzip_values_keep_their_empty_lines(spark, tmp_path):
+    import gzip
+
+    folder = tmp_path / "blank" / "BILLING_PERIOD=2024-01"
+    folder.mkdir(parents=True)
+    with gzip.open(folder / "a.csv.gz", "wt") as f:
+        f.write('service,note\ns3,"a\n\nb \\" c"\n\nec2,d\n')
+    schema = spark.createDataFrame([], "service string, note string").schema
+    got = rows(exports.read_export(spark, str(tmp_path / "blank"), schema=schema, file_format="csv"), "service", "note")
+    assert sorted(got) == [("ec2", "d"), ("s3", 'a\n\nb " c')]
+
+
 def test_parquet_layouts(spark, tmp_path):
     path = str(tmp_path / "layouts")
     layouts(spark, path, "parquet")
