@@ -24,6 +24,11 @@ def _periods(s, d, *columns):
     return cur(s, d, *(columns or SLIM)).withColumn("BILLING_PERIOD", month)
 
 
+def _joined(s, d):
+    """The periods' rows joined once and kept as a table, for exports that are written part by part."""
+    return materialise(_periods(s, d), scratch_path(s, "joined"))
+
+
 def _export(s, d):
     """The billing view written once as a partitioned export."""
     path = scratch_path(s, "export")
@@ -121,7 +126,7 @@ def _copied(s, d):
     path, target = scratch_path(s, "grown"), scratch_path(s, "copy")
     service = F.col("product_servicecode")
     athena, lambda_ = service == "AmazonAthena", service == "AWSLambda"
-    every = _periods(s, d)
+    every = _joined(s, d)
     every.filter(~athena & ~lambda_).write.partitionBy("BILLING_PERIOD").parquet(path)
     exports.materialise_export(s, path, target, every.schema, date_end="1999-01")
     late = every.filter(athena | lambda_).withColumn(
@@ -147,7 +152,7 @@ register(
 def _streamed(s, d):
     """Parquet files of some services, then gzip files in another order of columns; copied as they come, and once more."""
     path, target = scratch_path(s, "arriving"), scratch_path(s, "arrived")
-    every = _periods(s, d)
+    every = _joined(s, d)
     early = F.coalesce(F.col("product_servicecode") < "AmazonR", F.lit(False))
     every.filter(early).write.partitionBy("BILLING_PERIOD").parquet(path)
     exports.stream_export(s, path, target, every.schema)
@@ -176,7 +181,7 @@ register("read_mixed_export", _read_mixed, BY_PERIOD.format(where=""))
 
 def _moving(s, d):
     """The billing view in three layouts: as it is; turned round, without resources; with a new column, cost as text."""
-    rows = _periods(s, d)
+    rows = _joined(s, d)
     names = [c for c in SLIM if c != "line_item_resource_id"]
     first = rows.filter("BILLING_PERIOD < '1996-01'")
     second = rows.filter("BILLING_PERIOD >= '1996-01' AND BILLING_PERIOD < '1999-01'").select(*names[::-1], "BILLING_PERIOD")
